@@ -12,6 +12,7 @@ from gleanspark.llm.common import documents
 from gleanspark.llm.exact_dedup import exact_dedup
 from gleanspark.llm.language_id import held_out, language_id
 from gleanspark.llm.line_dedup import kept_text, line_dedup
+from gleanspark.llm.ngram_join import near_duplicates
 from gleanspark.llm.sharding import shards
 from gleanspark.llm.token_counts import token_counts, vocabulary
 from gleanspark.llm.url_filter import url_filter
@@ -63,6 +64,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(documents(spark, sf_dir), 8)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_sentencepiece": op3_sentencepiece,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
