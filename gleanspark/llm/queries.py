@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from gleanspark.llm import pieces
 from gleanspark.llm.common import documents
+from gleanspark.llm.decontamination import contaminated
 from gleanspark.llm.exact_dedup import exact_dedup
 from gleanspark.llm.language_id import held_out, language_id
 from gleanspark.llm.line_dedup import kept_text, line_dedup
 from gleanspark.llm.ngram_join import near_duplicates
+from gleanspark.llm.pii import personal_data, span_text
 from gleanspark.llm.sharding import shards
 from gleanspark.llm.token_counts import token_counts, vocabulary
 from gleanspark.llm.url_filter import url_filter
@@ -24,6 +26,12 @@ PIECES_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is found, with the item."""
+    found = contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "n_windows", "start", "similarity")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), *vocabulary(PIECES_FILE))
 
@@ -46,6 +54,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_text(docs, line_dedup(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_text(personal_data(documents(spark, sf_dir)))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id(documents(spark, sf_dir))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -69,9 +81,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
+    "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_url_filters": op8_url_filters,
