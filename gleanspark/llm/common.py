@@ -46,3 +46,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slices(spark: SparkSession, rows: int, per_slice: int, least: int = 1) -> int:
     """Into how many partitions ``rows`` go at about ``per_slice`` each, and not under the session's own count."""
     return max(least, -(-rows // per_slice), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Lists of decisions up to this many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_DECISIONS = 1_000_000
+
+
+def document_key() -> list[Column]:
+    """Columns that name a row by its doc_id (null as itself) and text, for decisions to be joined on."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not among ``dropped`` (_id, _text), with the columns of ``docs``."""
+    dropped = stored(dropped.distinct(), "dropped")
+    keyed = docs.select("*", *document_key())
+    small = dropped.count() <= BROADCAST_DECISIONS
+    return keyed.join(F.broadcast(dropped) if small else dropped, ["_id", "_text"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

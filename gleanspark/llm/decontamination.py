@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanspark.llm.common import without
+
 #: Benchmark tables up to this many rows (tens of bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 SIZE = 5
@@ -142,7 +144,5 @@ def contaminated(docs: DataFrame, items: DataFrame, num: int = 3, den: int = 4)
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, as they are, in whose text no item is found."""
-    dirty = contaminated(docs, items).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
-    marked = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = marked["doc_id"].eqNullSafe(dirty["_doc"]) & (marked["_key"] == dirty["_row"])
-    return marked.join(dirty, same, "left_anti").drop("_key")
+    dirty = contaminated(docs, items)
+    return without(docs, dirty.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("row").alias("_text")))

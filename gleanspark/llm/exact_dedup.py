@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import stored, work_dir
+from gleanspark.llm.common import document_key, stored, without, work_dir
 
 #: Hit digests up to this many (8 bytes each) are broadcast to filter the texts that need verification; more are joined.
 BROADCAST_HITS = 2_000_000
@@ -83,8 +83,10 @@ def verified_apart(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return suspects.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("digest")
 
 
-def exact_dedup(docs: DataFrame, keep: str = "min", digest: str = "sha256") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row per distinct document.
+def decisions(docs: DataFrame, keep: str = "min", digest: str = "sha256") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, copies, row), one row per distinct document.
+
+    ``copies`` counts the rows that repeat it, and ``row`` is a short hash of its text.
 
     Of equal texts the row with the smallest (``keep="min"``) or largest (``"max"``) doc_id stays.
     """
@@ -93,7 +95,8 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: str = "sha256") -> D
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_of(F.col("text")).alias("text")).withColumn("digest", DIGESTS[digest](F.col("text")))
     sha = F.lower(F.hex("digest")) if digest == "sha256" else F.sha2("text", 256)
-    entries = texts.select("doc_id", "digest", sha.alias("text_sha256")).groupBy("doc_id", "digest", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
+    row = F.xxhash64("text").alias("row")
+    entries = texts.select("doc_id", "digest", sha.alias("text_sha256"), row).groupBy("doc_id", "digest", "text_sha256", "row").agg(F.count(F.lit(1)).alias("copies"))
 
     index = DigestIndex(spark)
     index.flush(entries)
@@ -101,11 +104,30 @@ def exact_dedup(docs: DataFrame, keep: str = "min", digest: str = "sha256") -> D
     apart = stored(verified_apart(texts.select("digest", "text"), merged.where("members > 1 OR group_size > 1")), "apart")
 
     keep_id = F.col("largest_id" if keep == "max" else "least_id")
-    out = lambda df: df.select("doc_id", keep_id.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
+    out = lambda df: df.select("doc_id", keep_id.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256", "copies", "row")
     if apart.isEmpty():
-        return out(index.rows().select("doc_id", "digest", "text_sha256").join(merged.select("digest", "least_id", "largest_id", "group_size"), "digest"))
+        return out(index.rows().join(merged.select("digest", "least_id", "largest_id", "group_size"), "digest"))
     # A collision: those digests are grouped by the texts themselves.
     sound = out(index.rows().join(apart, "digest", "left_anti").join(merged.select("digest", "least_id", "largest_id", "group_size"), "digest"))
     mixed = texts.join(apart, "digest", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
     by_text = mixed.groupBy("text").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("largest_id"), F.sum("copies").alias("group_size"))
-    return sound.unionByName(out(mixed.join(by_text, "text").withColumn("text_sha256", F.sha2("text", 256))))
+    return sound.unionByName(out(mixed.join(by_text, "text").withColumns({"text_sha256": F.sha2("text", 256), "row": F.xxhash64("text")})))
+
+
+def exact_dedup(docs: DataFrame, keep: str = "min", digest: str = "sha256") -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), one row per distinct document."""
+    return decisions(docs, keep, digest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def deduplicated(docs: DataFrame, keep: str = "min") -> DataFrame:
+    """The rows of ``docs`` that stay, as they are: one of each text, also where a row repeats."""
+    found = stored(decisions(docs, keep), "decisions")
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("row").alias("_text")]
+    out = without(docs, found.where("NOT kept").select(*key))
+    repeated = found.where("kept AND copies > 1").select(*key)
+    if repeated.isEmpty():
+        return out
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = out.select("*", *document_key()).join(repeated, ["_id", "_text"], "left_semi")
+    one = again.groupBy("_id", "_text").agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*")
+    return without(out, repeated).unionByName(one)

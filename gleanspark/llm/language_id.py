@@ -209,7 +209,16 @@ def language_id(docs: DataFrame, keep: list[str] | None = None, sample_docs: int
     """The columns ``keep`` of ``docs`` (doc_id by default) with lang_pred and score (0: a tie, to 1)."""
     keep = keep or ["doc_id"]
     references = fit(docs, sample_docs, sample_bytes)
-    needed = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in needed.schema if f.name in keep)
-    order = [f.name for f in needed.schema if f.name in keep]
-    return needed.mapInArrow(_predictor(references, order), f"{schema}, lang_pred string, score double")
+    # Numbered names inside, so that no column of docs clashes with the result's.
+    inner = [f"c{i}" for i in range(len(keep))]
+    needed = docs.select(*[F.col(f"`{k}`").alias(c) for k, c in zip(keep, inner, strict=True)], F.col("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in needed.schema if f.name != "text")
+    found = needed.mapInArrow(_predictor(references, inner), f"{schema}, lang_pred string, score double")
+    names = [F.col(c).alias(k) for k, c in zip(keep, inner, strict=True) if k not in ("lang_pred", "score")]
+    return found.select(*names, "lang_pred", "score")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is found."""
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "lang", "text")
+    return language_id(inner, keep=["row"]).where("lang_pred <> 'und'").select("row.*")

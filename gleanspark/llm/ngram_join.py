@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import slices, stored
+from gleanspark.llm.common import slices, stored, without
 from gleanspark.llm.components import connected_components
 from gleanspark.llm.shingles import buffers, mix, shingle_sets
 
@@ -59,7 +59,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
-def _block(ids: pa.Array, texts: pa.Array, blk: int, ranges: int, size: int) -> pa.RecordBatch:
+def _block(ids: pa.Array, marks: pa.Array, texts: pa.Array, blk: int, ranges: int, size: int) -> pa.RecordBatch:
     toks, sizes = shingle_sets(*buffers(texts), size)
     docs = np.repeat(np.arange(len(sizes)), sizes)
     # Two independent sums name a set.
@@ -74,7 +74,7 @@ def _block(ids: pa.Array, texts: pa.Array, blk: int, ranges: int, size: int) ->
     counts = np.diff(np.r_[new, len(toks)])
     many = np.repeat(counts > 1, counts)
     rows = [
-        (blk % ranges, 1, blk, sizes.astype(np.int32).tobytes(), ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).tobytes(), name.tobytes() + ids.is_null().to_numpy(zero_copy_only=False).tobytes()),
+        (blk % ranges, 1, blk, sizes.astype(np.int32).tobytes(), ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).tobytes(), name.tobytes() + marks.to_numpy(zero_copy_only=False).tobytes() + ids.is_null().to_numpy(zero_copy_only=False).tobytes()),
         (blk % ranges, 2, blk, _planes(toks[many]), docs[many].tobytes(), b""),
     ]
     heads, owners = toks[new], np.where(counts > 1, np.uint16(_MANY), docs[new])
@@ -101,7 +101,7 @@ def _to_blocks(ranges: int, size: int):
                 to = min(max(to, at + 1), at + BLOCK_DOCS, batch.num_rows)
                 piece = batch.slice(at, to - at)
                 blk = xxhash.xxh64_intdigest(f"{part}:{nth}") >> 1
-                yield _block(piece.column("doc_id"), piece.column("text"), blk, ranges, size)
+                yield _block(piece.column("doc_id"), piece.column("row"), piece.column("text"), blk, ranges, size)
                 at, nth = to, nth + 1
 
     return run
@@ -146,12 +146,13 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _to_rows(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        sizes = ids = names = null = None
+        sizes = ids = names = marks = null = None
         pairs, found = [], []
         for row in table.select(["kind", "toks", "idx", "more"]).to_pylist():
             if row["kind"] == 1:
                 sizes, ids = np.frombuffer(row["toks"], np.int32), np.frombuffer(row["idx"], np.int64)
-                names, null = row["more"][: 16 * len(sizes)], np.frombuffer(row["more"][16 * len(sizes) :], bool)
+                k, more = len(sizes), row["more"]
+                names, marks, null = more[: 16 * k], np.frombuffer(more[16 * k : 24 * k], np.int64), np.frombuffer(more[24 * k :], bool)
             elif row["kind"] == 2:
                 pairs.append((_unplaned(row["toks"], np.uint64), np.frombuffer(row["idx"], np.uint16)))
             else:
@@ -171,23 +172,24 @@ def _to_rows(num: int, den: int):
         order = np.lexsort((t, d, o))
         lengths = np.where(stays, shared, 0)
         toks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(t[order].view(np.int64)), mask=pa.array(~stays))
-        return pa.table([pa.array(ids, mask=null), pa.array([names[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(sizes.astype(np.int64)), toks], names=["doc_id", "set", "n", "toks"])
+        return pa.table([pa.array(ids, mask=null), pa.array(marks), pa.array([names[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), pa.array(sizes.astype(np.int64)), toks], names=["doc_id", "row", "set", "n", "toks"])
 
     return run
 
 
 def incidence(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4) -> DataFrame:
-    """(doc_id, set, n, toks) of every row: the set's name and size, and its shared n-grams, rarest first.
+    """(doc_id, row, set, n, toks) of every row: the set's name and size, and its shared n-grams, rarest first.
 
-    ``toks`` is null where too few n-grams are shared for any link.
+    ``row`` is a short hash of the text; ``toks`` is null where too few n-grams are shared for any link.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ranges = slices(spark, total, RANGE_BYTES)
     blocks = texts.mapInArrow(_to_blocks(ranges, size), ENTRIES)
     columns = blocks.repartitionById(ranges, "r").mapInArrow(_columns, ENTRIES)
-    return columns.groupBy("blk").applyInArrow(_to_rows(num, den), "doc_id long, set binary, n long, toks array<long>")
+    return columns.groupBy("blk").applyInArrow(_to_rows(num, den), "doc_id long, row long, set binary, n long, toks array<long>")
 
 
 def _bounded(num: int, den: int) -> Column:
@@ -205,7 +207,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; sets link when den * overlap >= num * union."""
+    """(doc_id, n_shingles, component_id, row) of every row; sets link when den * overlap >= num * union."""
     rows = stored(incidence(docs, size, num, den), "incidence")
     classes = rows.where("toks IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("toks").alias("toks"))
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -237,5 +239,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4)
     members = nodes.select("set", "label", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = members.groupBy("component").agg(F.min("label").alias("component_id"))
     named_sets = members.join(names, "component").select("set", "component_id")
-    out = rows.select("doc_id", "n", F.when(F.col("toks").isNotNull(), F.col("set")).alias("set")).join(named_sets, "set", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "row", "n", F.when(F.col("toks").isNotNull(), F.col("set")).alias("set")).join(named_sets, "set", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, whose doc_id names its component; rows of one doc_id count as one document."""
+    found = near_duplicates(docs).where("NOT doc_id <=> component_id")
+    return without(docs, found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("row").alias("_text")))
