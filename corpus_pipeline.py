@@ -3,14 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gleanspark.llm import pieces
 from gleanspark.llm.common import documents, stored
+from gleanspark.llm.decontamination import decontaminate
+from gleanspark.llm.exact_dedup import deduplicated
+from gleanspark.llm.language_id import identified
+from gleanspark.llm.ngram_join import representatives
+from gleanspark.llm.queries import PIECES_FILE
 
-STAGES: list = []
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or letters go; all others have a language."""
+    return identified(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays."""
+    return deduplicated(docs, keep="min")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return representatives(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as piece ids, and whether they decode to the text."""
+    model = pieces.load(PIECES_FILE)
+    encoded = pieces.encode(docs, model, keep=["doc_id", "text"])
+    decoded = pieces.decode(encoded, model, keep=["doc_id", "text", "ids"])
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("ngram_join", near_stage),
+    ("decontamination", benchmark_stage),
+    ("sentencepiece", encoding_stage),
+]
+
+#: Cross parsing and the transducer can't be expressed in SQL; the tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what one keeps is written and read again by the next."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
