@@ -6,7 +6,7 @@ its UTF-8 bytes' pieces).  For a BPE model an arc from piece ``a`` to piece ``b`
 the two together, gives just ``a, b``, and infinity elsewhere; pieces of a unigram model weigh their negated score.
 Composed with an input, the path of least total weight over the tropical semiring is the encoding.
 
-Under the BPE weights every prefix of an input has one path of finite weight, so one state per position is kept.
+Under the BPE weights every prefix of an input has one path of finite weight, so a position is entered in one way only.
 A text is composed in segments that no piece crosses (before a blank that follows something else, and around line ends);
 segments seen before come from a bounded table per worker.
 
@@ -32,8 +32,10 @@ BLANK = "▁"
 #: A private character that stands for U+2581 inside the transducer.
 STAND_IN = "\ue000"
 #: What a worker remembers before it starts anew.
-REMEMBERED_SEGMENTS = 800_000
-REMEMBERED_ARCS = 1_000_000
+REMEMBERED_SEGMENTS = 250_000
+REMEMBERED_ARCS = 400_000
+#: Rows that leave a worker together.
+ROWS = 500
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
 
 
@@ -91,13 +93,13 @@ class Transducer:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.ids = {p: i for i, p in enumerate(model.pieces) if p is not None}
-        self.trie: dict = {}  # of reversed pieces
+        self.trie: dict = {}
         for piece, i in self.ids.items():
             node = self.trie
-            for c in reversed(piece):
+            for c in piece:
                 node = node.setdefault(c, {})
-            node[None] = (i, len(piece))
-        self.arcs: dict[tuple[int, int], bool] = {}
+            node[None] = i
+        self.arcs: dict[int, bool] = {}
         self.edges: dict[int, tuple[list, list] | None] = {}
         if any(BLANK in p.lstrip(BLANK) for p in self.ids) or any("\n" in p for p in self.ids):
             raise ValueError("a piece crosses the bounds of segments")
@@ -126,12 +128,13 @@ class Transducer:
         """Whether ``b`` may follow ``a``; fallback characters (negative) go with anything."""
         if a < 0:
             return self.edge_parts(b) is not None
-        known = self.arcs.get((a, b))
+        key = (a << 32) + b
+        known = self.arcs.get(key)
         if known is None:
             known = self._open(a, b)
             if len(self.arcs) > REMEMBERED_ARCS:
                 self.arcs.clear()
-            self.arcs[a, b] = known
+            self.arcs[key] = known
         return known
 
     def _open(self, a: int, b: int) -> bool:
@@ -160,33 +163,50 @@ class Transducer:
         return out
 
     def _bpe(self, segment: str) -> list[tuple[int, int]]:
-        """Weights are 0 and infinite, so each position has one open arc: longer pieces are tried first."""
+        """Weights are 0 and infinite: any path of open arcs is the least.  Longer pieces are followed first.
+
+        A position that can't be left over open arcs is never entered again, so the time is linear.
+        """
         n, trie, arc = len(segment), self.trie, self.arc
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            node, i, found = trie, j, []
-            while i > 0 and (node := node.get(segment[i - 1])) is not None:
-                i -= 1
-                if None in node:
-                    found.append(node[None])
-            back[j] = j - 1
-            for piece, size in reversed(found):
-                if arc(last[j - size], piece):
-                    last[j], back[j] = piece, j - size
+        path: list[tuple[int, int]] = []
+        untried: list[list[tuple[int, int]]] = []
+        dead: set[int] = set()
+        i, last, here = 0, -1, None
+        while i < n:
+            if here is None:
+                here, node, j = [], trie, i
+                while j < n and (node := node.get(segment[j])) is not None:
+                    j += 1
+                    if None in node:
+                        here.append((node[None], j))
+                if not here:
+                    here.append((-1, i + 1))
+            while here:
+                piece, j = here.pop()
+                if (not dead or j not in dead) and (piece < 0 or arc(last, piece)):
+                    path.append((piece, j))
+                    untried.append(here)
+                    i, last, here = j, piece, None
                     break
-        return self._path(last, back)
+            else:
+                dead.add(i)
+                path.pop()
+                here = untried.pop()
+                last, i = path[-1] if path else (-1, 0)
+        return path
 
     def _unigram(self, segment: str) -> list[tuple[int, int]]:
         n, scores = len(segment), self.model.scores
         low = min(scores) - 10.0
         cost, last, back = [0.0] + [float("inf")] * n, [-1] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            node, i = self.trie, j
-            cost[j], back[j] = cost[j - 1] - low, j - 1
-            while i > 0 and (node := node.get(segment[i - 1])) is not None:
-                i -= 1
-                if None in node and cost[i] - scores[node[None][0]] < cost[j]:
-                    cost[j], last[j], back[j] = cost[i] - scores[node[None][0]], node[None][0], i
+        for i in range(n):
+            if cost[i] - low < cost[i + 1]:
+                cost[i + 1], last[i + 1], back[i + 1] = cost[i] - low, -1, i
+            node, j = self.trie, i
+            while j < n and (node := node.get(segment[j])) is not None:
+                j += 1
+                if None in node and cost[i] - scores[node[None]] < cost[j]:
+                    cost[j], last[j], back[j] = cost[i] - scores[node[None]], node[None], i
         return self._path(last, back)
 
     @staticmethod
@@ -254,17 +274,23 @@ def _segments(model: Model) -> _Segments:
     return _built[key]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _encoder(shared, keep: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _segments(shared.value)
-        for batch in batches:
-            parts, ends = [], [0]
+        for batch in _parts(batches):
+            encoded, ends = [], [0]
             for text in batch.column("text").to_pylist():
-                parts.append(encode_text(text or "", segments))
-                ends.append(ends[-1] + len(parts[-1]) // 4)
+                encoded.append(encode_text(text or "", segments))
+                ends.append(ends[-1] + len(encoded[-1]) // 4)
                 if len(segments) > REMEMBERED_SEGMENTS:
                     segments.clear()
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids], names=[*keep, "ids"])
 
     return run
@@ -273,7 +299,7 @@ def _encoder(shared, keep: list[str]) -> Callable:
 def _decoder(shared, keep: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = surfaces(shared.value)
-        for batch in batches:
+        for batch in _parts(batches):
             column = batch.column("ids")
             texts = [decode_ids(column[i].values.to_numpy(), table) if column[i].is_valid else "" for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
