@@ -5,6 +5,8 @@ Words are counted by Spark over all texts; only aggregates by topic and word rea
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,14 +92,17 @@ def keywords_semantic(rows: DataFrame, n: int = 8, texts: int = 100, diversity:
     v = vectors.where("gram <> ''").join(vectors.where("gram = ''").select("topic_id", F.col("embedding").alias("doc")), "topic_id")
     v = v.withColumn("score", cosine(F.col("embedding"), F.col("doc"))).where("score > 0")
     top = v.withColumn("i", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.col("score").desc(), "gram"))).where(F.col("i") <= 6 * n)
-    listed = top.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "gram", "embedding"))).alias("c"))
-    kind = "array<struct<s:double,gram:string,embedding:array<float>>>"
 
-    def pick(kept, _):
-        open_ = F.filter("c", lambda x: ~F.exists(kept, lambda k: k["gram"] == x["gram"]))
-        value = lambda x: (1 - diversity) * -x["s"] - diversity * F.aggregate(kept, F.lit(0.0), lambda a, k: F.greatest(a, cosine(k["embedding"], x["embedding"])))
-        ranked = F.array_max(F.transform(open_, lambda x: F.struct(value(x).alias("v"), (x["s"] * -1).alias("s"), x["gram"].alias("gram"))))
-        return F.concat(kept, F.filter(open_, lambda x: x["gram"] == ranked["gram"]))
-
-    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array().cast(kind), pick)
-    return listed.select("topic_id", F.posexplode(chosen).alias("rank", "k")).select("topic_id", "rank", F.col("k.gram").alias("word"), (-F.col("k.s")).alias("score"))
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "gram"], ascending=[False, True]).reset_index(drop=True)
+        x = np.vstack(pdf.embedding).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        like, score, chosen = x @ x.T, pdf.score.to_numpy(), [0]
+        while len(chosen) < min(n, len(pdf)):
+            value = (1 - diversity) * score - diversity * like[:, chosen].max(1)
+            value[chosen] = -np.inf
+            chosen.append(int(value.argmax()))
+        return pd.DataFrame({"topic_id": pdf.topic_id.iloc[0], "rank": range(len(chosen)), "word": pdf.gram[chosen].to_numpy(), "score": score[chosen]})
+
+    # At most 6n candidates of a topic meet in one task.
+    return top.select("topic_id", "gram", "score", "embedding").groupBy("topic_id").applyInPandas(pick, "topic_id int, rank int, word string, score double")
