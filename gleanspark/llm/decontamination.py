@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import without
+from gleanspark.llm.common import stored, without
 
 #: Benchmark tables up to this many rows (tens of bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -118,7 +118,9 @@ def contaminated(docs: DataFrame, items: DataFrame, num: int = 3, den: int = 4)
     hits = reduce(DataFrame.unionByName, found)
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.size("words") - F.col("len")))
     # Equal windows of a text are one; all of them come from one row, so they meet before the shuffle.
+    # They are few beside the texts and needed twice.
     windows = hits.select("doc_id", "row", "len", start.alias("start"), F.array_join(F.slice("words", start + 1, F.col("len")), " ").alias("window")).distinct()
+    windows = stored(windows, "windows")
     # Fingerprints depend on the words alone: equal windows of different texts are fingerprinted and verified once.
     distinct = windows.select("len", "window").distinct().withColumn("hashes", shingles(F.split("window", " ")))
     keyed = distinct.withColumn("bits", blocks(simhash(F.col("hashes")))).withColumn("print", packed(F.col("bits")))
