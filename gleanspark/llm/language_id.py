@@ -101,15 +101,18 @@ class Parser:
         tables, roots, rows = [], [], 0
         for k in self.languages:
             states = suffix_automaton(self.code[raw[k]].tolist())
-            t = np.full((len(states), width), -1, dtype=np.int64)
+            t = np.full((len(states) + 1, width), -1, dtype=np.int64)
             for i, edges in enumerate(states):
                 t[i, list(edges.keys())] = list(edges.values())
-            again = np.where(t[0] >= 0, t[0], 0)
+            # The last row stands before a phrase: at a block's start, and after a symbol that the language never has.
+            between = len(states)
+            again = np.where(t[0] >= 0, t[0], between)
             t = np.where(t >= 0, t + rows, (again + rows)[None, :] + _NEW)
-            t[:, self.pad] = np.arange(len(states)) + rows
+            t[between] = again + rows + _NEW
+            t[:, self.pad] = np.arange(len(t)) + rows
             tables.append(t)
-            roots.append(rows)
-            rows += len(states)
+            roots.append(rows + between)
+            rows += len(t)
         whole = np.concatenate(tables) if tables else np.zeros((0, width), dtype=np.int64)
         # Rows come multiplied by the width, so that a step is one addition and one look-up.
         self.table = ((whole & (_NEW - 1)) * width + (whole & _NEW)).astype(np.int32).ravel()
@@ -135,7 +138,7 @@ class Parser:
             lanes = codes[np.arange(BLOCK)[:, None] + at[None, :]]
             lanes[np.arange(BLOCK)[:, None] >= n[None, :]] = self.pad
             state = np.repeat(self.roots, len(at), axis=1)
-            count = np.ones(state.shape, dtype=np.int32)
+            count = np.zeros(state.shape, dtype=np.int32)
             for column in lanes:
                 step = self.table.take(state + column)
                 count += step >> 30
