@@ -61,6 +61,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _block(ids: pa.Array, marks: pa.Array, texts: pa.Array, blk: int, ranges: int, size: int) -> pa.RecordBatch:
     toks, sizes = shingle_sets(*buffers(texts), size)
+    toks >>= np.uint64(8)  # 56 bits are kept: one byte plane less to deal
     docs = np.repeat(np.arange(len(sizes)), sizes)
     # Two independent sums name a set.
     name = np.zeros((len(sizes), 2), dtype=np.uint64)
@@ -75,19 +76,19 @@ def _block(ids: pa.Array, marks: pa.Array, texts: pa.Array, blk: int, ranges: in
     many = np.repeat(counts > 1, counts)
     rows = [
         (blk % ranges, 1, blk, sizes.astype(np.int32).tobytes(), ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).tobytes(), name.tobytes() + marks.to_numpy(zero_copy_only=False).tobytes() + ids.is_null().to_numpy(zero_copy_only=False).tobytes()),
-        (blk % ranges, 2, blk, _planes(toks[many]), docs[many].tobytes(), b""),
+        (blk % ranges, 2, blk, _planes(toks[many]), _planes(docs[many]), b""),
     ]
     heads, owners = toks[new], np.where(counts > 1, np.uint16(_MANY), docs[new])
     bounds = np.searchsorted(_range_of(heads, ranges), np.arange(ranges + 1))
     for r in np.flatnonzero(np.diff(bounds)):
         part = slice(bounds[r], bounds[r + 1])
         c = counts[part]
-        rows.append((int(r), 0, blk, _planes(heads[part]), owners[part].tobytes(), c[c > 1].astype(np.uint32).tobytes()))
+        rows.append((int(r), 0, blk, _planes(heads[part]), _planes(owners[part]), c[c > 1].astype(np.uint32).tobytes()))
     return _rows(rows)
 
 
 def _range_of(toks: np.ndarray, ranges: int) -> np.ndarray:
-    return ((toks >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return ((toks >> np.uint64(24)) * np.uint64(ranges)) >> np.uint64(32)
 
 
 def _to_blocks(ranges: int, size: int):
@@ -116,7 +117,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if passed.any():
             yield batch.filter(pa.array(passed))
         for row in batch.filter(pa.array(~passed)).to_pylist():
-            t, o = _unplaned(row["toks"], np.uint64), np.frombuffer(row["idx"], np.uint16)
+            t, o = _unplaned(row["toks"], np.uint64), _unplaned(row["idx"], np.uint16)
             w = np.ones(len(t), dtype=np.int64)
             w[o == _MANY] = np.frombuffer(row["more"], np.uint32)
             toks.append(t)
@@ -139,7 +140,7 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = df[at : at + n]
         at += n
         if (keep := d > 1).any():
-            rows.append((0, 3, blk, _planes(own[keep]), o[keep].tobytes(), _planes(d[keep])))
+            rows.append((0, 3, blk, _planes(own[keep]), _planes(o[keep]), _planes(d[keep])))
     if rows:
         yield _rows(rows)
 
@@ -154,9 +155,9 @@ def _to_rows(num: int, den: int):
                 k, more = len(sizes), row["more"]
                 names, marks, null = more[: 16 * k], np.frombuffer(more[16 * k : 24 * k], np.int64), np.frombuffer(more[24 * k :], bool)
             elif row["kind"] == 2:
-                pairs.append((_unplaned(row["toks"], np.uint64), np.frombuffer(row["idx"], np.uint16)))
+                pairs.append((_unplaned(row["toks"], np.uint64), _unplaned(row["idx"], np.uint16)))
             else:
-                found.append((_unplaned(row["toks"], np.uint64), np.frombuffer(row["idx"], np.uint16), _unplaned(row["more"], np.uint32)))
+                found.append((_unplaned(row["toks"], np.uint64), _unplaned(row["idx"], np.uint16), _unplaned(row["more"], np.uint32)))
         t, o, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind) for k, kind in enumerate((np.uint64, np.uint16, np.uint32)))
         several = o == _MANY
         heads, heads_df = t[several], d[several]
@@ -214,12 +215,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4)
 
     lost = F.col("n") - F.size("toks")
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - lost
-    entries = stored(
-        nodes.select("node", "n", lost.alias("lost"), F.posexplode(F.slice("toks", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("k", "tok"))
-        .select("tok", "node", "n", (F.col("lost") + F.col("k")).alias("pos")),
-        "entries",
-    )
-    columns = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos")).alias("p")).where("rows > 1")
+    every = nodes.select("node", "n", lost.alias("lost"), F.posexplode(F.slice("toks", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("k", "tok"))
+    # Columns that several classes meet in; those that only copies share are done with.
+    met = every.groupBy("tok").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("tok")
+    entries = stored(every.select("tok", "node", F.col("n").cast("int").alias("n"), (F.col("lost") + F.col("k")).cast("int").alias("pos")).join(met, "tok", "left_semi"), "entries")
+    columns = entries.groupBy("tok").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos")).alias("p"))
     stars = entries.join(columns.select("tok", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.pos").alias("other_pos")), "tok")
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     star_pairs = stored(stars.where((F.col("node") != F.col("other")) & _bounded(num, den)).select(*pair).distinct(), "stars")
