@@ -76,3 +76,18 @@ def config_hash(config: dict) -> str:
     if config.get("topicCountMode") == "manual" and isinstance(config.get("n_topics"), int):
         parts["n_topics"] = config["n_topics"]
     return hashlib.md5(json.dumps(_plain(parts), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def load_settings(path: str, default: dict | None = None) -> dict:
+    """Settings from a JSON file, or the default where there is none that can be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError):
+        return dict(default or {})
+    return found if isinstance(found, dict) else dict(default or {})
+
+
+def save_settings(path: str, settings: dict) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(settings, f, indent=2, ensure_ascii=False)

@@ -69,3 +69,11 @@ def event_trend(events: DataFrame, every: str = "1 day", late: str = "2 days") -
     if rows.isStreaming:
         rows = rows.withWatermark("ts", late)
     return rows.groupBy(F.window("ts", every), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def app_name(app_id: int, get: Callable[[int], str]) -> str:
+    """The name that a look-up gives, or a plain one where it fails."""
+    try:
+        return get(app_id) or f"App {app_id}"
+    except (OSError, ValueError, KeyError):
+        return f"App {app_id}"

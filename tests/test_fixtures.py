@@ -13,7 +13,7 @@ from gleanspark.functions import text as T
 from gleanspark.functions.time import iso_week_key, sunday_key
 from gleanspark.operators import clusters, crosstab, filters, learning, stats, upsert
 from gleanspark.plans import report
-from gleanspark.plans.config import config_hash, resolve_config, resolve_mode, resolve_tier
+from gleanspark.plans.config import config_hash, load_settings, resolve_config, resolve_mode, resolve_tier, save_settings
 from gleanspark.plans.results import ResultStore, parse_result
 from gleanspark.sources import reviews as S
 from gleanspark.streaming import ingest as I
@@ -151,6 +151,18 @@ def test_config():
     assert config_hash(auto) == config_hash(resolve_config({"topicCountMode": "auto"})) != config_hash(c)
 
 
+def test_settings_and_names(tmp_path):
+    path = str(tmp_path / "settings.json")
+    assert load_settings(path, {"tier": 0}) == {"tier": 0}
+    save_settings(path, {"tier": "auto"})
+    assert load_settings(path) == {"tier": "auto"}
+
+    def fails(i):
+        raise OSError
+
+    assert I.app_name(7, fails) == "App 7" and I.app_name(7, lambda i: "Seven") == "Seven"
+
+
 def test_result_store(spark, tmp_path):
     store = ResultStore(spark, f"{tmp_path}/results")
     assert store.get(1, "topics", "h") is None
