@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanspark.operators.clusters import candidate_ks
+
 #: Fixed values of the choice of k.
 SAMPLE, RUNS, LEAST_GROUP, LEAST_SEPARATION, RUN_SHARE = 600, 4, 20, 0.05, 0.85
 #: Groups up to this many vectors are clustered by density in one task; the method compares all pairs.
@@ -85,7 +87,7 @@ def density(x: np.ndarray, least: int = 3) -> np.ndarray:
         near[closer], parent[closer] = d[closer], at
         at = int(np.where(inside, np.inf, near).argmin())
         edges.append((near[at], parent[at], at))
-    group, size, kids, height, nxt = list(range(n)), [1] * n, {}, {}, n
+    size, kids, height, nxt = [1] * n, {}, {}, n
     root = {i: i for i in range(n)}
 
     def find(i: int) -> int:
@@ -194,8 +196,6 @@ def rand_index(a: np.ndarray, b: np.ndarray) -> float | None:
 
 def sampled(rows: DataFrame, key: str, group: str, n: int = SAMPLE, seed: int = 17) -> DataFrame:
     """The ``n`` rows of each group with the smallest seeded hash: a fixed, bounded sample."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
@@ -209,8 +209,6 @@ def recommend_k(rows: DataFrame, key: str = "recommendation_id", group: str = "s
     totals = rows.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
     sample = sampled(rows.select(group, key, vector), key, group, seed=seed)
     packed = sample.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(key, vector))).alias("rows"))  # at most SAMPLE rows
-    from gleanspark.operators.clusters import candidate_ks
-
     jobs = packed.join(totals, group).select(group, "total", F.size("rows").alias("n"), "rows", F.explode(candidate_ks(F.col("total"))).alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"))
 
     def one(batches):
