@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +62,39 @@ def document_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(whole, _id, _text): rows as one column beside their key, so that no name of ``docs`` can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), *document_key())
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose key is not among ``dropped`` (_id, _text), with the columns of ``docs``."""
     dropped = stored(dropped.distinct(), "dropped")
-    keyed = docs.select("*", *document_key())
     small = dropped.count() <= BROADCAST_DECISIONS
-    return keyed.join(F.broadcast(dropped) if small else dropped, ["_id", "_text"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return wrapped(docs).join(F.broadcast(dropped) if small else dropped, ["_id", "_text"], "left_anti").select("whole.*")
+
+
+_kept: dict[Any, Any] = {}
+
+
+def remembered(key: Any, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, made once per Python worker; a worker keeps one such thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut where the sizes of its rows come to about ``most``, one row at least."""
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    bounds = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(sizes)]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``most_bytes`` of their text, so that a worker's memory has a bound."""
+    for batch in batches:
+        yield from parts(batch, pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), most_bytes)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import document_key, stored, without, work_dir
+from gleanspark.llm.common import stored, without, work_dir, wrapped
 
 #: Hit digests up to this many (8 bytes each) are broadcast to filter the texts that need verification; more are joined.
 BROADCAST_HITS = 2_000_000
@@ -127,7 +127,6 @@ def deduplicated(docs: DataFrame, keep: str = "min") -> DataFrame:
     repeated = found.where("kept AND copies > 1").select(*key)
     if repeated.isEmpty():
         return out
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    again = out.select("*", *document_key()).join(repeated, ["_id", "_text"], "left_semi")
-    one = again.groupBy("_id", "_text").agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*")
+    again = wrapped(docs).join(repeated, ["_id", "_text"], "left_semi")
+    one = again.groupBy("_id", "_text").agg(F.first("whole").alias("whole")).select("whole.*")
     return without(out, repeated).unionByName(one)

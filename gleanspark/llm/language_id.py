@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanspark.llm.common import pieces_of, remembered
+
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 24_000
 BLOCK = 256
-#: Blocks that go through the automata together.
-LANES = 8192
+#: Blocks that go through the automata together, and bytes of text that a worker takes up at a time.
+LANES, PART_BYTES = 8192, 2_000_000
 _SPACE, _NEW = 32, 1 << 30
 
 
@@ -54,7 +56,7 @@ def normalise(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
         keep[starts[:-1][starts[:-1] < len(b)]] = True
     else:
         keep = np.zeros(0, dtype=bool)
-    return b[keep], np.r_[0, np.cumsum(keep)][starts]
+    return b[keep], np.r_[0, np.cumsum(keep, dtype=np.int64)][starts]
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -191,17 +193,11 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     return {lang: b"\n".join(p)[:sample_bytes].decode("utf-8", "ignore").encode() for lang, p in parts.items()}
 
 
-_built: dict[int, Parser] = {}
-
-
 def _predictor(references: dict[str, bytes], keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(sorted(references.items())))
-        if key not in _built:  # once per Python worker
-            _built.clear()
-            _built[key] = Parser(references)
-        for batch in batches:
-            lang, score = _built[key].predict(batch.column("text"))
+        parser = remembered(("language", tuple(sorted(references.items()))), lambda: Parser(references))
+        for batch in pieces_of(batches, PART_BYTES):
+            lang, score = parser.predict(batch.column("text"))
             columns = [batch.column(k) for k in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 

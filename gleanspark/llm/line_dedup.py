@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import BLANKS, UPPER, slices, stored
+from gleanspark.llm.common import BLANKS, UPPER, pieces_of, slices, stored
 
-#: Hashes of lines that one task sorts.
-LINE_ROWS = 400_000
+#: Hashes of lines that one task sorts, and bytes of text that a worker takes up at a time.
+LINE_ROWS, PART_BYTES = 400_000, 4_000_000
 LAST_ID = 2**63 - 1
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -48,7 +48,7 @@ def _hash_lines(least: int):
     digest = xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, PART_BYTES):
             ids, rows = batch.column("id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy(zero_copy_only=False)
             found, pos, counts = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -97,12 +97,13 @@ def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        maps = []
-        for drops, n in zip(batch.column("drops").to_pylist(), batch.column("n_lines").to_pylist(), strict=True):
-            keep = np.ones(n, dtype=bool)
+        maps, dropped = [], []
+        for drops in batch.column("drops").to_pylist():
+            keep = np.ones(-(-(max(drops) + 1) // 8) * 8, dtype=bool)
             keep[drops] = False
             maps.append(zlib.compress(np.packbits(keep).tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("n_lines"), pa.array(maps, pa.binary())], names=["id", "row", "n_lines", "keep_bitmap"])
+            dropped.append(len(drops))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(dropped, pa.int32()), pa.array(maps, pa.binary())], names=["id", "row", "n_dropped", "keep_bitmap"])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -111,9 +112,9 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
-    """(id, row, n_lines, keep_bitmap) for documents that lose lines: zlib over bits packed from the first line on.
+    """(id, row, n_dropped, keep_bitmap) for documents that lose lines: zlib over bits packed from the first line on.
 
-    ``id`` is doc_id (the largest long for null) and ``row`` tells apart texts under one doc_id.  A line's key is the line
+    Lines beyond a map's end are kept.  ``id`` is doc_id (the largest long for null) and ``row`` tells apart texts under one doc_id.  A line's key is the line
     stripped of blanks and lower-cased in A-Z; keys of ``least`` code points or more that several documents hold lose all
     their lines except in the document with the smallest doc_id.
     """
@@ -127,12 +128,11 @@ def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
     late = found.where("kind = 'head'").join(F.broadcast(firsts), ["h1", "h2"]).where("id <> first_id")
     drops = found.where("kind = 'drop'").select("id", "row", "pos").unionByName(late.select("id", "row", "pos"))
     lost = drops.groupBy("id", "row").agg(F.collect_set("pos").alias("drops"))
-    sizes = texts.select("id", "row", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines")).dropDuplicates(["id", "row"])
-    return lost.join(sizes, ["id", "row"]).select("id", "row", "n_lines", "drops").mapInArrow(_bitmaps, "id long, row long, n_lines int, keep_bitmap binary")
+    return lost.mapInArrow(_bitmaps, "id long, row long, n_dropped int, keep_bitmap binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces_of(batches, PART_BYTES):
         texts, lines, dropped = [], [], []
         for text, bits in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keep_bitmap").to_pylist(), strict=True):
             if bits is None:
@@ -141,7 +141,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 parts = text.split(b"\n")
                 n = len(parts)
-                keep = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=n).astype(bool).tolist()
+                keep = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8))[:n].astype(bool).tolist()
+                keep += [True] * (n - len(keep))
                 text = b"\n".join([p for p, k in zip(parts, keep, strict=True) if k])
                 lost = n - sum(keep)
             texts.append(text)

@@ -219,8 +219,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4)
     # Columns that several classes meet in; those that only copies share are done with.
     met = every.groupBy("tok").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("tok")
     entries = stored(every.select("tok", "node", F.col("n").cast("int").alias("n"), (F.col("lost") + F.col("k")).cast("int").alias("pos")).join(met, "tok", "left_semi"), "entries")
+    # Stored, so that the joins below stand on plain shuffles, which Spark can split where a column is long.
     columns = entries.groupBy("tok").agg(F.min(F.struct((F.col("pos") / F.col("n")).alias("share"), "node", "n", "pos")).alias("p"))
-    stars = entries.join(columns.select("tok", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.pos").alias("other_pos")), "tok")
+    pivots = stored(columns.select("tok", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.pos").alias("other_pos")), "pivots")
+    stars = entries.join(pivots, "tok")
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     star_pairs = stored(stars.where((F.col("node") != F.col("other")) & _bounded(num, den)).select(*pair).distinct(), "stars")
     links = stored(_links(star_pairs, nodes, num, den), "links")
@@ -230,6 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4)
     named = entries.join(first, "node", "left").select("tok", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
     counts = named.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("rows"))
     mixed = counts.groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main")).where("comps > 1").select("tok", "main")
+    mixed = stored(mixed, "mixed")
     named = stored(named.join(mixed, "tok"), "named")
     outside = named.where("comp <> main").select("tok", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("comp").alias("other_comp"))
     apart = named.join(outside, "tok").where((F.col("comp") != F.col("other_comp")) & _bounded(num, den)).select(*pair).distinct()

@@ -26,16 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 
+from gleanspark.llm.common import parts, pieces_of, remembered
+
 BLANK = "▁"
 #: A private character that stands for U+2581 inside the transducer.
 STAND_IN = "\ue000"
 #: What a worker remembers before it starts anew.
-REMEMBERED_SEGMENTS = 250_000
-REMEMBERED_ARCS = 400_000
-#: Rows that leave a worker together.
-ROWS = 500
+REMEMBERED_SEGMENTS = 160_000
+REMEMBERED_ARCS = 250_000
+#: Bytes of text, or ids, that a worker takes up at a time.
+PART_BYTES, PART_IDS = 2_000_000, 500_000
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+")
 
 
@@ -263,27 +266,14 @@ def decode_ids(ids: np.ndarray, table: list[bytes]) -> str:
     return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_built: dict[int, _Segments] = {}
-
-
 def _segments(model: Model) -> _Segments:
-    key = hash(model)
-    if key not in _built:  # once per Python worker
-        _built.clear()
-        _built[key] = _Segments(Transducer(model))
-    return _built[key]
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, ROWS):
-            yield batch.slice(i, ROWS)
+    return remembered(("pieces", hash(model)), lambda: _Segments(Transducer(model)))
 
 
 def _encoder(shared, keep: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _segments(shared.value)
-        for batch in _parts(batches):
+        for batch in pieces_of(batches, PART_BYTES):
             encoded, ends = [], [0]
             for text in batch.column("text").to_pylist():
                 encoded.append(encode_text(text or "", segments))
@@ -296,10 +286,16 @@ def _encoder(shared, keep: list[str]) -> Callable:
     return run
 
 
+def _id_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pa.compute.list_value_length(batch.column("ids")).fill_null(0).to_numpy(zero_copy_only=False)
+        yield from parts(batch, sizes, PART_IDS)
+
+
 def _decoder(shared, keep: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = surfaces(shared.value)
-        for batch in _parts(batches):
+        for batch in _id_parts(batches):
             column = batch.column("ids")
             texts = [decode_ids(column[i].values.to_numpy(), table) if column[i].is_valid else "" for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])

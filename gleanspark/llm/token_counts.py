@@ -17,8 +17,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words a worker remembers before it starts anew.
-REMEMBERED_WORDS = 500_000
+from gleanspark.llm.common import pieces_of, remembered
+
+#: Words a worker remembers before it starts anew, and bytes of text that it takes up at a time.
+REMEMBERED_WORDS, PART_BYTES = 300_000, 4_000_000
 _UNKNOWN = 1 << 40
 
 
@@ -94,16 +96,10 @@ class _Counts(dict):
         return n
 
 
-_built: dict[tuple, _Counts] = {}
-
-
-def _counter(pieces: tuple[tuple[str, ...], tuple[str, ...]], key: str):
+def _counter(pieces, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (key,) not in _built:  # once per Python worker
-            _built.clear()
-            _built[key,] = _Counts(LongestMatch(*pieces.value))
-        counts = _built[key,]
-        for batch in batches:
+        counts = remembered(("counts", key), lambda: _Counts(LongestMatch(*pieces.value)))
+        for batch in pieces_of(batches, PART_BYTES):
             words, tokens, unknown = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 found = (text or b"").split()
