@@ -270,18 +270,25 @@ def _segments(model: Model) -> _Segments:
     return remembered(("pieces", hash(model)), lambda: _Segments(Transducer(model)))
 
 
+def _encode_batch(batch: pa.RecordBatch, segments: _Segments) -> pa.ListArray:
+    encoded, ends = [], [0]
+    for text in batch.column("text").to_pylist():
+        encoded.append(encode_text(text or "", segments))
+        ends.append(ends[-1] + len(encoded[-1]) // 4)
+        if len(segments) > REMEMBERED_SEGMENTS:
+            segments.clear()
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
+
+
+def _decode_column(column: pa.ListArray, table: list[bytes]) -> pa.Array:
+    return pa.array([decode_ids(column[i].values.to_numpy(), table) if column[i].is_valid else "" for i in range(len(column))], pa.string())
+
+
 def _encoder(shared, keep: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = _segments(shared.value)
         for batch in pieces_of(batches, PART_BYTES):
-            encoded, ends = [], [0]
-            for text in batch.column("text").to_pylist():
-                encoded.append(encode_text(text or "", segments))
-                ends.append(ends[-1] + len(encoded[-1]) // 4)
-                if len(segments) > REMEMBERED_SEGMENTS:
-                    segments.clear()
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids], names=[*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), _encode_batch(batch, segments)], names=[*keep, "ids"])
 
     return run
 
@@ -296,9 +303,17 @@ def _decoder(shared, keep: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = surfaces(shared.value)
         for batch in _id_parts(batches):
-            column = batch.column("ids")
-            texts = [decode_ids(column[i].values.to_numpy(), table) if column[i].is_valid else "" for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], names=[*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), _decode_column(batch.column("ids"), table)], names=[*keep, "decoded"])
+
+    return run
+
+
+def _both(shared, keep: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments, table = _segments(shared.value), surfaces(shared.value)
+        for batch in pieces_of(batches, PART_BYTES):
+            ids = _encode_batch(batch, segments)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), ids, _decode_column(ids, table)], names=[*keep, "ids", "decoded"])
 
     return run
 
@@ -321,3 +336,10 @@ def decode(encoded: DataFrame, model: Model, keep: list[str] | None = None) -> D
     keep = [k for k in (keep or ["doc_id"]) if k != "decoded"]
     shared = encoded.sparkSession.sparkContext.broadcast(model)
     return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(_decoder(shared, keep), _schema(encoded, keep, "decoded string"))
+
+
+def encode_and_decode(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep``, ``ids`` and ``decoded``: what ``decode`` makes of ``encode``, in one Python worker a task."""
+    keep = [k for k in (keep or ["doc_id"]) if k not in ("ids", "decoded")]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_both(shared, keep), _schema(docs, keep, "ids array<int>, decoded string"))

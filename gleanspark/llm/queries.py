@@ -38,9 +38,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded: the number of pieces, a digest of their ids, and whether the text came back."""
-    model = pieces.load(PIECES_FILE)
-    encoded = pieces.encode(documents(spark, sf_dir), model, keep=["doc_id", "text"])
-    decoded = pieces.decode(encoded, model, keep=["doc_id", "text", "ids"])
+    decoded = pieces.encode_and_decode(documents(spark, sf_dir), pieces.load(PIECES_FILE), keep=["doc_id", "text"])
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),

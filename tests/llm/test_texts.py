@@ -71,7 +71,9 @@ def test_round_trip_edge(edge, edge_rows, empty):
     out = P.decode(P.encode(edge, model, keep=["doc_id", "text", "lang"]), model, keep=["doc_id", "text", "ids"])
     rows = out.collect()
     assert len(rows) == len(edge_rows) and all(r.decoded == (r.text or "") for r in rows)
-    assert P.encode(empty, model).count() == 0
+    both = P.encode_and_decode(edge, model, keep=["doc_id", "text", "lang"])
+    assert both.columns == ["doc_id", "text", "lang", "ids", "decoded"] and sorted(map(str, both.select("doc_id", "text", "ids", "decoded").collect())) == sorted(map(str, out.select("doc_id", "text", "ids", "decoded").collect()))
+    assert P.encode(empty, model).count() == 0 and P.encode_and_decode(empty, model).count() == 0
 
 
 def test_unigram_takes_the_least_path():
