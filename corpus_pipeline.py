@@ -36,9 +36,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as piece ids, and whether they decode to the text."""
-    model = pieces.load(PIECES_FILE)
-    encoded = pieces.encode(docs, model, keep=["doc_id", "text"])
-    decoded = pieces.decode(encoded, model, keep=["doc_id", "text", "ids"])
+    decoded = pieces.encode_and_decode(docs, pieces.load(PIECES_FILE), keep=["doc_id", "text"])
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"))
 
 
