@@ -196,10 +196,25 @@ def rand_index(a: np.ndarray, b: np.ndarray) -> float | None:
 
 def sampled(rows: DataFrame, key: str, group: str, n: int = SAMPLE, seed: int = 17) -> DataFrame:
     """The ``n`` rows of each group with the smallest seeded hash: a fixed, bounded sample."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
+    w = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def silhouette(rows: DataFrame, label: str = "topic_id", vector: str = "embedding", key: str = "recommendation_id", seed: int = 17) -> DataFrame:
+    """One row, value: the exact Euclidean silhouette of a seeded sample of all rows, as in the choice of k.
+
+    It is null with under 2 labels or as many labels as points.
+    """
+    known = rows.where(F.col(vector).isNotNull()).select(key, F.col(label).alias("l"), F.col(vector).alias("v"), F.lit(0).alias("_group"))
+    packed = sampled(known, key, "_group", seed=seed).agg(F.sort_array(F.collect_list(F.struct(key, "l", "v"))).alias("rows"))  # at most SAMPLE rows
+
+    def one(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"value": [pairwise_silhouette(np.array([x["v"] for x in r], dtype=float), np.array([x["l"] for x in r])) if len(r) else None for r in pdf.rows]}, dtype="float64")
+
+    return packed.mapInPandas(one, "value double")
+
+
 def recommend_k(rows: DataFrame, key: str = "recommendation_id", group: str = "sentiment", vector: str = "embedding", seed: int = 17) -> DataFrame:
     """(group, k, confidence, used_fallback, sample_count, score, margin): the recommended number of clusters.
 

@@ -65,18 +65,14 @@ def _candidates(spark: SparkSession) -> DataFrame:
     return n.select("n", F.explode(clusters.candidate_ks(F.col("n"))).alias("k"))
 
 
-def _silhouette(r: DataFrame) -> DataFrame:
-    sample = r.where(F.col("recommendation_id").cast("long") < 120).select(F.col("recommendation_id").alias("point"), F.col("topic_id").alias("label"), "embedding")
-    return clusters.silhouette(sample)
-
-
 def _kmeans(r: DataFrame) -> DataFrame:
     return learning.kmeans_labels(crosstab.long_reviews(r).select("recommendation_id", "embedding"), 8).select("recommendation_id", "topic_id")
 
 
 def _density(r: DataFrame) -> DataFrame:
-    sample = learning.sampled(crosstab.with_sentiment(crosstab.long_reviews(r)).select("sentiment", "recommendation_id", "embedding"), "recommendation_id", "sentiment")
-    return learning.density_labels(sample, "recommendation_id", "sentiment")
+    """Each app's reviews of one sentiment are a group, as in an analysis."""
+    long = crosstab.with_sentiment(crosstab.long_reviews(r)).where("embedding IS NOT NULL")
+    return learning.density_labels(long.select(F.concat_ws(":", "app_id", "sentiment").alias("part"), "recommendation_id", "embedding"), "recommendation_id", "part")
 
 
 def _merge(r: DataFrame) -> DataFrame:
@@ -133,7 +129,7 @@ REVIEW_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "nearest_to_centroid": clusters.nearest_to_centroid,
     "fragmentation": lambda r: clusters.fragmentation(_runs(r)).select("run", F.round("value", 6).alias("value")),
     "stability_ari": lambda r: clusters.stability(_runs(r)).select(F.round("value", 6).alias("value")),
-    "silhouette": lambda r: _silhouette(r).select(F.round("value", 6).alias("value")),
+    "silhouette": lambda r: learning.silhouette(r).select(F.round("value", 6).alias("value")),
     "truncate_review": lambda r: r.select("recommendation_id", T.truncate_review(F.col("review_text")).alias("value")),
     "language_name": lambda r: r.groupBy("language").agg(F.count(F.lit(1)).alias("n")).select("language", T.language_name(F.col("language")).alias("value"), "n"),
     "topic_label_lookup": lambda r: r.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n")).where("topic_id >= 0").select("topic_id", T.topic_name(F.col("topic_id"), F.when(F.col("topic_id") < 3, F.lit("named"))).alias("label"), "n"),
@@ -144,7 +140,7 @@ REVIEW_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "keywords_statistical": keywords.keywords_statistical,
     "keywords_semantic": keywords.keywords_semantic,
     "embed": lambda r: learning.embed(r.select("recommendation_id", "review_text"), features=64).select("recommendation_id", "embedding"),
-    "run_analysis": lambda r: analysis.topic_table(r.where("app_id = 2"), {"n_topics": 6}),
+    "run_analysis": lambda r: analysis.topic_table(r, {"n_topics": 6}),
 }
 
 PLAIN_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -180,9 +180,9 @@ SQL: dict[str, str] = {
         _RUNS + ", cells AS (SELECT x.label AS l, y.label AS m, CAST(count(*) AS DOUBLE) AS c FROM runs x JOIN runs y ON x.point = y.point AND x.run < y.run GROUP BY 1, 2)",
     ),
     "silhouette": _with(
-        """SELECT round(avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 6) AS value FROM (SELECT p, max(d) FILTER (WHERE l = m) AS own, min(d) FILTER (WHERE l <> m) AS other FROM (
+        """SELECT round(avg(CASE WHEN own IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END), 6) AS value FROM (SELECT p, max(d) FILTER (WHERE l = m) AS own, min(d) FILTER (WHERE l <> m) AS other FROM (
         SELECT p.i AS p, p.topic_id AS l, q.topic_id AS m, avg(list_distance(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS d FROM s p JOIN s q ON p.i <> q.i GROUP BY 1, 2, 3) GROUP BY p)""",
-        REVIEWS + ", s AS (SELECT * FROM reviews WHERE i < 120)",
+        REVIEWS + ", s AS (SELECT * FROM reviews WHERE embedding IS NOT NULL ORDER BY md5('17:' || recommendation_id), recommendation_id LIMIT 600)",
     ),
     "score_k": f"""WITH {_METRICS}, g AS (SELECT k, 0.55 * quantile_cont(separation, 0.5) + 0.35 * avg(stability) - 0.10 * avg(fragmentation) AS s FROM m GROUP BY k),
         z AS (SELECT k, s, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS x FROM g), w AS (SELECT min(k) AS wk FROM z WHERE (SELECT max(x) FROM z) - x < 0.01),
