@@ -131,6 +131,14 @@ def test_clusterings():
     assert learning.rand_index(labels, labels) == 1.0
 
 
+def test_silhouette_of_a_sample(spark):
+    rows = [(str(i), i % 2, [float(i % 2), i / 1000]) for i in range(40)] + [("none", 0, None)]
+    df = spark.createDataFrame(rows, "recommendation_id string, topic_id int, embedding array<float>")
+    value = lambda d: learning.silhouette(d).collect()[0].value
+    assert value(df) > 0.9
+    assert value(df.where("topic_id = 0")) is None and value(df.where("false")) is None and value(df.limit(1)) is None
+
+
 def test_recommend_k(spark):
     rng = np.random.default_rng(7)
     blobs = [(f"{s}{i}", s, rng.normal((0, 0) if i % 2 else (4, 4), 0.18).tolist()) for s in ("positive", "negative") for i in range(51)]
