@@ -50,8 +50,8 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 
-#: Vectors that the projection uses; a fixed number of rows.
-VECTORS = 500
+#: Tables of up to this many vectors are broadcast; larger ones are joined by a shuffle.
+BROADCAST_VECTORS = 20_000
 
 
 def normalize_review(raw: DataFrame, app_id: Column) -> DataFrame:
@@ -99,8 +99,9 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews by integer arithmetic on documents, labels and embeddings: the storage columns, topic_id and embedding."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     quality = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") < VECTORS).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    df = d.join(quality, "doc_id", "left").withColumn("vec_id", F.col("doc_id") % VECTORS).join(F.broadcast(vectors), "vec_id", "left")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
+    n = vectors.count()
+    df = d.join(quality, "doc_id", "left").withColumn("vec_id", F.col("doc_id") % max(n, 1)).join(F.broadcast(vectors) if n <= BROADCAST_VECTORS else vectors, "vec_id", "left")
     i = F.col("doc_id")
     language = F.when(i % 20 == 0, "koreana").when(i % 20 == 1, "japanese").when(F.col("lang") == "en", "english").when(F.col("lang") == "de", "german").when(F.col("lang") == "fr", "french").otherwise("spanish")
     created = 1672531200 + (i * 104729) % 63072000

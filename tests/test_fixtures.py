@@ -51,6 +51,16 @@ def _reviews(spark, rows):
     return spark.createDataFrame([tuple((base | r)[c] for c in S.REVIEW_COLUMNS) for r in rows], S.REVIEW_SCHEMA)
 
 
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_projection_uses_every_vector(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(S, "BROADCAST_VECTORS", broadcast)
+    at = lambda name: f"{tmp_path}/{name}.parquet"
+    spark.createDataFrame([(i, "a b c d e", "en") for i in (1, 601, 702)], "doc_id long, text string, lang string").write.parquet(at("documents"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(at("labels"))
+    spark.createDataFrame([(i, [float(i)], i % 10) for i in range(700)], "vec_id long, embedding array<float>, label int").write.parquet(at("embeddings"))
+    assert {r.recommendation_id: r.embedding for r in S.reviews(spark, str(tmp_path)).collect()} == {"1": [1.0], "601": [601.0], "702": [2.0]}
+
+
 def test_upsert_is_idempotent_and_keeps_first(spark):
     rows = _reviews(spark, [{"recommendation_id": "a", "language": "english", "votes_up": 1}, {"recommendation_id": "b"}]).withColumn("seq", F.lit(1))
     again = _reviews(spark, [{"recommendation_id": "a", "language": "german", "votes_up": 9}, {"recommendation_id": "b"}]).withColumn("seq", F.lit(2))
