@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,6 +21,9 @@ from gleanspark.operators.clusters import candidate_ks
 
 #: Fixed values of the choice of k.
 SAMPLE, RUNS, LEAST_GROUP, LEAST_SEPARATION, RUN_SHARE = 600, 4, 20, 0.05, 0.85
+#: Blocks of the silhouette: how many, of how many rows at most (then there are more) and at least (then fewer), and in how
+#: many parts each block meets the others.
+BLOCKS, BLOCK, LEAST_BLOCK, RIGHT_PARTS = 24, 20_000, 128, 4
 #: Groups up to this many vectors are clustered by density in one task; the method compares all pairs.
 DENSITY_LIMIT = 5000
 
@@ -200,19 +204,69 @@ def sampled(rows: DataFrame, key: str, group: str, n: int = SAMPLE, seed: int =
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def silhouette(rows: DataFrame, label: str = "topic_id", vector: str = "embedding", key: str = "recommendation_id", seed: int = 17) -> DataFrame:
-    """One row, value: the exact Euclidean silhouette of a seeded sample of all rows, as in the choice of k.
-
-    It is null with under 2 labels or as many labels as points.
+def _flat(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all pairs; nearly equal vectors are subtracted, as their products cancel."""
+    a, b = (x * x).sum(1)[:, None], (y * y).sum(1)[None]
+    d = a + b - 2 * x @ y.T
+    i, j = np.nonzero(d < 1e-6 * (a + b))
+    d[i, j] = ((x[i] - y[j]) ** 2).sum(1)
+    return np.sqrt(d, out=d)
+
+
+def _label_sums(batches):
+    """From pairs of blocks: for each point of the left one and each label, the sum of distances to the right ones."""
+    found: dict[int, tuple] = {}
+    for batch in batches:
+        for row in range(batch.num_rows):
+            at = batch.column("b")[row].as_py()
+            x, y = (_flat(batch, f"{side}x", row).astype(float).reshape(batch.column(f"{side}n")[row].as_py(), -1) for side in "lr")
+            _, sums = found.setdefault(at, (tuple(_flat(batch, f"l{c}", row) for c in "ikw"), {}))
+            labels, column = np.unique(_flat(batch, "rk", row), return_inverse=True)
+            weight = np.zeros((len(y), len(labels)))
+            weight[_flat(batch, "ri", row), column] = _flat(batch, "rw", row)
+            step = max(1, 250_000 // len(y))
+            part = np.vstack([distances(x[i : i + step], y) @ weight for i in range(0, len(x), step)])
+            for j, m in enumerate(labels.tolist()):
+                sums[m] = sums[m] + part[:, j] if m in sums else part[:, j]
+    for at, ((i, k, w), sums) in found.items():
+        for m, s in sums.items():
+            yield pa.RecordBatch.from_pydict({"b": pa.array(np.full(len(i), at, "int32")), "i": i, "k": k, "w": w, "m": pa.array(np.full(len(i), m, "int32")), "s": s[i]})
+
+
+def silhouette(rows: DataFrame, label: str = "topic_id", vector: str = "embedding") -> DataFrame:
+    """One row, value: the exact Euclidean silhouette of all rows with a vector.
+
+    It is null with under 2 labels or as many labels as points.  Equal vectors are one point with a count for each label;
+    points are packed into blocks, and every block meets every other in a task that sums distances by label.
     """
-    known = rows.where(F.col(vector).isNotNull()).select(key, F.col(label).alias("l"), F.col(vector).alias("v"), F.lit(0).alias("_group"))
-    packed = sampled(known, key, "_group", seed=seed).agg(F.sort_array(F.collect_list(F.struct(key, "l", "v"))).alias("rows"))  # at most SAMPLE rows
-
-    def one(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"value": [pairwise_silhouette(np.array([x["v"] for x in r], dtype=float), np.array([x["l"] for x in r])) if len(r) else None for r in pdf.rows]}, dtype="float64")
-
-    return packed.mapInPandas(one, "value double")
+    known = rows.where(F.col(vector).isNotNull()).select(F.col(label).cast("int").alias("k"), F.col(vector).alias("v"))
+    n = known.count()
+    blocks = max(1, min(max(BLOCKS, -(-n // BLOCK)), n // LEAST_BLOCK))
+    cells = known.groupBy("v", "k").agg(F.count(F.lit(1)).alias("w"))
+    points = cells.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("ls"))
+    packed = points.groupBy(F.pmod(F.hash("v"), F.lit(blocks)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("v", "ls"))).alias("ps"))  # in order: blocks are made more than once
+
+    def side(s: str, parts: int) -> DataFrame:
+        of = lambda c: F.flatten(F.transform("ps", lambda p: F.transform(p["ls"], lambda q: q[c])))
+        index = F.flatten(F.transform("ps", lambda p, i: F.transform(p["ls"], lambda q: i)))
+        out = packed.select("b", F.size("ps").alias(f"{s}n"), F.flatten(F.transform("ps", lambda p: p["v"])).alias(f"{s}x"), index.alias(f"{s}i"), of("k").alias(f"{s}k"), of("w").alias(f"{s}w"))
+        return out.repartitionByRange(min(parts, blocks), "b")
+
+    pairs = side("l", blocks).join(side("r", RIGHT_PARTS).drop("b").hint("shuffle_replicate_nl"))
+    sums = pairs.mapInArrow(_label_sums, "b int, i int, k int, w long, m int, s double").groupBy("b", "i", "k", "w", "m").agg(F.sum("s").alias("s"))
+    sizes = cells.groupBy(F.col("k").alias("m")).agg(F.sum("w").alias("n"))
+    same = F.col("k") == F.col("m")
+    point = sums.join(sizes, "m").groupBy("b", "i", "k", "w").agg(
+        F.max(F.when(same, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("own"), F.max(F.when(same, F.col("n"))).alias("size"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("other")
+    )
+    top = F.greatest("own", "other")
+    value = F.when((F.col("size") == 1) | (top == 0), F.lit(0.0)).otherwise((F.col("other") - F.col("own")) / top)
+    all_ = point.groupBy("k").agg(F.sum(value * F.col("w")).alias("s"), F.sum("w").alias("n")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
+    return all_.select(F.when((F.col("labels") >= 2) & (F.col("labels") < F.col("n")), F.col("s") / F.col("n")).alias("value"))
 
 
 def recommend_k(rows: DataFrame, key: str = "recommendation_id", group: str = "sentiment", vector: str = "embedding", seed: int = 17) -> DataFrame:

@@ -149,6 +149,16 @@ def test_silhouette_of_a_sample(spark):
     assert value(df.where("topic_id = 0")) is None and value(df.where("false")) is None and value(df.limit(1)) is None
 
 
+def test_silhouette_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (700, 3))
+    x[600:] = x[:100]  # equal vectors, some with another label
+    labels = rng.integers(-1, 4, 700)
+    labels[5] = 99  # a topic of one row
+    df = spark.createDataFrame([(str(i), int(k), v.tolist()) for i, (k, v) in enumerate(zip(labels, x, strict=True))], "recommendation_id string, topic_id int, embedding array<double>")
+    assert learning.silhouette(df).first().value == pytest.approx(learning.pairwise_silhouette(x, labels), abs=1e-9)
+
+
 def test_recommend_k(spark):
     rng = np.random.default_rng(7)
     blobs = [(f"{s}{i}", s, rng.normal((0, 0) if i % 2 else (4, 4), 0.18).tolist()) for s in ("positive", "negative") for i in range(51)]
