@@ -5,8 +5,10 @@ Words are counted by Spark over all texts; only aggregates by topic and word rea
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,18 @@ from gleanspark.operators.learning import embed
 _TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, and read back."""
+    context = df.sparkSession.sparkContext
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="gleanspark-")
+        context.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}-grams"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _sentences(rows: DataFrame, text: str) -> DataFrame:
     """(topic_id, sentence, tokens): sentences numbered by a hash, which is enough to count them."""
     parts = rows.where("topic_id >= 0").select("topic_id", F.posexplode(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+")).alias("i", "s"), F.xxhash64("recommendation_id").alias("r"))
@@ -70,12 +84,21 @@ def keywords_statistical(rows: DataFrame, n: int = 8, text: str = "review_text",
     g = each.groupBy("topic_id", "gram", "n").agg(F.product("score").alias("prod"), F.sum("score").alias("sum"))
     g = g.withColumn("raw", F.col("prod") / (F.col("n") * (1 + F.col("sum"))))
     best = Window.partitionBy("topic_id").orderBy("raw", "gram")
-    top = g.withColumn("i", F.row_number().over(best)).where(F.col("i") <= 5 * n)  # a short list for each topic
-    listed = top.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("raw", "gram"))).alias("c"))
     similar = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    empty = F.expr("cast(array() as array<struct<raw:double,gram:string>>)")
-    fold = F.aggregate("c", empty, lambda kept, x: F.when((F.size(kept) < n) & ~F.exists(kept, lambda k: similar(k["gram"], x["gram"]) > alike), F.concat(kept, F.array(x))).otherwise(kept))
-    rows_ = listed.select("topic_id", F.posexplode(fold).alias("rank", "k")).select("topic_id", "rank", F.col("k.gram").alias("word"), F.col("k.raw").alias("raw"))
+    repeats = lambda kept, gram: F.exists(kept, lambda k: similar(k["gram"], gram) > alike)
+    spark, state, done, open_ = rows.sparkSession, "topic_id int, kept array<struct<raw:double,gram:string>>", [], None
+    while open_ is None or open_:
+        # Topics that ran out of a list full of near repeats go on with the best of what repeats nothing they have.
+        have = g.withColumn("kept", F.expr("cast(array() as array<struct<raw:double,gram:string>>)")) if open_ is None else g.join(F.broadcast(spark.createDataFrame(open_, state)), "topic_id").where(~repeats(F.col("kept"), F.col("gram")))
+        top = have.withColumn("i", F.row_number().over(best)).where(F.col("i") <= 5 * n)
+        listed = top.groupBy("topic_id", "kept").agg(F.sort_array(F.collect_list(F.struct("raw", "gram"))).alias("c"))
+        fold = F.aggregate("c", F.col("kept"), lambda kept, x: F.when((F.size(kept) < n) & ~repeats(kept, x["gram"]), F.concat(kept, F.array(x))).otherwise(kept))
+        found = [(r.topic_id, r.kept, r.full) for r in listed.select("topic_id", fold.alias("kept"), (F.size("c") == 5 * n).alias("full")).collect()]  # n words a topic
+        ended = {t for t, kept, full in found if len(kept) >= n or not full}
+        # A topic with nothing left has no row now and keeps what it had.
+        done += [(t, kept) for t, kept in open_ or [] if t not in {f[0] for f in found}] + [(t, kept) for t, kept, _ in found if t in ended]
+        open_ = [(t, kept) for t, kept, _ in found if t not in ended]
+    rows_ = spark.createDataFrame(done, state).select("topic_id", F.posexplode("kept").alias("rank", "k")).select("topic_id", "rank", F.col("k.gram").alias("word"), F.col("k.raw").alias("raw"))
     most = F.max("raw").over(Window.partitionBy("topic_id")) + 0.001
     return rows_.select("topic_id", "rank", "word", (1 - F.col("raw") / most).alias("score"))
 
@@ -85,24 +108,27 @@ def keywords_semantic(rows: DataFrame, n: int = 8, texts: int = 100, diversity:
     newest = Window.partitionBy("topic_id").orderBy(F.col("timestamp_created").desc(), "recommendation_id")
     first = rows.where("topic_id >= 0").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= texts)
     grams = _grams(_sentences(first, text))
-    w = Window.partitionBy("topic_id").orderBy(F.col("n").desc(), "gram")
-    grams = grams.withColumn("i", F.row_number().over(w)).where(F.col("i") <= 200)
     whole = first.groupBy("topic_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("_n", text))).getField(text), " ").alias("t")).select("topic_id", F.lit("").alias("gram"), "t")
-    vectors = embed(grams.select("topic_id", "gram", F.col("gram").alias("t")).unionByName(whole), "t")
+    features = 256
+    vectors = embed(grams.select("topic_id", "gram", F.col("gram").alias("t")).unionByName(whole), "t", features)
     v = vectors.where("gram <> ''").join(vectors.where("gram = ''").select("topic_id", F.col("embedding").alias("doc")), "topic_id")
     v = v.withColumn("score", cosine(F.col("embedding"), F.col("doc"))).where("score > 0")
-    top = v.withColumn("i", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.col("score").desc(), "gram"))).where(F.col("i") <= 6 * n)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "gram"], ascending=[False, True]).reset_index(drop=True)
-        x = np.vstack(pdf.embedding).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        like, score, chosen = x @ x.T, pdf.score.to_numpy(), [0]
-        while len(chosen) < min(n, len(pdf)):
-            value = (1 - diversity) * score - diversity * like[:, chosen].max(1)
-            value[chosen] = -np.inf
-            chosen.append(int(value.argmax()))
-        return pd.DataFrame({"topic_id": pdf.topic_id.iloc[0], "rank": range(len(chosen)), "word": pdf.gram[chosen].to_numpy(), "score": score[chosen]})
-
-    # At most 6n candidates of a topic meet in one task.
-    return top.select("topic_id", "gram", "score", "embedding").groupBy("topic_id").applyInPandas(pick, "topic_id int, rank int, word string, score double")
+    cells = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda c: c["x"] != 0)  # two words have two at most
+    v = _stored(v.select("topic_id", "gram", "score", cells.alias("cells")))
+    spark, chosen = rows.sparkSession, {}
+    like = lambda c: F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["x"] * F.get(c, x["i"])) / F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["x"] * x["x"]))
+    for _ in range(n):
+        # One more of each topic: all grams are weighed against the few that were chosen before.
+        if chosen:
+            state = spark.createDataFrame([(t, [c[0] for c in cs], [c[2] for c in cs]) for t, cs in chosen.items()], "topic_id int, words array<string>, vectors array<array<double>>")
+            left = v.join(F.broadcast(state), "topic_id").where(~F.array_contains("words", F.col("gram")))
+            value = (1 - diversity) * F.col("score") - diversity * F.array_max(F.transform("vectors", like))
+        else:
+            left, value = v, F.col("score")
+        best = F.min_by(F.struct("gram", "score", "cells"), F.struct(-value, -F.col("score"), "gram"))
+        for r in left.groupBy("topic_id").agg(best.alias("b")).collect():
+            x = np.zeros(features)
+            x[[c.i for c in r.b.cells]] = [c.x for c in r.b.cells]
+            chosen.setdefault(r.topic_id, []).append((r.b.gram, r.b.score, (x / max(np.linalg.norm(x), 1e-12)).tolist()))
+    picked = [(t, i, word, score) for t, cs in chosen.items() for i, (word, score, _) in enumerate(cs)]
+    return spark.createDataFrame(picked, "topic_id int, rank int, word string, score double")

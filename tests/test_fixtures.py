@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
 from gleanspark.functions.time import iso_week_key, sunday_key
-from gleanspark.operators import clusters, crosstab, filters, learning, stats, upsert
+from gleanspark.operators import clusters, crosstab, filters, keywords, learning, stats, upsert
 from gleanspark.plans import report
 from gleanspark.plans.config import config_hash, load_settings, resolve_config, resolve_mode, resolve_tier, save_settings
 from gleanspark.plans.results import ResultStore, parse_result
@@ -159,6 +159,35 @@ def test_silhouette_of_all_rows(spark):
     assert learning.silhouette(df).first().value == pytest.approx(learning.pairwise_silhouette(x, labels), abs=1e-9)
 
 
+def _topic(spark, text):
+    return spark.createDataFrame([("1", 0, 1, text)], "recommendation_id string, topic_id int, timestamp_created long, review_text string")
+
+
+def test_statistical_keywords_go_on_after_near_repeats(spark):
+    variants = [f"abcdefghijklmnop{a}{b}" for a in "qrstuvwx" for b in "qrstuvwx"]
+    others = ["zebra", "piano", "harbour", "lightning", "mustard", "quokka", "violet", "elbow"]
+    got = keywords.keywords_statistical(_topic(spark, ". ".join(variants * 5 + others))).orderBy("rank").collect()
+    words = [r.word for r in got]
+    assert len(words) == 8 and [r["rank"] for r in got] == list(range(8)) and len(set(words) & set(others)) == 7
+
+
+def test_semantic_keywords_weigh_every_gram(spark):
+    letters = "abcdefghijklmnopqrst"
+    df = _topic(spark, ". ".join(f"{a}{b}{a} {b}{a}{a}{b}" for a in letters for b in letters[:15]))
+    grams = keywords._grams(keywords._sentences(df, "review_text"))
+    texts = grams.select("gram", F.col("gram").alias("t")).union(df.select(F.lit(""), "review_text"))
+    v = {r.gram: np.array(r.embedding, dtype=float) for r in learning.embed(texts, "t").collect()}
+    doc, names = v.pop(""), sorted(v)
+    unit = np.array([v[g] / np.linalg.norm(v[g]) for g in names])
+    score, chosen = unit @ doc / np.linalg.norm(doc), []
+    for _ in range(8):
+        value = 0.5 * score - 0.5 * (unit @ unit[chosen].T).max(1) if chosen else score.copy()
+        value[chosen] = -np.inf
+        chosen.append(max(range(len(names)), key=lambda i: (round(value[i], 9), round(score[i], 9), -i)))
+    got = keywords.keywords_semantic(df).orderBy("rank").collect()
+    assert len(names) > 200 and [round(r.score, 6) for r in got] == [round(score[i], 6) for i in chosen]
+
+
 def test_recommend_k(spark):
     rng = np.random.default_rng(7)
     blobs = [(f"{s}{i}", s, rng.normal((0, 0) if i % 2 else (4, 4), 0.18).tolist()) for s in ("positive", "negative") for i in range(51)]
