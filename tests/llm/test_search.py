@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gleanspark.llm import pii
 from gleanspark.llm.common import UPPER
-from gleanspark.llm.decontamination import RADIUS, contaminated, decontaminate
+from gleanspark.llm import decontamination as D
+from gleanspark.llm.decontamination import contaminated, decontaminate
 from gleanspark.llm.ngram_join import near_duplicates, representatives
 from tests.llm.conftest import words
 
@@ -148,12 +149,56 @@ def test_items_on_tables(spark, small, tables):
     assert got == brute_items(near, items)
 
 
+def test_moved_and_edited_passages(spark):
+    """Items of which parts change places, and with words put in, taken out and replaced: as the brute-force windows have it."""
+    rng = random.Random(11)
+    items, docs = [], []
+    for k in range(24):
+        w = words(rng, rng.choice((40, 60, 120))).split(" ")
+        items.append((k, " ".join(w)))
+        half, d = len(w) // 2, 10 * k
+        docs.append((d, " ".join([words(rng, 9), *w[half:], *w[:half], words(rng, 7)])))
+        third = len(w) // 3
+        docs.append((d + 1, " ".join([words(rng, 5), *w[2 * third :], *w[third : 2 * third], *w[:third]])))
+        for n, edit in enumerate(("in", "out", "other"), 2):
+            e = list(w)
+            for _ in range(rng.randint(1, 1 + len(w) // 30)):
+                i = rng.randrange(len(e))
+                e[i : i + (edit != "in")] = [words(rng, 1)] * (edit != "out")
+            docs.append((d + n, " ".join([words(rng, 12), *e, words(rng, 12)])))
+    found = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    expected = brute_items(docs, items)
+    moved = {(d, d // 10) for d, _ in docs if d % 10 == 0}
+    assert len(expected) > 60 and len(moved & expected) > 20 and found <= expected
+    recall = len(found & expected) / len(expected)
+    print(f"recall of the index on edited passages: {recall:.4f} of {len(expected)}")
+    assert moved & expected <= found and recall >= 0.97
+
+
 def test_index_guarantees_the_radius():
-    """Whatever differs in RADIUS bits has a block that differs in two bits at most."""
+    """Whatever differs in RADIUS bits has a block that differs in NEAR bits at most, which two look-ups cover."""
     rng = random.Random(1)
     for _ in range(2000):
-        bits = rng.sample(range(64), RADIUS)
-        assert min(Counter({b: 0 for b in range(8)} | Counter(k // 8 for k in bits)).values()) <= 2
+        bits = rng.sample(range(D.BLOCKS * D.BITS), D.RADIUS)
+        assert min(Counter({b: 0 for b in range(D.BLOCKS)} | Counter(k // D.BITS for k in bits)).values()) <= D.NEAR
+    assert {a ^ b for a in D.masks(D.ITEM_FLIPS) for b in D.masks(D.WINDOW_FLIPS)} == set(D.masks(D.NEAR))
+
+
+def test_index_selects_and_recalls(spark):
+    """Of unlike fingerprints few meet; of windows at the threshold nearly all are found; within the radius all are."""
+    rng = random.Random(4)
+    items = [[rng.getrandbits(62) for _ in range(42)] for _ in range(300)]
+    like = [x[:36] + [rng.getrandbits(62) for _ in range(6)] for x in items]  # weighted Jaccard 36 / 48
+    frame = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, hashes array<long>").select(name, F.lit(46).alias("len"), D.fingerprint(F.col("hashes")).alias("blocks"))
+    marked, keyed = frame(items, "item_id"), frame(like, "window")
+    pairs = {(r.window, r.item_id) for r in D.candidates(keyed, marked, len(items)).collect()}
+    blocks = [{r[0]: r.blocks for r in f.collect()} for f in (keyed, marked)]
+    far = lambda w, i: sum((a ^ b).bit_count() for a, b in zip(blocks[0][w], blocks[1][i], strict=True))
+    assert all((w, i) in pairs for w in range(300) for i in range(300) if far(w, i) <= D.RADIUS)
+    unlike = sum(w != i for w, i in pairs) / (300 * 299)
+    recall = sum((i, i) in pairs and far(i, i) <= D.RADIUS for i in range(300)) / 300
+    print(f"unlike pairs that meet: {unlike:.4f}; recall at similarity 0.75: {recall:.4f}")
+    assert unlike < 0.05 and recall >= 0.9
 
 
 # Personal data
