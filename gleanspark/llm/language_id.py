@@ -3,15 +3,19 @@
 A text is cut greedily into the longest phrases that occur in a language's labelled text.  With ``c`` phrases over ``n``
 symbols and a reference of ``m`` symbols, ``c * log2(m) / n`` estimates the cross entropy; the language with the least wins.
 
-Texts become bytes with case folded and everything but letters as one blank.  A text is parsed in blocks of ``BLOCK``
-symbols (each block starts a phrase), so that one NumPy step advances thousands of blocks through all automata.
+Texts become bytes with case folded and everything but letters as one blank.  So that one NumPy step advances thousands of
+places through all automata, texts are laid out in blocks that are first parsed as if each began a phrase.  Then every block
+is parsed again from where the one before it really ended, until both parses are in one state (from there on they are the
+same); blocks whose end changes hand it on.  The count is that of one parse of the whole text.
 
-Fitting uses a bounded sample: for each language the ``sample_docs`` labelled documents with the smallest id hashes and at
-most ``sample_bytes`` bytes of them.  Prediction reads every whole text.
+Fitting uses a bounded sample of whole texts: for each language at most ``sample_docs`` labelled documents in the order of
+their id hashes, until ``sample_bytes`` bytes are reached; texts of up to an eighth of that come first, and texts beyond it
+are never learned from.  Prediction reads every whole text.  The automata share one table of about 16 bytes a transition,
+some 2 MB a language.
 
 Defined cases: ``und`` with score 0 for a null text and one without letters; ties go to the language first in the alphabet;
 null ids and null labels are never learned from; without labelled rows every text is ``und``; repeated rows are separate;
-an empty table gives an empty result; other columns are ignored.
+texts of any length are parsed whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +31,10 @@ from pyspark.sql import functions as F
 from gleanspark.llm.common import pieces_of, remembered
 
 SAMPLE_DOCS = 64
-SAMPLE_BYTES = 24_000
-BLOCK = 256
-#: Blocks that go through the automata together, and bytes of text that a worker takes up at a time.
-LANES, PART_BYTES = 8192, 2_000_000
-_SPACE, _NEW = 32, 1 << 30
+SAMPLE_BYTES = 32_000
+#: Symbols of a block, states that are kept while blocks go through the automata together, and bytes that a worker takes up at a time.
+BLOCK, KEPT_STATES, PART_BYTES = 256, 8_000_000, 2_000_000
+_SPACE, _NEXT = 32, (1 << 32) - 1
 
 
 def _folded() -> np.ndarray:
@@ -89,39 +92,128 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def packed_rows(automata: list[list[dict[int, int]]], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The transitions of all automata in one table, rows laid into one another's gaps; and each state's place.
+
+    The entry at ``place + symbol`` is the state's own if its upper half is that place; the lower half is the next place.
+    """
+    states = [edges for automaton in automata for edges in automaton]
+    place = np.zeros(len(states), dtype=np.int64)
+    several = sorted((i for i, e in enumerate(states) if len(e) > 1), key=lambda i: -len(states[i]))
+    cells, names, at = bytearray(4 * width), bytearray(4 * width), 0
+    for i in several:
+        symbols, p = list(states[i]), at
+        while names[p] or any(cells[p + s] for s in symbols):
+            p += 1
+            if p + width >= len(cells):
+                cells.extend(bytes(len(cells)))
+                names.extend(bytes(len(names)))
+        at = max(at, p - width)
+        place[i], names[p] = p, 1
+        for s in symbols:
+            cells[p + s] = 1
+    # States of one transition take the gaps that are left.
+    used, named = (np.frombuffer(x, dtype=np.uint8).astype(bool) for x in (cells, names))
+    single = np.array([i for i, e in enumerate(states) if len(e) == 1], dtype=np.int64)
+    symbol = np.array([next(iter(states[i])) for i in single.tolist()], dtype=np.int64)
+    while len(single):
+        gaps = np.flatnonzero(~used[width:]) + width
+        if len(gaps) < len(single):
+            more = np.zeros(len(single) + width, dtype=bool)
+            used, named = np.r_[used, more], np.r_[named, more]
+            continue
+        gaps = gaps[: len(single)]
+        p = gaps - symbol
+        fits = np.zeros(len(p), dtype=bool)
+        fits[np.unique(p, return_index=True)[1]] = True
+        fits &= ~named[p]
+        place[single[fits]] = p[fits]
+        named[p[fits]], used[gaps[fits]] = True, True
+        if not fits.any():  # none fits: the gaps that are left are no use to these symbols
+            used[gaps] = True
+        single, symbol = single[~fits], symbol[~fits]
+    ends = np.array([i for i, e in enumerate(states) if not e], dtype=np.int64)
+    place[ends] = len(used) + np.arange(len(ends))
+    table = np.full(len(used) + len(ends) + width, -1, dtype=np.int64)
+    first = 0
+    places = []
+    for automaton in automata:
+        own = place[first : first + len(automaton)]
+        for p, edges in zip(own.tolist(), automaton, strict=True):
+            for s, to in edges.items():
+                table[p + s] = (p << 32) | int(own[to])
+        places.append(own)
+        first += len(automaton)
+    return table, places
+
+
 class Parser:
-    """The automata of all languages in one table; an entry is the next row, with a bit where a new phrase begins."""
+    """The automata of all languages; a state is its place in the table of transitions."""
 
     def __init__(self, references: dict[str, bytes]) -> None:
         self.languages = sorted(k for k, v in references.items() if v)
         raw = {k: normalise(a := np.frombuffer(references[k], np.uint8), np.array([0, len(a)]))[0] for k in self.languages}
         seen = sorted(set(b"".join(r.tobytes() for r in raw.values())))
-        self.code = np.full(256, len(seen), dtype=np.int32)
+        self.code = np.full(256, len(seen), dtype=np.int64)
         self.code[seen] = np.arange(len(seen))
-        self.pad = len(seen) + 1
-        width = len(seen) + 2
-        tables, roots, rows = [], [], 0
-        for k in self.languages:
-            states = suffix_automaton(self.code[raw[k]].tolist())
-            t = np.full((len(states) + 1, width), -1, dtype=np.int64)
-            for i, edges in enumerate(states):
-                t[i, list(edges.keys())] = list(edges.values())
-            # The last row stands before a phrase: at a block's start, and after a symbol that the language never has.
-            between = len(states)
-            again = np.where(t[0] >= 0, t[0], between)
-            t = np.where(t >= 0, t + rows, (again + rows)[None, :] + _NEW)
-            t[between] = again + rows + _NEW
-            t[:, self.pad] = np.arange(len(t)) + rows
-            tables.append(t)
-            roots.append(rows + between)
-            rows += len(t)
-        whole = np.concatenate(tables) if tables else np.zeros((0, width), dtype=np.int64)
-        # Rows come multiplied by the width, so that a step is one addition and one look-up.
-        self.table = ((whole & (_NEW - 1)) * width + (whole & _NEW)).astype(np.int32).ravel()
-        self.roots = (np.array(roots, dtype=np.int32) * width)[:, None]
+        width = len(seen) + 1
+        # The last state of each stands between phrases: at the start, and after a symbol that the language never has.
+        automata = [[*suffix_automaton(self.code[raw[k]].tolist()), {}] for k in self.languages]
+        self.table, places = packed_rows(automata, width)
+        self.between = np.array([p[-1] for p in places], dtype=np.int64)
+        #: Where the first symbol of a phrase leads.
+        self.first = np.repeat(self.between[:, None], width, axis=1)
+        for row, p, automaton in zip(self.first, places, automata, strict=True):
+            row[list(automaton[0])] = p[list(automaton[0].values())]
         self.bits = np.array([math.log2(max(2, len(raw[k]))) for k in self.languages])
-        if len(self.table) >= _NEW:
-            raise ValueError("the automata are too large for 30-bit rows: lower sample_bytes")
+
+    def _blocks(self, symbols: np.ndarray, sizes: np.ndarray, follows: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block, by language, and the last block's end.
+
+        ``symbols`` has a column for each block, longest first; ``follows`` is the column that a block comes after (-1 for
+        none), and ``carried`` the states that blocks without one begin with.
+        """
+        steps, n_lang = int(sizes[0]), len(self.languages)
+        states = np.zeros((steps, n_lang, len(sizes)), dtype=np.int32)
+        counts = np.zeros((steps, n_lang, len(sizes)), dtype=np.int16)
+        state, count = carried.copy(), np.zeros(carried.shape, dtype=np.int32)
+        for t in range(steps):
+            live = int(np.searchsorted(-sizes, -t))
+            before, column = state[:, :live], symbols[t, :live]
+            entry = self.table.take(before + column)
+            new = (entry >> 32) != before
+            state[:, :live] = np.where(new, self.first.take(column, axis=1), entry & _NEXT)
+            count[:, :live] += new
+            states[t, :, :live], counts[t, :, :live] = state[:, :live], count[:, :live]
+        plain_end, end, more = state, state.copy(), np.zeros_like(count)
+        after = np.full(len(sizes), -1)
+        after[follows[follows >= 0]] = np.flatnonzero(follows >= 0)
+        again = np.zeros(state.shape, dtype=bool)
+        again[:, follows >= 0] = True
+        while again.any():
+            lang, lane = np.nonzero(again)
+            begun, n, t, changed = end[lang, follows[lane]], np.zeros(len(lane), dtype=np.int32), 0, []
+            while len(lane):
+                column = symbols[t, lane]
+                entry = self.table.take(begun + column)
+                new = (entry >> 32) != begun
+                begun = np.where(new, self.first[lang, column], entry & _NEXT)
+                n += new
+                met = begun == states[t, lang, lane]
+                stop = met | (sizes[lane] == t + 1)
+                if stop.any():
+                    k, j = lang[stop], lane[stop]
+                    more[k, j] = n[stop] - counts[t, k, j]
+                    changed.append((k, j, np.where(met[stop], plain_end[k, j], begun[stop])))
+                    go = ~stop
+                    lang, lane, begun, n = lang[go], lane[go], begun[go], n[go]
+                t += 1
+            again[:] = False
+            for k, j, to in changed:
+                other = (to != end[k, j]) & (after[j] >= 0)
+                end[k, j] = to
+                again[k[other], after[j[other]]] = True
+        return count + more, end
 
     def phrases(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and symbols by text."""
@@ -134,18 +226,21 @@ class Parser:
         begin = starts[:-1][owner] + nth * BLOCK
         size = np.minimum(BLOCK, sizes[owner] - nth * BLOCK)
         total = np.zeros((len(sizes), len(self.languages)), dtype=np.int64)
-        codes = np.r_[codes, np.full(BLOCK, self.pad, dtype=np.int32)]
-        for i in range(0, len(owner), LANES):
-            at, n = begin[i : i + LANES], size[i : i + LANES]
-            lanes = codes[np.arange(BLOCK)[:, None] + at[None, :]]
-            lanes[np.arange(BLOCK)[:, None] >= n[None, :]] = self.pad
-            state = np.repeat(self.roots, len(at), axis=1)
-            count = np.zeros(state.shape, dtype=np.int32)
-            for column in lanes:
-                step = self.table.take(state + column)
-                count += step >> 30
-                state = step & (_NEW - 1)
-            np.add.at(total, owner[i : i + LANES], count.T)
+        lanes = max(64, KEPT_STATES // (BLOCK * max(1, len(self.languages))))
+        end = self.between
+        for i in range(0, len(owner), lanes):
+            order = np.argsort(-size[i : i + lanes], kind="stable")
+            at, n, nth_ = (x[i : i + lanes][order] for x in (begin, size, nth))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            symbols = codes[np.minimum(np.arange(int(n[0]))[:, None] + at[None, :], len(codes) - 1)]
+            follows = np.where((order > 0) & (nth_ > 0), place[order - 1], -1)
+            carried = np.repeat(self.between[:, None], len(order), axis=1)
+            if nth[i] > 0:  # the text of the blocks before goes on
+                carried[:, place[0]] = end
+            count, ends = self._blocks(symbols, n, follows, carried)
+            end = ends[:, place[-1]]
+            np.add.at(total, owner[i : i + lanes][order], count.T)
         return total, sizes
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -177,20 +272,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Labelled text by language, from rows that are not held out."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample_docs)
+    """Labelled text by language, from rows that are not held out: whole texts up to the bounds of the sample."""
+    size = F.octet_length("text")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(size, F.lit(0)) > 0) & (size <= sample_bytes) & ~held_out(F.col("doc_id")))
+    by_hash = Window.partitionBy("lang").orderBy(F.col("size") > sample_bytes // 8, F.xxhash64("doc_id"), "doc_id", "size")
+    # At most sample_docs rows a language go on.
+    first = labelled.select("doc_id", "lang", size.alias("size")).withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample_docs)
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("n")) - F.col("size")
+    ids = first.withColumn("before", before).where((F.col("before") + F.col("size") <= sample_bytes) | (F.col("n") == 1))
     chosen = sorted({r.doc_id for r in ids.select("doc_id").collect()})
-    rows = labelled.where(F.col("doc_id").isin(chosen)).select("lang", "doc_id", F.substring("text", 1, sample_bytes).alias("text")).collect() if chosen else []
+    rows = labelled.where(F.col("doc_id").isin(chosen)).select("lang", "doc_id", "text").collect() if chosen else []
     parts: dict[str, list[bytes]] = {}
-    texts = sorted({(r.lang, r.doc_id, r.text) for r in rows if r.text})
-    share = {}
-    for lang, _, _ in texts:
-        share[lang] = share.get(lang, 0) + 1
-    for lang, _, text in texts:  # an even share from each document, at character bounds
-        parts.setdefault(lang, []).append(text.encode()[: max(200, sample_bytes // share[lang])].decode("utf-8", "ignore").encode())
-    return {lang: b"\n".join(p)[:sample_bytes].decode("utf-8", "ignore").encode() for lang, p in parts.items()}
+    for lang, _, text in sorted({(r.lang, r.doc_id, r.text) for r in rows}):
+        parts.setdefault(lang, []).append(text.encode())
+    return {lang: b"\n".join(p) for lang, p in parts.items()}
 
 
 def _predictor(references: dict[str, bytes], keep: list[str]):

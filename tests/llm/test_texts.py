@@ -109,6 +109,37 @@ def test_phrases_are_the_longest_matches():
             assert total[i, j] == brute_parse(folded(t), folded(refs[k].decode()))
 
 
+@pytest.mark.parametrize("kept", [L.KEPT_STATES, 1])
+def test_long_texts_are_parsed_as_one(monkeypatch, kept):
+    """Texts around and far beyond a block, over one group of blocks and over many: random, periodic, and the reference itself."""
+    monkeypatch.setattr(L, "KEPT_STATES", kept)
+    rng = random.Random(8)
+    chars = lambda n, of="abcde fghü": "".join(rng.choice(of) for _ in range(n))
+    refs = {"x": (chars(3000) + "ab" * 700).encode(), "y": chars(2500, "abc de").encode(), "z": b"q"}
+    sizes = [1, 255, 256, 257, 511, 512, 513, 5000, 100_000 if kept > 1 else 30_000]
+    texts = [chars(n) for n in sizes] + [refs["x"].decode(), refs["x"].decode()[100:2900], "ab" * 1500, "a" * 1000, "q" * 600, "7" * 600] + [chars(n, "abc de") for n in sizes[:-1]]
+    p = L.Parser(refs)
+    data = L.np.frombuffer("".join(texts).encode(), L.np.uint8)
+    total, _ = p.phrases(data, L.np.cumsum([0, *[len(t.encode()) for t in texts]]))
+    for i, t in enumerate(texts):
+        assert total[i].tolist() == [brute_parse(folded(t), folded(refs[k].decode())) for k in sorted(refs)], i
+    assert total[len(sizes), 0] == 1
+
+
+def test_predictions_are_the_least_entropies(small):
+    refs = L.fit(small)
+    assert all(0 < len(v) <= L.SAMPLE_BYTES + L.SAMPLE_DOCS for v in refs.values())
+    whole = {(r.text or "").encode() for r in small.where(~L.held_out(F.col("doc_id"))).select("text").collect()}
+    folded_refs = {k: folded(v.decode()) for k, v in sorted(refs.items())}
+    assert all(any(v.startswith(t) for t in whole if t) for v in refs.values())
+    for r in L.language_id(small, keep=["doc_id", "text"]).where(F.length("text") < 1500).collect():
+        t = folded(r.text or "")
+        if any(c.isalpha() for c in r.text or ""):
+            cost = {k: brute_parse(t, v) * math.log2(len(v)) / len(t) for k, v in folded_refs.items()}
+            best, second = sorted(cost.values())[:2]
+            assert r.lang_pred == min(cost, key=lambda k: (cost[k], k)) and abs(r.score - (1 - best / second)) < 1e-9
+
+
 def test_language_accuracy(small):
     got = {r.doc_id: r for r in L.language_id(small, keep=["doc_id", "lang"]).collect()}
     held = [r for i, r in got.items() if zlib.crc32(str(i).encode()) % 3 == 1]
