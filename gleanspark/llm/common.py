@@ -21,12 +21,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def work_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset, as in local tests, one is set.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset a local session, as in tests, gets a folder of its
+    own; on a cluster a machine's own folder would be of no use to the other machines, so the call is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gleanspark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -44,6 +47,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once: an expression written into a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

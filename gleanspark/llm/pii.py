@@ -1,25 +1,27 @@
 """PII: base patterns seed a bootstrapped contextual extraction.
 
 Base entities (e-mail, IP, card, phone) are found by pattern and check.  They are the seeds of a graph between lexical
-patterns (the words left of a mention, and the word on either side) and instances (what stands there).  Rounds of scoring
-carry confidence from seeds to patterns and from patterns to instances: a pattern's confidence in a kind is the mean
-confidence of its mentions, an instance's is the noisy-or over its patterns.  Patterns that several different seeds
-support with high confidence then discover mentions that no base pattern finds, if these look like identifiers.
-
-Only DataFrame functions are used.  Patterns are written so that they give what the plain ones give in time linear in the
-text.  Positions count code points.  Defined cases: a null text counts as empty; rows that repeat are separate rows with
-the same result; a null doc_id is kept; texts are read whole; an empty table gives an empty result; other columns are
-ignored.
+patterns (the one or two words left of a mention, and the words on either side) and instances (what stands there).  In every
+round a pattern's confidence in a kind is the mean confidence of its mentions, and its support the number of different
+instances of high confidence; patterns strong in both give the instances they hold, if these have the kind's shape, the
+noisy-or of their confidences.  So what one round discovers supports the patterns of the next.  After the last round the
+mentions that strong patterns hold are added to the base ones, each under its likeliest kind.
+
+Only DataFrame functions are used, and the time is linear in a text but for running sums, which take the power 3/2 of its
+number of matches at a small factor.  Positions count code points.  Words with a digit or an @ stand in contexts as one
+sign.  Defined cases: a null text counts as empty; rows that repeat are separate rows with the same result; a null doc_id is
+kept; texts of any length are read whole; of kinds equally likely the first in order is taken; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import stored
+from gleanspark.llm.common import once, stored
 
 #: The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -30,13 +32,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: A word that holds a digit or @, from its first to its last character.
-MENTION = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
-#: Characters on either side of a mention that may be its context.
-CONTEXT = 64
-ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_DIGITS = 3, 3, 0.8, 6
-
-SPAN = "struct<s:int,e:int>"
+_BLANK, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: A word that holds a digit or @, with the numbers that follow after single blanks.
+MENTION = rf"(?<!{_WORD}){_WORD}*[0-9@]{_WORD}*+(?:\x20[0-9(][0-9().-]*+)*+"
+#: Rounds, and how many different instances and how much confidence a strong pattern has.
+ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE = 3, 3, 0.7
+#: What a mention may look like to be of a kind: an @ inside, groups of an address, enough digits.
+SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){2,7}$", "card": r"^(?:[^0-9]*[0-9]){8,}[^0-9]*$", "phone": r"^(?:[^0-9]*[0-9]){6,}[^0-9]*$"}
+_ID = "<id>"
 
 
 def luhn(digits: Column) -> Column:
@@ -66,106 +69,138 @@ def _may_hold(kind: str, text: Column) -> Column:
     return sign.get(kind, text.rlike("[0-9]"))
 
 
+def running(values: Column) -> Column:
+    """Sums of an array of integers from its beginning through each element, by chunks of about the root of its size."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def run(xs: Column, size: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(1), F.size(xs), size), lambda i: F.slice(xs, i, size))
+        inside = F.transform(chunks, lambda c: F.transform(c, lambda _, j: total(F.slice(c, F.lit(1), j + 1))))
+        before = once(F.transform(chunks, total), lambda sums: F.transform(sums, lambda _, j: total(F.slice(sums, F.lit(1), j))))
+        return F.flatten(F.zip_with(inside, before, lambda c, b: F.transform(c, lambda x: x + b)))
+
+    return once(values, lambda xs: F.when(F.size(xs) == 0, xs).otherwise(once(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda n: run(xs, n))))
+
+
+def _edges_of(piece: Column) -> Column:
+    """n (words of a piece between matches), first, last and the one before it; identifiers as one sign."""
+    words = F.filter(F.split(piece, f"{_BLANK}+"), lambda w: w != "")
+    plain = lambda w: F.when(w.rlike("[0-9@]"), F.lit(_ID)).otherwise(F.lower(w))
+    return once(words, lambda ws: F.struct(F.size(ws).alias("n"), plain(F.get(ws, F.lit(0))).alias("first"), plain(F.get(ws, F.size(ws) - 1)).alias("last"), plain(F.get(ws, F.size(ws) - 2)).alias("second")))
+
+
 def matches(text: Column, pattern: str, possible: Column) -> Column:
-    """All matches as structs m (text), s, e (code points, end exclusive), before and after (context).
+    """All matches as structs m (text), s, e (code points, end exclusive), and the words l2, l1 before and r1 after.
 
     The pieces between matches and the matches themselves are cut by one pattern, so their lengths give the positions.
     """
-    kind = "array<struct<m:string,s:int,e:int,before:string,after:string>>"
+    kind = "array<struct<m:string,s:int,e:int,l2:string,l1:string,r1:string>>"
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def walk(found: Column, pieces: Column) -> Column:
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        n = F.size(found)
+        ends = running(F.zip_with(F.slice(pieces, F.lit(1), n), found, lambda p, m: F.length(p) + F.length(m)))
+
+        def one(ends: Column, edges: Column) -> Column:
+            def at(i: Column) -> Column:
+                m, left, right = F.get(found, i), F.get(edges, i), F.get(edges, i + 1)
+                far = F.get(edges, i - 1)
+                l1 = F.when(left["n"] > 0, left["last"]).when(i > 0, _ID)
+                l2 = F.when(left["n"] > 1, left["second"]).when((left["n"] == 1) & (i > 0), _ID).when(i > 0, F.when(far["n"] > 0, far["last"]).when(i > 1, _ID))
+                r1 = F.when(right["n"] > 0, right["first"]).when(i + 1 < n, _ID)
+                e = F.get(ends, i)
+                return F.struct(m.alias("m"), (e - F.length(m)).alias("s"), e.alias("e"), l2.alias("l2"), l1.alias("l1"), r1.alias("r1"))
 
-        def step(acc: Column, i: Column) -> Column:
-            m, piece = F.get(found, i), F.get(pieces, i)
-            s = acc["at"] + F.length(piece)
-            e = s + F.length(m)
-            one = F.struct(m.alias("m"), s.alias("s"), e.alias("e"), F.right(piece, F.lit(CONTEXT)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)).alias("after"))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+            return F.transform(F.sequence(F.lit(0), n - 1), at)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step, lambda acc: acc["out"])
+        return once(F.struct(ends.alias("e"), F.transform(pieces, _edges_of).alias("w")), lambda x: one(x["e"], x["w"]))
 
-    # One-element arrays bind the cut texts, so that they are cut once.
-    bound = F.get(F.transform(F.array(F.struct(found.alias("f"), pieces.alias("p"))), lambda x: F.when(F.size(x["f"]) > 0, walk(x["f"], x["p"])).otherwise(F.array().cast(kind))), F.lit(0))
+    # The cut texts are bound, so that they are cut once.
+    bound = once(F.struct(found.alias("f"), pieces.alias("p")), lambda x: F.when(F.size(x["f"]) > 0, walk(x["f"], x["p"])).otherwise(F.array().cast(kind)))
     return F.when(possible, bound).otherwise(F.array().cast(kind))
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, text, email, ip, card, phone): the valid base matches of every row."""
+    """(doc_id, row, email, ip, card, phone, words): the valid base matches of every row, and all words like identifiers."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     for kind in KINDS:
         df = df.withColumn(kind, F.filter(matches(F.col("text"), PATTERNS[kind], _may_hold(kind, F.col("text"))), _keeps(kind)))
-    return df
+    return df.withColumn("words", matches(F.col("text"), MENTION, F.col("text").rlike("[0-9@]"))).drop("text")
 
 
-def _patterns(before: Column, after: Column) -> Column:
-    """Two words to the left, and one word on either side."""
-    left1 = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    left2 = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    right1 = F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
-    both = F.when((left1 != "") & (right1 != ""), F.concat(F.lit("B "), left1, F.lit(" "), right1))
-    return F.array_compact(F.array(F.when(left2 != "", F.concat(F.lit("L "), left2)), both))
-
-
-def _looks_like(kind: Column, m: Column) -> Column:
-    return F.when(kind == "email", m.contains("@")).otherwise(F.length(F.regexp_replace(m, "[^0-9]", "")) >= LEAST_DIGITS)
+def _trimmed(m: Column) -> Column:
+    """Without the signs around an identifier."""
+    return F.regexp_replace(F.regexp_replace(m, r"^[^0-9A-Za-z@+]+", ""), r"(?<![^0-9A-Za-z])[^0-9A-Za-z]++$", "")
 
 
 def mentions(base: DataFrame) -> DataFrame:
     """(doc_id, row, kind, s, e, m, patterns): base matches with their kind, other identifier-like words without."""
-    def of_kind(k: str):
-        return lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
 
-    seeds = F.flatten(F.array(*[F.transform(k, of_kind(k)) for k in KINDS]))
+    def of_kind(k: str | None):
+        return lambda x: F.struct(F.lit(k).cast("string").alias("kind"), *[x[c].alias(c) for c in ("s", "e", "m", "l2", "l1", "r1")])
 
-    def trimmed(x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x["m"], r"^[^0-9A-Za-z@+]*", 0))
-        m = F.regexp_replace(F.regexp_replace(x["m"], r"^[^0-9A-Za-z@+]+", ""), r"(?<![^0-9A-Za-z])[^0-9A-Za-z]++$", "")
-        return F.struct(F.lit(None).cast("string").alias("kind"), (x["s"] + lead).alias("s"), (x["s"] + lead + F.length(m)).alias("e"), m.alias("m"), x["before"].alias("before"), x["after"].alias("after"))
+    every = F.flatten(F.array(*[F.transform(k, of_kind(k)) for k in KINDS], F.transform("words", of_kind(None))))
+    rows = base.select("doc_id", "row", F.explode(every).alias("x")).select("doc_id", "row", "x.*").distinct()
+    # A word that a base match overlaps is no other mention.
+    seed, other = F.col("kind").isNotNull(), F.col("kind").isNull()
+    so_far = lambda *order: Window.partitionBy("doc_id", "row").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(seed, F.col("e"))).over(so_far("s", F.col("e").desc(), other))
+    # Backwards, as frames that end with the partition are computed anew for each row.
+    ahead = F.min(F.when(seed, F.col("s"))).over(so_far(F.col("s").desc(), "e", other.desc()))
+    free = rows.withColumns({"reach": reach, "ahead": ahead}).where(seed | (F.coalesce(F.col("reach") <= F.col("s"), F.lit(True)) & F.coalesce(F.col("ahead") >= F.col("e"), F.lit(True))))
+    lead = F.length(F.regexp_extract("m", r"^[^0-9A-Za-z@+]*", 0))
+    s = F.when(seed, F.col("s")).otherwise(F.col("s") + lead)
+    short = F.when(seed, F.col("m")).otherwise(_trimmed(F.col("m")))
+    patterns = F.array_compact(F.array(F.concat(F.lit("1 "), F.col("l1")), F.concat(F.lit("2 "), F.col("l2"), F.lit(" "), F.col("l1")), F.concat(F.lit("B "), F.col("l1"), F.lit(" "), F.col("r1"))))
+    return free.select("doc_id", "row", "kind", s.alias("s"), (s + F.length(short)).alias("e"), short.alias("m"), patterns.alias("patterns"))
 
-    digits_or_at = F.col("text").rlike("[0-9@]")
-    words = F.transform(matches(F.col("text"), MENTION, digits_or_at), trimmed)
-    df = base.where(digits_or_at).select("doc_id", "row", seeds.alias("seeds"), words.alias("words"))
-    other = F.filter("words", lambda w: ~F.exists("seeds", lambda b: (w["s"] < b["e"]) & (b["s"] < w["e"])))
-    rows = df.select("doc_id", "row", F.explode(F.concat("seeds", other)).alias("x"))
-    return rows.select("doc_id", "row", "x.kind", "x.s", "x.e", "x.m", _patterns(F.col("x.before"), F.col("x.after")).alias("patterns"))
 
+def _shaped(kind: Column, m: Column) -> Column:
+    return reduce(lambda rest, k: F.when(kind == k, m.rlike(SHAPES[k])).otherwise(rest), KINDS, F.lit(False))
 
-def scored_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind) that enough different seeds support with high confidence."""
-    edges = stored(found.select(F.explode("patterns").alias("pattern"), F.xxhash64("m").alias("instance"), "kind").groupBy("pattern", "instance", "kind").agg(F.count(F.lit(1)).alias("n")), "edges")
-    # A pattern without a seed can't gain the support it needs.
-    alive = edges.groupBy("pattern").agg(F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("instance"))).alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS).select("pattern")
-    edges = stored(edges.join(alive, "pattern"), "alive")
-    seeds = edges.where("kind IS NOT NULL").groupBy("instance", "kind").agg(F.lit(1.0).alias("confidence"))
+
+def _strong(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns that are strong, given (instance, kind, confidence) of instances."""
     totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    known, patterns = seeds, None
-    for _ in range(rounds):
-        weight = edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n"))
-        patterns = (
-            weight.join(known, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("mass")).join(totals, "pattern").select("pattern", "kind", (F.col("mass") / F.col("total")).alias("confidence"))
-        )
-        open_ = weight.join(seeds.select("instance").distinct(), "instance", "left_anti")
-        gained = open_.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("confidence"))
+    mass = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("mass"), F.count(F.when(F.col("confidence") >= LEAST_CONFIDENCE, 1)).alias("support"))
+    scored = mass.where(F.col("support") >= LEAST_SEEDS).join(totals, "pattern").select("pattern", "kind", (F.col("mass") / F.col("total")).alias("confidence"))
+    return scored.where(F.col("confidence") >= LEAST_CONFIDENCE)
+
+
+def scored_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, kind, confidence) of the strong patterns after all rounds of scoring."""
+    cells = found.select(F.explode("patterns").alias("pattern"), F.xxhash64("m").alias("instance"), "m", "kind")
+    seeds = stored(cells.where("kind IS NOT NULL").groupBy("instance", "kind").agg(F.lit(1.0).alias("confidence")), "seeds")
+    edges = cells.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m"))
+    # A pattern with fewer instances can't have the support it needs.
+    wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")).where(F.col("instances") >= LEAST_SEEDS).select("pattern")
+    edges = stored(edges.join(wide, "pattern"), "edges")
+    fresh = edges.join(seeds.select("instance").distinct(), "instance", "left_anti").select("pattern", "instance", "m")
+    known = seeds
+    for _ in range(rounds - 1):
+        held = fresh.join(_strong(edges, known), "pattern").where(_shaped(F.col("kind"), F.col("m")))
+        gained = held.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("confidence"))
         known = stored(seeds.unionByName(gained), "known")
-    support = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds"))
-    return patterns.join(support, ["pattern", "kind"]).where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", "kind")
+    return _strong(edges, known)
 
 
-def discovered(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, kind, s, e): spans that only confident patterns find."""
-    found = stored(mentions(base_matches(docs)), "mentions")
-    good = scored_patterns(found)
+def discovered(base: DataFrame) -> DataFrame:
+    """(doc_id, row, kind, s, e): spans that only strong patterns find, from the base matches."""
+    found = stored(mentions(base), "mentions")
+    good = stored(scored_patterns(found), "patterns")
     fresh = found.where("kind IS NULL").select("doc_id", "row", "s", "e", "m", F.explode("patterns").alias("pattern"))
-    return fresh.join(good, "pattern").where(_looks_like(F.col("kind"), F.col("m"))).select("doc_id", "row", "kind", "s", "e").distinct()
+    held = fresh.join(good, "pattern").where(_shaped(F.col("kind"), F.col("m")))
+    scored = held.groupBy("doc_id", "row", "s", "e", "kind").agg((-F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))).alias("weight"))
+    order = reduce(lambda rest, k: F.when(F.col("kind") == k, -KINDS.index(k)).otherwise(rest), KINDS, F.lit(-len(KINDS)))
+    return scored.groupBy("doc_id", "row", "s", "e").agg(F.max_by("kind", F.struct(F.round("weight", 9), order)).alias("kind"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, email, ip, card, phone, extra): arrays of base spans by kind, and of discovered ``(kind, s, e)``."""
+    found = stored(base_matches(docs), "base")
     spans = [F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS]
-    base = base_matches(docs).select("doc_id", "row", *spans)
-    extra = discovered(docs).groupBy(F.col("doc_id").alias("x_doc"), F.col("row").alias("x_row")).agg(F.collect_set(F.struct("kind", "s", "e")).alias("extra"))
+    base = found.select("doc_id", "row", *spans)
+    extra = discovered(found).groupBy(F.col("doc_id").alias("x_doc"), F.col("row").alias("x_row")).agg(F.collect_set(F.struct("kind", "s", "e")).alias("extra"))
     joined = base.join(extra, F.col("doc_id").eqNullSafe(F.col("x_doc")) & (F.col("row") == F.col("x_row")), "left")
     return joined.select("doc_id", *KINDS, F.coalesce("extra", F.array().cast("array<struct<kind:string,s:int,e:int>>")).alias("extra"))
 

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -260,13 +262,138 @@ def test_base_on_tables(small):
     check_base(pii.span_text(pii.personal_data(small)).collect(), {r.doc_id: r.text for r in small.select("doc_id", "text").collect()})
 
 
-def test_confident_patterns_discover(spark):
+def brute_mentions(text):
+    """(kind, s, e, m, patterns) of base matches and of other words like identifiers, word by word."""
+    blank = re.compile(r"[\x20\x09-\x0D]+")
+    sign = lambda w: "<id>" if re.search("[0-9@]", w) else w.lower()
+    out, base = [], [(k, s, e) for k, spans in brute_pii(text).items() for s, e in spans]
+    for kind, pattern in [*PLAIN.items(), (None, pii.MENTION)]:
+        spans = [m.span() for m in re.finditer(pattern, text)]
+        tokens, place, at = [], [], 0  # the words between matches, and each match as one sign
+        for s, e in spans:
+            tokens += [sign(w) for w in blank.split(text[at:s]) if w]
+            place.append(len(tokens))
+            tokens.append("<id>")
+            at = e
+        tokens += [sign(w) for w in blank.split(text[at:]) if w]
+        for (s, e), i in zip(spans, place, strict=True):
+            if kind and (kind, s, e) not in base or not kind and any(s < b and a < e for _, a, b in base):
+                continue
+            l2, l1, r1 = tokens[i - 2] if i > 1 else None, tokens[i - 1] if i else None, tokens[i + 1] if i + 1 < len(tokens) else None
+            patterns = {p for p, ok in ((f"1 {l1}", l1), (f"2 {l2} {l1}", l2), (f"B {l1} {r1}", l1 and r1)) if ok}
+            m = text[s:e]
+            if not kind:
+                lead = len(re.match(r"[^0-9A-Za-z@+]*", m)[0])
+                m = re.sub(r"(?<![^0-9A-Za-z])[^0-9A-Za-z]+\Z", "", m[lead:])
+                s = s + lead
+            out.append((kind, s, s + len(m), m, patterns))
+    return out
+
+
+def brute_discovered(texts):
+    """Rounds of scoring over plain dictionaries."""
+    found = {d: brute_mentions(t or "") for d, t in texts.items()}
+    n, seeds, text_of = Counter(), {}, {}
+    for rows in found.values():
+        for kind, _, _, m, patterns in rows:
+            for p in patterns:
+                n[p, m] += 1
+            if kind:
+                seeds[m, kind] = 1.0
+    shaped = lambda kind, m: re.search(pii.SHAPES[kind], m) is not None
+
+    def strong(known):
+        totals, mass, support = Counter(), Counter(), Counter()
+        for (p, m), k in n.items():
+            totals[p] += k
+            for kind in PLAIN:
+                if c := known.get((m, kind)):
+                    mass[p, kind] += k * c
+                    support[p, kind] += c >= pii.LEAST_CONFIDENCE
+        return {(p, kind): x / totals[p] for (p, kind), x in mass.items() if support[p, kind] >= pii.LEAST_SEEDS and x / totals[p] >= pii.LEAST_CONFIDENCE}
+
+    known = dict(seeds)
+    seeded = {m for m, _ in seeds}
+    for _ in range(pii.ROUNDS - 1):
+        doubt = defaultdict(lambda: 1.0)
+        for (p, kind), c in strong(known).items():
+            for q, m in n:
+                if q == p and m not in seeded and shaped(kind, m):
+                    doubt[m, kind] *= 1 - min(c, 0.999)
+        known = seeds | {k: 1 - x for k, x in doubt.items()}
+    good = strong(known)
+    out = {}
+    for d, rows in found.items():
+        for kind, s, e, m, patterns in rows:
+            if not kind:
+                weight = {}
+                for k in PLAIN:
+                    held = [good[p, k] for p in patterns if (p, k) in good and shaped(k, m)]
+                    if held:
+                        weight[k] = sum(-math.log(1 - min(c, 0.999)) for c in held)
+                if weight:
+                    out.setdefault(d, set()).add((max(weight, key=lambda k: (round(weight[k], 9), -list(PLAIN).index(k))), s, e))
+    return out
+
+
+def planted_identifiers(rng):
+    """Texts with base entities, with identifiers that no base pattern finds, and with other numbers; and the former's places."""
+    frames = {"email": ["reach me at {} today", "write to {} for help"], "ip": ["host at address {} is up", "ping {} from here"], "card": ["charged to card {} on file"], "phone": ["call me on {} after nine", "my cell is {} if needed"]}
+    seed = {"email": lambda k: f"u{k}@mail.example.com", "ip": lambda k: f"10.{k}.7.{k}", "card": lambda k: ("4539 1488 0343 6467", "4111-1111-1111-1111", "5500 0000 0000 0004")[k % 3], "phone": lambda k: f"+1 (650) 555-{1000 + k}"}
+    other = {"email": lambda k: f"u{k}@localhost", "ip": lambda k: f"300.1.{k}.9", "card": lambda k: f"4539 1488 0343 {1000 + k}", "phone": lambda k: f"0650 555 {1000 + k}"}
+    texts, planted = {}, set()
+    for kind, forms in frames.items():
+        for form in forms:
+            for k in range(12):
+                texts[len(texts)] = f"{words(rng, 4)} {form.format(seed[kind](k))} {words(rng, 3)}"
+            for k in range(4):
+                before = f"{words(rng, 4)} {form[: form.index('{')]}"
+                planted.add((len(texts), kind, len(before)))
+                texts[len(texts)] = f"{before}{other[kind](k)}{form[form.index('}') + 1 :]} {words(rng, 3)}"
+    # A context that only unseen numbers stand in, after contexts that seeds stand in too: the second round finds it.
+    for k in range(5):
+        number = f"0650 777 {2000 + k}"
+        texts[len(texts)] = f"{words(rng, 3)} call me on {number} after nine"
+        texts[len(texts)] = f"{words(rng, 3)} direct line {number} thanks"
+        planted |= {(len(texts) - 2, "phone", texts[len(texts) - 2].index(number)), (len(texts) - 1, "phone", texts[len(texts) - 1].index(number))}
+    before = f"{words(rng, 3)} direct line "
+    planted.add((len(texts), "phone", len(before)))
+    texts[len(texts)] = f"{before}0650 888 4444 thanks"
+    for k in range(30):
+        texts[len(texts)] = f"{words(rng, 4)} in the year {1900 + k} {words(rng, 2)} order {100000 + k} {words(rng, 3)}"
+    return texts, planted
+
+
+def test_discovered_spans_are_those_of_the_graph(spark):
     rng = random.Random(2)
-    seeds = [f"{words(rng, 3)} reach me at u{k}@mail.example.com today" for k in range(12)]
-    fresh = ["please reach me at u77@localhost today", "reach me at 5 today"]
-    mixed = [f"the code 4{k} is" for k in range(5)]
-    df = spark.createDataFrame(list(enumerate(seeds + fresh + mixed)), "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.span_text(pii.personal_data(df)).collect()}
-    assert got[12].n_discovered == 1 and got[12].spans == "email:19:32" and got[12].n_email == 0
-    assert all(got[k].n_discovered == 0 for k in got if k != 12)
-    assert pii.discovered(df.where(F.col("doc_id") >= 12)).count() == 0
+    texts, planted = planted_identifiers(rng)
+    texts |= {len(texts) + i: t for i, t in enumerate(TEXTS)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = pii.span_text(pii.personal_data(df)).collect()
+    check_base(rows, texts)
+    expected, got = brute_discovered(texts), {}
+    for r in rows:
+        base = {f"{k}:{s}:{e}" for k, spans in brute_pii(texts[r.doc_id]).items() for s, e in spans}
+        extra = {(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x and x not in base)}
+        assert r.n_discovered == len(extra)
+        if extra:
+            got[r.doc_id] = extra
+    assert got == expected
+    found = {(d, k, s) for d, spans in got.items() for k, s, _ in spans}
+    print(f"planted unseen identifiers: {len(planted)}, found {len(planted & found)}, others found {len(found - planted)}")
+    assert len(planted & found) / len(planted) >= 0.9 and len(planted & found) / len(found) >= 0.9
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows about with the text: 200,000 numbers in one take seconds, not hours."""
+    text = " ".join(f"{k % 256}.{k % 7}.0.{k % 199}" if k % 3 else str(k) for k in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, "call +1 650 555 8500")], "doc_id long, text string")
+    began = time.monotonic()
+    rows = pii.span_text(pii.personal_data(df)).collect()
+    assert time.monotonic() - began < 90
+    check_base(rows, {1: text, 2: "call +1 650 555 8500"})
+
+
+def test_nothing_is_discovered_without_seeds(spark):
+    df = spark.createDataFrame([(1, "reach me at 555123 today"), (2, "reach me at 555124 today"), (3, "reach me at 555125 today")], "doc_id long, text string")
+    assert {r.n_discovered for r in pii.span_text(pii.personal_data(df)).collect()} == {0}
