@@ -66,7 +66,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rows)))
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 

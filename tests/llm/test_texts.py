@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gleanspark.llm import language_id as L
 from gleanspark.llm import pieces as P
 from gleanspark.llm import queries
-from gleanspark.llm.sharding import Node, shards, topology
+from gleanspark.llm.sharding import Node, leaves, shard_of, shards, topology
 from gleanspark.llm.token_counts import LongestMatch, token_counts, vocabulary
 from gleanspark.llm.url_filter import url_filter
 
@@ -157,21 +157,26 @@ def test_language_edge(edge, edge_rows, empty):
     assert L.language_id(empty).count() == 0 and L.identified(empty).count() == 0
 
 
-def brute_shard(doc_id, node: Node) -> int:
-    while node.shard is None:
-        def draw(c):
-            u = (int(hashlib.md5(f"{c.name}:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
-            return -math.log(u) / c.weight
+def brute_shard(doc_id, n_shards: int) -> int:
+    def draw(c, key):
+        u = (int(hashlib.md5(f"{c.name}:{key}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        return -math.log(u) / c.weight
 
-        node = min(node.children, key=draw)
-    return node.shard
+    own = "null" if doc_id is None else str(doc_id)
+    for key in (own, f"{own}#1", f"{own}#2"):
+        node: Node = topology(n_shards)
+        while node.shard is None:
+            node = min(node.children, key=lambda c: draw(c, key))
+        if node.shard < n_shards:
+            return node.shard
+    return min((x for x in leaves(topology(n_shards)) if x.shard < n_shards), key=lambda x: draw(x, f"{own}#last")).shard
 
 
 def test_shards_edge(edge, edge_rows, empty):
     rows = shards(edge, 8).collect()
     assert len(rows) == len(edge_rows)
     for r in rows:
-        assert r.shard == brute_shard(r.doc_id, topology(8)) and r.grown_shard == brute_shard(r.doc_id, topology(9))
+        assert r.shard == brute_shard(r.doc_id, 8) and r.grown_shard == brute_shard(r.doc_id, 9)
     assert sorted((r.doc_id or 0, r["size"], r.text_crc32) for r in rows) == sorted((i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in edge_rows)
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
@@ -179,13 +184,18 @@ def test_shards_edge(edge, edge_rows, empty):
 
 
 def test_growth_moves_into_the_new_shard_only(spark):
-    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    ids = spark.range(20_000).select("id", F.col("id").alias("doc_id"), F.lit("").alias("text"))
     rows = shards(ids, 8).collect()
     moved = [r for r in rows if r.shard != r.grown_shard]
     assert moved and all(r.grown_shard == 8 for r in moved) and abs(len(moved) / len(rows) - 1 / 9) < 0.02
     assert all(2000 < sum(r.shard == s for r in rows) < 3000 for s in range(8))
+    # At every count, from one shard on.
+    several = ids.where("id < 4000").select("id", *[shard_of(F.col("id").cast("string"), n).alias(f"s{n}") for n in range(1, 14)]).collect()
     for n in range(1, 14):
-        assert all(a == b or b == n for a, b in ((brute_shard(i, topology(n)), brute_shard(i, topology(n + 1))) for i in range(300)) if n >= 8)
+        assert {r[f"s{n}"] for r in several} == set(range(n))
+        assert min(sum(r[f"s{n}"] == k for r in several) for k in range(n)) > 0.8 * 4000 / n
+        assert n == 13 or all(r[f"s{n}"] == r[f"s{n + 1}"] or r[f"s{n + 1}"] == n for r in several)
+    assert all(r[f"s{n}"] == brute_shard(r.id, n) for r in several[:100] for n in range(1, 14))
 
 
 URLS = [None, "", "no scheme/x", "http://", "HTTP://WWW.Example.ORG/es/1?x#y", "https://example.org/es", "https://a.b.example.org/en/17", "https://org/", "https://notexample.org/en/1", "ftp://x.com/fr/", "x://x.com/de/a://b", "x://com/de/", "x://exa\nmple.org/a", "x://example.org?/es/"]
@@ -206,3 +216,18 @@ def test_urls_edge(spark):
     assert sorted(map(str, map(tuple, url_filter(pages, rules).collect()))) == sorted(map(str, expected))
     assert url_filter(pages.where("false"), rules).count() == 0
     assert {r.verdict for r in url_filter(pages, rules.where("false"), "block").collect()} == {"block"}
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_hash_prefixes_that_collide_are_told_apart(spark, monkeypatch, broadcast):
+    """Whatever the prefixes, the full digests decide; here all rules share two prefixes."""
+    from gleanspark.llm import url_filter as U
+
+    monkeypatch.setattr(U, "BROADCAST_RULES", broadcast)
+    rules = spark.createDataFrame([(f"h{k}.example", f"/p{k}/", "block" if k % 2 else "allow") for k in range(40)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(k, f"http://a.h{k % 50}.example/p{k % 45}/x" + "y" * 3000 * (k % 3)) for k in range(300)], "page_id long, url string")
+    expected = sorted(map(str, url_filter(pages, rules).collect()))
+    monkeypatch.setattr(U, "hash_prefix", lambda digest: F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(2)))
+    joined = url_filter(pages, rules)
+    assert sorted(map(str, joined.collect())) == expected
+    assert {r.rule for r in joined.collect()} - {None} == {f"h{k}.example/p{k}/" for k in range(40) if any(i % 50 == k and i % 45 == k for i in range(300))}
