@@ -25,10 +25,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import stored, without
+from gleanspark.llm.common import once, stored, without
 
-#: Benchmark tables up to this many rows (tens of bytes each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables up to this many rows are broadcast, larger ones joined by a shuffle: of the benchmark and its index (tens of bytes a
+#: row), of texts with windows and of windows with items (hundreds of bytes a row).
+BROADCAST_ROWS, BROADCAST_ZONES, BROADCAST_WINDOWS = 500_000, 100_000, 20_000
 SIZE = 5
 #: Blocks of a fingerprint, bits of a block, and how many of them the index and the look-up change.
 BLOCKS, BITS, ITEM_FLIPS, WINDOW_FLIPS = 10, 18, 2, 1
@@ -45,11 +46,6 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))
 
 
-def once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is computed once: an expression written into a lambda would be computed for each element."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def grams(words: Column, k: int) -> Column:
     """Hashes of all runs of ``k`` words, in order."""
 
@@ -114,8 +110,8 @@ def similarity(a: Column, b: Column) -> Column:
     return once(a, lambda x: once(b, lambda y: run(x, y)))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    return F.broadcast(df) if rows <= (most or BROADCAST_ROWS) else df
 
 
 def _starts(num: int, den: int) -> Column:
@@ -147,13 +143,15 @@ def windows_of(docs: DataFrame, bench: DataFrame, num: int, den: int) -> DataFra
     n_anchors = bench.agg(F.sum(F.size("item_shingles"))).first()[0]
     hits = []
     for k in sizes:
-        cut = texts.select("doc_id", "row", words_of(F.col("text")).alias("words"))
-        places = cut.select("doc_id", "row", F.size("words").alias("n_words"), F.posexplode(grams(F.col("words"), k)).alias("pos", "gram"))
+        # Only numbers go along with each place: an array beside it would be copied for every word.  The outer form, whose
+        # nulls meet nothing, spares a filter that would compute the array again.
+        cut = texts.select("doc_id", "row", words_of(F.col("text")).alias("words")).select("doc_id", "row", F.size("words").alias("n_words"), grams(F.col("words"), k).alias("grams"))
+        places = cut.select("doc_id", "row", "n_words", F.posexplode_outer("grams").alias("pos", "gram"))
         hits.append(places.join(_bounded(anchors.where(F.least("len", F.lit(SIZE)) == k), n_anchors), "gram").select("doc_id", "row", "n_words", "len", "pos"))
     at = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "row", "n_words", "len").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     zones = at.select("doc_id", "row", "len", _starts(num, den).alias("starts")).where(F.size("starts") > 0)
     zones = stored(zones.groupBy(F.col("doc_id").alias("z_doc"), F.col("row").alias("z_row")).agg(F.collect_list(F.struct("len", "starts")).alias("zones")), "zones")
-    found = texts.join(_bounded(zones, zones.count()), F.col("doc_id").eqNullSafe(F.col("z_doc")) & (F.col("row") == F.col("z_row"))).select("doc_id", "row", "zones", words_of(F.col("text")).alias("words"))
+    found = texts.join(_bounded(zones, zones.count(), BROADCAST_ZONES), F.col("doc_id").eqNullSafe(F.col("z_doc")) & (F.col("row") == F.col("z_row"))).select("doc_id", "row", "zones", words_of(F.col("text")).alias("words"))
     found = found.select("doc_id", "row", "zones", *[grams(F.col("words"), k).alias(f"grams{k}") for k in sizes]).select("*", F.explode("zones").alias("z")).select("*", F.col("z.len").alias("len"), F.explode("z.starts").alias("start"))
     window = reduce(lambda rest, k: F.when(F.least("len", F.lit(SIZE)) == k, F.slice(f"grams{k}", F.col("start") + 1, F.col("len") - k + 1)).otherwise(rest), sizes, F.lit(None).cast("array<bigint>"))
     return found.select("doc_id", "row", "len", "start", window.alias("hashes")).distinct()
@@ -188,7 +186,7 @@ def contaminated(docs: DataFrame, items: DataFrame, num: int = 3, den: int = 4)
     close = pairs.join(keyed, "window").join(_bounded(marked.select("item_id", "len", "item_shingles", F.col("blocks").alias("item_blocks")), n_items), ["item_id", "len"]).where(distance(F.col("blocks"), F.col("item_blocks")) <= RADIUS)
     like = stored(close.withColumn("similarity", similarity(F.col("hashes"), F.col("item_shingles"))).where(F.col("similarity") * den >= num).select("len", "hashes", "item_id", "similarity").distinct(), "similar")
     return (
-        windows.join(_bounded(like, like.count()), ["len", "hashes"])
+        windows.join(_bounded(like, like.count(), BROADCAST_WINDOWS), ["len", "hashes"])
         .groupBy("doc_id", "row", "item_id")
         .agg(F.count(F.lit(1)).alias("n_windows"), F.max(F.struct("similarity", (-F.col("start")).alias("at"))).alias("best"))
         .select("doc_id", "row", "item_id", "n_windows", (-F.col("best.at")).alias("start"), F.col("best.similarity").alias("similarity"))
