@@ -1,73 +1,162 @@
 """Exact dedup: a log-structured merge index of text digests.
 
-Memtables are partitions of narrow ``(digest, doc_id, copies)`` rows.  Each is sorted by digest and flushed as one
-Parquet run whose row groups carry Bloom filters and min/max statistics on the digest.  Compaction merges the runs of
-a level into one level of larger runs, one row per digest, with the smallest and the largest identifier and the number
-of rows.  A digest that holds more than one document is a hit; the texts of hits are compared byte by byte, and a group
-that turns out to hold several texts (a digest collision) is regrouped by the texts themselves.
-
-Defined cases: a null text counts as empty; rows that repeat both ``doc_id`` and text are one document (the result holds
-it once, ``group_size`` counts all of its rows); a null ``doc_id`` is never preferred over another; an empty table gives
-an empty result; other columns are ignored.
+Memtables are batches of narrow ``(digest, doc_id, copies)`` rows.  Each is flushed as a run, sorted by digest, beside a
+filter: one bit for every slot that a digest of the run falls into, and one for every slot that several rows fall into.
+Compaction merges the runs of a level, a few at a time, into runs of the next, until one is left.  It consults the filters
+first: a row whose slot no other row has is written on as it is, and only the others are shuffled and merged, with the
+smallest and the largest identifier and the number of rows.  A look-up asks a run's filter before it reads the run.
+
+A digest that holds more than one document is a hit; the texts of hits are compared byte by byte, and a group that turns
+out to hold several texts (a digest collision) is regrouped by the texts themselves.
+
+Defined cases: a null text counts as empty; texts of any length are compared whole; rows that repeat both ``doc_id`` and
+text are one document (the result holds it once, ``group_size`` counts all of its rows); equal identifiers are the only
+ties; a null ``doc_id`` is never preferred over another; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import stored, without, work_dir, wrapped
+from gleanspark.llm.common import slices, stored, without, work_dir, wrapped
 
 #: Hit digests up to this many (8 bytes each) are broadcast to filter the texts that need verification; more are joined.
 BROADCAST_HITS = 2_000_000
 
+#: Rows of a memtable, memtables at least, runs that one compaction merges, and bits of a filter for each row.
+MEMTABLE_ROWS, LEAST_MEMTABLES, FAN_IN, BITS_A_ROW = 4_000_000, 8, 4, 16
+#: Bits of one bitmap (Spark's own), and of the largest filter that is broadcast; the runs of higher levels are merged whole.
+BITMAP, MOST_BROADCAST_BITS = 32_768, 256_000_000
+EMPTY = bytes(BITMAP // 8)
+
 DIGESTS = {
     "sha256": lambda text: F.unhex(F.sha2(text, 256)),
     "crc32": lambda text: F.crc32(text).cast("string").cast("binary"),
 }
 
 
+def _sorted(df: DataFrame, *by: str) -> DataFrameWriter:
+    return df.sortWithinPartitions(*by).write
+
+
 def text_of(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-class DigestIndex:
-    """Runs of digests in the shared folder: level 0 as flushed, level 1 as compacted.
+@dataclass(frozen=True)
+class Run:
+    """A flushed or merged run: where its rows and its filter are, and into how many slots the filter has its digests fall."""
 
-    ``flush`` may be called for any number of batches; ``compact`` folds all runs into a new level and ``rows``
-    returns the flushed entries.
-    """
+    path: str
+    filter_path: str
+    slots: int
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path = spark, path or f"{work_dir(spark)}-digests"
-        self.runs: list[str] = []
-        self.level: str | None = None
-
-    def _write(self, df: DataFrame, path: str) -> None:
-        (
-            df.sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(path)
-        )
-
-    def flush(self, entries: DataFrame) -> None:
-        """Write one sorted run for each partition of ``entries`` (doc_id, digest, copies, text_sha256)."""
-        path = f"{self.path}/l0-{len(self.runs)}"
-        self._write(entries, path)
-        self.runs.append(path)
-
-    def rows(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs)
-
-    def compact(self) -> DataFrame:
-        """One row per digest: smallest and largest identifier, rows and distinct documents."""
-        merged = self.rows().groupBy("digest").agg(
-            F.min("doc_id").alias("least_id"), F.max("doc_id").alias("largest_id"), F.sum("copies").alias("group_size"), F.count(F.lit(1)).alias("members")
-        )
-        self.level = f"{self.path}/l1-{len(self.runs)}"
-        self._write(merged, self.level)
-        return self.spark.read.parquet(self.level)
+
+def _slot(digest: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(slots))
+
+
+def _has(bits: Column, slot: Column) -> Column:
+    """Whether the bit of a slot is set in the bitmap of its bucket (null: no bit is)."""
+    at = slot % BITMAP
+    byte = F.conv(F.hex(F.substr(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
+class DigestIndex:
+    """Levels of runs in the shared folder; level 0 is as flushed."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, memtable_rows: int = MEMTABLE_ROWS) -> None:
+        self.spark, self.path, self.memtable_rows = spark, path or f"{work_dir(spark)}-digests", memtable_rows
+        self.levels: list[list[Run]] = []
+        self.written = 0
+
+    def _new(self, level: int) -> str:
+        self.written += 1
+        return f"{self.path}/l{level}-{self.written}"
+
+    def _finish(self, level: int, base: str, memtables: list[int] | None = None) -> None:
+        """Write the filters of new runs (of one path, or of its memtables) and hang the runs into their level."""
+        slots = -(-BITS_A_ROW * self.memtable_rows * FAN_IN**level // BITMAP) * BITMAP
+        by = ["memtable"] if memtables else []
+        used = self.spark.read.parquet(base).groupBy(*by, _slot(F.col("digest"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        at = (F.col("slot") % BITMAP).cast("long")
+        bits = used.groupBy(*by, F.floor(F.col("slot") / BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(at).alias("seen"), F.bitmap_construct_agg(F.when(F.col("n") > 1, at)).alias("several"))
+        bits.write.partitionBy(*by).parquet(f"{base}-filter")
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level] += [Run(f"{base}{part}", f"{base}-filter{part}", slots) for part in ([f"/memtable={i}" for i in memtables] if memtables else [""])]
+
+    def flush(self, entries: DataFrame, memtables: int = 1) -> None:
+        """Write ``entries`` (digest, doc_id, copies) as that many runs, each of whole partitions sorted by digest."""
+        base = self._new(0)
+        dealt = entries.withColumn("memtable", F.spark_partition_id() % memtables)
+        _sorted(dealt, "memtable", "digest").partitionBy("memtable").parquet(base)
+        present = sorted(r[0] for r in self.spark.read.schema(dealt.schema).parquet(base).select("memtable").distinct().collect())
+        if present:
+            self._finish(0, base, present)
+
+    def _merged(self, run: Run, others: list[Run], level: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of a run that no other row of the group can share a digest with, and the rest."""
+        rows = self.spark.read.parquet(run.path)
+        if level == 0:
+            rows = rows.select("digest", F.col("doc_id").alias("least_id"), F.col("doc_id").alias("largest_id"), F.col("copies").alias("group_size"), F.lit(1).cast("long").alias("members"))
+        if run.slots > MOST_BROADCAST_BITS:
+            return rows.where("false"), rows
+        own = self.spark.read.parquet(run.filter_path).select("bucket", "several", F.lit(None).cast("binary").alias("seen"))
+        rest = [self.spark.read.parquet(o.filter_path).select("bucket", F.lit(None).cast("binary").alias("several"), "seen") for o in others]
+        bits = reduce(DataFrame.unionByName, rest, own).groupBy("bucket").agg(F.bitmap_or_agg(F.coalesce("several", F.lit(EMPTY))).alias("several"), F.bitmap_or_agg(F.coalesce("seen", F.lit(EMPTY))).alias("seen"))
+        slot = _slot(F.col("digest"), run.slots)
+        # Bounded: MOST_BROADCAST_BITS twice.
+        marked = rows.withColumn("bucket", F.floor(slot / BITMAP)).join(F.broadcast(bits), "bucket", "left")
+        marked = marked.withColumn("shared", _has(F.col("several"), slot) | _has(F.col("seen"), slot)).drop("bucket", "several", "seen")
+        return marked.where("NOT shared").drop("shared"), marked.where("shared").drop("shared")
+
+    def compact(self, level: int) -> None:
+        """Merge the runs of a level, at most FAN_IN at a time, into runs of the next."""
+        runs, self.levels[level] = self.levels[level], []
+        for i in range(0, len(runs), FAN_IN):
+            group = runs[i : i + FAN_IN]
+            parts = [self._merged(r, [o for o in group if o != r], level) for r in group]
+            shared = reduce(DataFrame.unionByName, [p[1] for p in parts]).groupBy("digest").agg(F.min("least_id").alias("least_id"), F.max("largest_id").alias("largest_id"), F.sum("group_size").alias("group_size"), F.sum("members").alias("members"))
+            path = self._new(level + 1)
+            _sorted(reduce(DataFrame.unionByName, [p[0] for p in parts], shared), "digest").parquet(path)
+            self._finish(level + 1, path)
+
+    def merged(self) -> DataFrame:
+        """All levels compacted into one run: a row per digest, smallest and largest identifier, rows and distinct documents."""
+        level = 0
+        while level == 0 or sum(len(x) for x in self.levels[level:]) > 1:
+            if level < len(self.levels) and self.levels[level]:
+                self.compact(level)
+            level += 1
+        return self.spark.read.parquet(self.levels[-1][0].path)
+
+    def candidates(self, run: Run, digests: DataFrame) -> DataFrame:
+        """Those of ``digests`` (digest) that the filter of a run lets through."""
+        slot = _slot(F.col("digest"), run.slots)
+        bits = self.spark.read.parquet(run.filter_path).select("bucket", "seen")
+        bits = F.broadcast(bits) if run.slots <= MOST_BROADCAST_BITS else bits
+        return digests.withColumn("bucket", F.floor(slot / BITMAP)).join(bits, "bucket").where(_has(F.col("seen"), slot)).select("digest")
+
+    def lookup(self, digests: DataFrame) -> tuple[DataFrame, list[Run]]:
+        """The rows under some digests in all runs, one for each run that has them, and the runs that had to be read."""
+        read, found = [], []
+        for level, runs in enumerate(self.levels):
+            for run in runs:
+                maybe = stored(self.candidates(run, digests), "candidates")
+                if not maybe.isEmpty():
+                    read.append(run)
+                    rows = self.spark.read.parquet(run.path)
+                    if level == 0:
+                        rows = rows.select("digest", F.col("doc_id").alias("least_id"), F.col("doc_id").alias("largest_id"), F.col("copies").alias("group_size"))
+                    found.append(rows.select("digest", "least_id", "largest_id", "group_size").join(maybe, "digest", "left_semi"))
+        empty = digests.where("false").select("digest", F.lit(None).cast("long").alias("least_id"), F.lit(None).cast("long").alias("largest_id"), F.lit(0).cast("long").alias("group_size"))
+        return reduce(DataFrame.unionByName, found, empty), read
 
 
 def verified_apart(docs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -98,17 +187,20 @@ def decisions(docs: DataFrame, keep: str = "min", digest: str = "sha256") -> Dat
     row = F.xxhash64("text").alias("row")
     entries = texts.select("doc_id", "digest", sha.alias("text_sha256"), row).groupBy("doc_id", "digest", "text_sha256", "row").agg(F.count(F.lit(1)).alias("copies"))
 
-    index = DigestIndex(spark)
-    index.flush(entries)
-    merged = index.compact()
+    log = stored(entries, "entries")
+    n = log.count()
+    index = DigestIndex(spark, memtable_rows=max(1, min(MEMTABLE_ROWS, -(-n // LEAST_MEMTABLES))))
+    if n:
+        index.flush(log.select("digest", "doc_id", "copies").repartition(slices(spark, n, MEMTABLE_ROWS // 8, LEAST_MEMTABLES)), max(LEAST_MEMTABLES, -(-n // MEMTABLE_ROWS)))
+    merged = index.merged() if n else log.select("digest", F.col("doc_id").alias("least_id"), F.col("doc_id").alias("largest_id"), F.col("copies").alias("group_size"), F.lit(1).cast("long").alias("members"))
     apart = stored(verified_apart(texts.select("digest", "text"), merged.where("members > 1 OR group_size > 1")), "apart")
 
     keep_id = F.col("largest_id" if keep == "max" else "least_id")
     out = lambda df: df.select("doc_id", keep_id.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256", "copies", "row")
     if apart.isEmpty():
-        return out(index.rows().join(merged.select("digest", "least_id", "largest_id", "group_size"), "digest"))
+        return out(log.join(merged.select("digest", "least_id", "largest_id", "group_size"), "digest"))
     # A collision: those digests are grouped by the texts themselves.
-    sound = out(index.rows().join(apart, "digest", "left_anti").join(merged.select("digest", "least_id", "largest_id", "group_size"), "digest"))
+    sound = out(log.join(apart, "digest", "left_anti").join(merged.select("digest", "least_id", "largest_id", "group_size"), "digest"))
     mixed = texts.join(apart, "digest", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
     by_text = mixed.groupBy("text").agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("largest_id"), F.sum("copies").alias("group_size"))
     return sound.unionByName(out(mixed.join(by_text, "text").withColumns({"text_sha256": F.sha2("text", 256), "row": F.xxhash64("text")})))
