@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import stored
+from gleanspark.llm.common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, stored(_small_star(_large_star(edges)), "stars")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -9,15 +9,20 @@
    links with nothing (size-derived bound) and leaves.  Equal sets become one class.
 4. Candidates.  With columns ordered by frequency, two linked rows meet in the first ``n - ceil(3n/4) + 1`` entries of both.
    In each such column one pivot is paired with every other row (a star, linear in the column), overlaps are accumulated
-   over the whole rows, and links are contracted to components.  Where a column still holds several components, the rows
-   outside its largest one are paired with the rows of other components, under the size and position bounds; pairs within
-   a component need no product, because they are connected already.  No pair of different components that could link
-   is left out.
-5. Components of all links, and of all copies through their class.
+   over the whole rows, and links are contracted to components.
+5. Components that meet.  A column may still hold several components.  Its rows are first gathered: of the rows that agree
+   in two min-hashes, for each of eight such pairs, one is paired with every other (stars again).  Then every row belongs to the ball of a row that it links
+   with, the one with most links; a component has few such centres.  Rows outside a column's largest component meet the
+   centres of the others, under the size and position bounds.  A row that links with the centre is connected to its whole
+   ball; otherwise the Jaccard distance, which is a metric, leaves only those rows of the ball that lie at least as far
+   from the centre as the row does, less 1/4, and these are verified one by one.  So no pair of different components that
+   could link is left out, and texts put together from the same passages cost rows times centres, not rows times rows.
+6. Components of all links, and of all copies through their class.
 
 The threshold is 3/4 of the union by default.  Defined cases: a null or empty text has an empty set and links with
-nothing; equal sets are linked; rows that repeat are members of one class, each with its own result row; a null doc_id is
-never a component's name while another is there; an empty table gives an empty result; other columns are ignored.
+nothing; texts of any length are read whole; equal sets are linked; of equally good pivots and centres the first node is
+taken, which changes no component; rows that repeat are members of one class, each with its own result row; a null doc_id
+is never a component's name while another is there; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import slices, stored, without
+from gleanspark.llm.common import discard, slices, stored, without
 from gleanspark.llm.components import connected_components
 from gleanspark.llm.shingles import buffers, mix, shingle_sets
 
 #: Bytes of text in a block and in the share of a column range, and the most documents of a block.
 BLOCK_BYTES, RANGE_BYTES, BLOCK_DOCS = 3_000_000, 12_000_000, 60_000
 _MANY = 0xFFFF
+#: Pairs of min-hashes by which the rows of columns with several components are gathered.
+GATHERINGS = 8
 
 ENTRIES = "r int, kind int, blk long, toks binary, idx binary, more binary"
 _NAMES = ["r", "kind", "blk", "toks", "idx", "more"]
@@ -199,12 +206,77 @@ def _bounded(num: int, den: int) -> Column:
     return ((den + num) * left >= num * (F.col("n") + F.col("other_n"))) & (den * F.least("n", "other_n") >= num * F.greatest("n", "other_n"))
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the candidate pairs (a, b) those that link: overlaps are accumulated over the whole rows."""
+def _measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their overlap, accumulated over the whole rows, and their union."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    overlap = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "a").join(b, "b").where((den + num) * overlap >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    met = pairs.join(a, "a").join(b, "b").withColumn("overlap", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    return met.select(*pairs.columns, "overlap", (F.col("na") + F.col("nb") - F.col("overlap")).alias("all"))
+
+
+def _link(num: int, den: int) -> Column:
+    return den * F.col("overlap") >= num * F.col("all")
+
+
+def _balls(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, center, far): to each of ``nodes`` the row with most links among itself and those it links with, and its distance."""
+    both = links.select("a", "b", "far").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    degree = both.groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("links"))
+    best = both.join(degree, "b").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("links", (-F.col("b")).alias("at"), "far")).alias("best"))
+    own = degree.select(F.col("b").alias("node"), "links")
+    at = nodes.join(best, "node", "left").join(own, "node", "left")
+    itself = F.col("best").isNull() | (F.struct(F.coalesce("links", F.lit(0)), -F.col("node")) >= F.struct(F.col("best.links"), F.col("best.at")))
+    return at.select("node", F.when(itself, F.col("node")).otherwise(-F.col("best.at")).alias("center"), F.when(itself, F.lit(0.0)).otherwise(F.col("best.far")).alias("far"))
+
+
+def _gathered(named: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, all, overlap): rows of (node, comp) that agree in a pair of min-hashes, each with the first of them."""
+    least = lambda k: F.array_min(F.transform("toks", lambda t: F.xxhash64(t, F.lit(k))))
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(least(2 * k), least(2 * k + 1)).alias("h")) for k in range(GATHERINGS)])
+    rows = stored(named.join(nodes, "node").select("node", "comp", "n", F.explode(keys).alias("key")).select("node", "comp", "n", "key.k", "key.h"), "minhashes")
+    firsts = stored(rows.groupBy("k", "h").agg(F.min(F.struct("node", "comp", "n")).alias("p")).select("k", "h", F.col("p.node").alias("b"), F.col("p.comp").alias("comp_b"), F.col("p.n").alias("nb")), "firsts")
+    pairs = rows.join(firsts, ["k", "h"]).where((F.col("comp") != F.col("comp_b")) & (den * F.least("n", "nb") >= num * F.greatest("n", "nb")))
+    return _measured(stored(pairs.select(F.col("node").alias("a"), "b").distinct(), "gathered"), nodes)
+
+
+def _still_mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """(tok, node, n, pos, comp, main) of the columns in which several components are; ``main`` is the one with most rows."""
+    named = rows.select("tok", "node", "n", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    counts = named.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = counts.groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main")).where("comps > 1").select("tok", "main")
+    return stored(named.join(stored(mixed, "mixed"), "tok"), "named")
+
+
+def met_components(entries: DataFrame, nodes: DataFrame, links: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) whose components are those of all rows, from the links (a, b, far) of stars; and the last pairs measured."""
+    far = (1 - F.col("overlap") / F.col("all")).alias("far")
+    meeting = _still_mixed(entries, connected_components(links.select("a", "b")))
+    gathered = _gathered(meeting.select("node", "comp").distinct(), nodes, num, den).where(_link(num, den)).select("a", "b", far)
+    links = stored(links.unionByName(gathered), "links")
+    named = _still_mixed(meeting, connected_components(links.select("a", "b")))
+    discard(meeting)
+    balls = stored(_balls(links, named.select("node").distinct()), "balls")
+    held = named.join(balls.select("node", "center"), "node").groupBy("tok", "center", "comp").agg(F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
+    outside = named.where("comp <> main").select("tok", F.col("node").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("pos")).alias("left_a"), F.col("comp").alias("comp_a"))
+    # The bounds of two rows, as loose as some row of the ball makes them.
+    may = ((den + num) * F.least("left", "left_a") >= num * (F.col("low") + F.col("na"))) & (den * F.col("na") >= num * F.col("low")) & (den * F.col("high") >= num * F.col("na"))
+    near = outside.join(stored(held, "held"), "tok").where((F.col("comp") != F.col("comp_a")) & may).select("a", F.col("center").alias("b")).distinct()
+    centred = stored(_measured(stored(near, "near"), nodes), "centred")
+    more = centred.where(_link(num, den)).select("a", "b")
+    # Rows that may link with a ball's row though not with its centre.
+    joined = stored(connected_components(links.select("a", "b").unionByName(more)), "joined")
+    comp_of = lambda node, name: joined.select(F.col("node").alias(node), F.col("component").alias(name))
+    slack = (den - num) / den + 1e-9
+    apart = far.alias("apart")
+    reach = balls.where("far > 0").groupBy("center").agg(F.max("far").alias("reach"))
+    open_ = centred.where(~_link(num, den)).select("a", F.col("b").alias("center"), apart).join(reach, "center").where(F.col("apart") <= F.col("reach") + slack)
+    inside = stored(open_, "open").join(balls.where("far > 0"), "center").where(F.col("far") >= F.col("apart") - slack).select("a", F.col("node").alias("b")).distinct()
+    inside = inside.join(comp_of("a", "comp_a"), "a", "left").join(comp_of("b", "comp_b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+    sizes = nodes.select("node", "n")
+    inside = inside.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    single = stored(_measured(stored(inside.select("a", "b"), "inside"), nodes), "single")
+    last = stored(single.where(_link(num, den)).select("a", "b"), "last")
+    return links.select("a", "b").unionByName(more).unionByName(last), centred.select("a", "b").unionByName(single.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4) -> DataFrame:
@@ -225,19 +297,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4)
     stars = entries.join(pivots, "tok")
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     star_pairs = stored(stars.where((F.col("node") != F.col("other")) & _bounded(num, den)).select(*pair).distinct(), "stars")
-    links = stored(_links(star_pairs, nodes, num, den), "links")
-    first = stored(connected_components(links), "first")
-
-    # Columns that still hold several components: rows outside the largest one against rows of other components.
-    named = entries.join(first, "node", "left").select("tok", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
-    counts = named.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = counts.groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main")).where("comps > 1").select("tok", "main")
-    mixed = stored(mixed, "mixed")
-    named = stored(named.join(mixed, "tok"), "named")
-    outside = named.where("comp <> main").select("tok", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("comp").alias("other_comp"))
-    apart = named.join(outside, "tok").where((F.col("comp") != F.col("other_comp")) & _bounded(num, den)).select(*pair).distinct()
-    more = stored(_links(apart.join(star_pairs, ["a", "b"], "left_anti"), nodes, num, den), "more")
-    comps = connected_components(links.unionByName(more))
+    discard(pivots)
+    links = stored(_measured(star_pairs, nodes).where(_link(num, den)).select("a", "b", (1 - F.col("overlap") / F.col("all")).alias("far")), "links")
+    discard(star_pairs)
+    comps = connected_components(met_components(entries, nodes, links, num, den)[0])
+    discard(entries)
 
     members = nodes.select("set", "label", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = members.groupBy("component").agg(F.min("label").alias("component_id"))

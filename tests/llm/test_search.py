@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gleanspark.llm import pii
 from gleanspark.llm.common import UPPER
 from gleanspark.llm import decontamination as D
+from gleanspark.llm import ngram_join as N
+from gleanspark.llm import pii
 from gleanspark.llm.decontamination import contaminated, decontaminate
 from gleanspark.llm.ngram_join import near_duplicates, representatives
 from tests.llm.conftest import words
@@ -96,6 +97,54 @@ def test_join_chains_and_families(spark, seed):
     assert got_components(df) == brute_components(rows)
 
 
+def passages(rng, n_rows, n_passages=12):
+    """Rows of two passages each and some own words: every pair of passages is a component of its own."""
+    texts = [words(rng, 60) for _ in range(n_passages)]
+    pairs = [(a, b) for a in range(n_passages) for b in range(a)]
+    return [(i, f"{texts[pairs[i % len(pairs)][0]]} {words(rng, rng.randint(1, 6))} {texts[pairs[i % len(pairs)][1]]}") for i in range(n_rows)]
+
+
+def test_pages_of_shared_passages_cost_rows_times_centres(spark, monkeypatch):
+    """Four times the rows measure about four times the pairs, not sixteen; the components are as by brute force."""
+    measured = {}
+    whole = N.met_components
+
+    def counted(*args):
+        more, pairs = whole(*args)
+        measured[n] = pairs.count()
+        return more, pairs
+
+    monkeypatch.setattr(N, "met_components", counted)
+    for n in (264, 1056):
+        rows = passages(random.Random(9), n)
+        got = got_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert len({c for _, _, c in got}) == 66
+        if n == 264:
+            assert got == brute_components(rows)
+    print(f"pairs measured: {measured}")
+    assert measured[1056] <= 6 * measured[264] and measured[1056] < 1056 * 66
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_components_that_meet_at_the_edges_of_balls(spark, seed):
+    """Families around passages at all distances from one another, so that balls overlap, touch and miss."""
+    rng = random.Random(seed)
+    rows = []
+    for f in range(5):
+        base = words(rng, 48).split(" ")
+        kin = list(base)
+        for step in range(6):
+            for _ in range(rng.randint(1, 3)):
+                kin[rng.randrange(len(kin))] = words(rng, 1)
+            for _ in range(12):
+                w = list(kin)
+                for _ in range(rng.randint(0, 2)):
+                    w[rng.randrange(len(w))] = words(rng, 1)
+                rows.append((len(rows), " ".join(w[: rng.randint(40, 48)])))
+    rng.shuffle(rows)
+    assert got_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_components(rows)
+
+
 # Decontamination
 
 
