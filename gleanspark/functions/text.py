@@ -43,7 +43,7 @@ LANGUAGE_NAMES = {
 }
 
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-_WORD = r"[^\s\x1c-\x1f\x85\p{Z}]+"
+_WORD = r"[^\s\x1c-\x1f\x85\p{Z}]"
 
 
 def stripped(text: Column) -> Column:
@@ -51,14 +51,15 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_SPACE}+|{_SPACE}+$", "")
 
 
-def word_count(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0)))
+def has_words(text: Column, n: int) -> Column:
+    """Whether a text has at least ``n`` words; what comes after the n-th is not read."""
+    return F.coalesce(text, F.lit("")).rlike(f"^{_SPACE}*+(?:{_WORD}++{_SPACE}++){{{n - 1}}}{_WORD}") if n > 0 else F.lit(True)
 
 
 def is_short(text: Column, language: Column, min_words: int = 5) -> Column:
     """Under ``min_words`` words; in languages without word blanks under twice as many characters."""
     by_length = F.length(stripped(text)) < max(1, 2 * min_words)
-    return F.when(F.lower(F.coalesce(language, F.lit(""))).isin(CHARACTER_LANGUAGES), by_length).otherwise(word_count(text) < min_words)
+    return F.when(F.lower(F.coalesce(language, F.lit(""))).isin(CHARACTER_LANGUAGES), by_length).otherwise(~has_words(text, min_words))
 
 
 def language_name(code: Column) -> Column:

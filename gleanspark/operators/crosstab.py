@@ -38,40 +38,42 @@ def short_phrases(reviews: DataFrame, n: int = 10, min_words: int = 5) -> DataFr
 
 
 def _bucketed(reviews: DataFrame, n_languages: int) -> DataFrame:
-    """A row for each review and axis: axis, bucket, bucket_order."""
+    """(axis, bucket, bucket_order, sentiment, topic_id, n, ups) over four axes, from counts of one scan."""
     p = F.coalesce("playtime_at_review", F.lit(0))
-    playtime, order = F.lit(BRACKETS[-1][0]), F.lit(len(BRACKETS) - 1)
-    for k, (label, low, high) in enumerate(BRACKETS[:-1]):
-        inside = (p >= low) & (p < high)
-        playtime, order = F.when(inside, label).otherwise(playtime), F.when(inside, k).otherwise(order)
-    counts = reviews.groupBy("language").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "language").limit(n_languages)
+    order = F.lit(len(BRACKETS) - 1)
+    for k, (_, low, high) in enumerate(BRACKETS[:-1]):
+        order = F.when((p >= low) & (p < high), k).otherwise(order)
+    deck, bought = F.coalesce(F.col("primarily_steam_deck") == 1, F.lit(False)), F.coalesce(F.col("steam_purchase") == 1, F.lit(False))
+    counts = reviews.groupBy(order.alias("bracket"), "language", deck.alias("deck"), bought.alias("bought"), "sentiment", "topic_id").agg(F.count(F.lit(1)).alias("n"), F.sum(up()).alias("ups"))
     # At most n_languages rows.
-    top = counts.withColumn("language_order", F.row_number().over(Window.orderBy("language")) - 1).select("language", "language_order")
-    deck, bought = F.col("primarily_steam_deck") == 1, F.col("steam_purchase") == 1
+    most = counts.groupBy("language").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "language").limit(n_languages)
+    top = most.select("language", (F.row_number().over(Window.orderBy("language")) - 1).alias("language_order"))
     cell = lambda axis, bucket, order: F.struct(F.lit(axis).alias("axis"), bucket.alias("bucket"), order.cast("int").alias("bucket_order"))
     cells = F.array(
-        cell("playtime", playtime, order),
+        cell("playtime", F.get(F.array(*[F.lit(label) for label, _, _ in BRACKETS]), F.col("bracket")), F.col("bracket")),
         cell("language", F.when(F.col("language_order").isNotNull(), F.col("language")), F.col("language_order")),
-        cell("steam_deck", F.when(deck, "Deck").otherwise("Non-Deck"), F.when(deck, 0).otherwise(1)),
-        cell("purchase_type", F.when(bought, "Purchase").otherwise("Free"), F.when(bought, 0).otherwise(1)),
+        cell("steam_deck", F.when(F.col("deck"), "Deck").otherwise("Non-Deck"), F.when(F.col("deck"), 0).otherwise(1)),
+        cell("purchase_type", F.when(F.col("bought"), "Purchase").otherwise("Free"), F.when(F.col("bought"), 0).otherwise(1)),
     )
-    return reviews.join(F.broadcast(top), "language", "left").select("*", F.explode(cells).alias("cell")).select("cell.*", "sentiment", "topic_id", "voted_up").where(F.col("bucket").isNotNull())
+    rows = counts.join(F.broadcast(top), "language", "left").select("*", F.explode(cells).alias("cell"))
+    return rows.select("cell.*", "sentiment", "topic_id", "n", "ups").where(F.col("bucket").isNotNull())
 
 
-def _shares(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _shares(rows: DataFrame, keys: list[str], n: Column | None = None) -> DataFrame:
     """Topics' counts and shares by bucket and sentiment; the whole counts rows without a topic too."""
-    counts = rows.groupBy(*keys, "sentiment", F.coalesce("topic_id", F.lit(-1)).alias("topic_id")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*keys, "sentiment", F.coalesce("topic_id", F.lit(-1)).alias("topic_id")).agg(F.sum(F.lit(1) if n is None else n).alias("n"))
     whole = F.sum("n").over(Window.partitionBy(*keys, "sentiment"))
     return counts.withColumn("proportion", F.col("n") / whole).where("topic_id >= 0")
 
 
 def segment_cross(reviews: DataFrame, n_languages: int = 10) -> DataFrame:
     """(axis, bucket, bucket_order, sentiment, topic_id, n, proportion) over four axes from one scan."""
-    return _shares(_bucketed(with_sentiment(reviews), n_languages), ["axis", "bucket", "bucket_order"])
+    return _shares(_bucketed(with_sentiment(reviews), n_languages), ["axis", "bucket", "bucket_order"], F.col("n"))
 
 
 def segment_totals(reviews: DataFrame, n_languages: int = 10) -> DataFrame:
-    return _bucketed(with_sentiment(reviews), n_languages).groupBy("axis", "bucket").agg(F.count(F.lit(1)).alias("total_reviews"), F.avg(up().cast("double")).alias("positive_rate"))
+    plain = with_sentiment(reviews).withColumn("topic_id", F.lit(0))
+    return _bucketed(plain, n_languages).groupBy("axis", "bucket").agg(F.sum("n").alias("total_reviews"), (F.sum("ups") / F.sum("n")).alias("positive_rate"))
 
 
 def timeline(reviews: DataFrame, period: str) -> DataFrame:
@@ -111,7 +113,7 @@ def phase_order() -> list[Column]:
 def segment_grid(reviews: DataFrame) -> DataFrame:
     """Negative reviews by playtime bracket and topic, with zeros."""
     rows = _bucketed(with_sentiment(reviews), 1).where("axis = 'playtime'")
-    counts = rows.where("sentiment = 'negative' AND topic_id >= 0").groupBy("bucket", "topic_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.where("sentiment = 'negative' AND topic_id >= 0").groupBy("bucket", "topic_id").agg(F.sum("n").alias("n"))
     # Brackets and topics: a few rows each.
     grid = rows.select("bucket").distinct().join(F.broadcast(counts.select("topic_id").distinct()))
     return grid.join(counts, ["bucket", "topic_id"], "left").select("bucket", "topic_id", F.coalesce("n", F.lit(0)).alias("n"))

@@ -5,51 +5,35 @@ Words are counted by Spark over all texts; only aggregates by topic and word rea
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
 import numpy as np
-from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.feature import HashingTF, StopWordsRemover
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.functions.vectors import cosine
-from gleanspark.operators.learning import embed
+from gleanspark.sources.storage import stored
 
+#: Vocabularies up to this many words (tens of bytes each) are broadcast.
+BROADCAST_WORDS = 500_000
 _TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that driver and executors share, and read back."""
-    context = df.sparkSession.sparkContext
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gleanspark-")
-        context.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}-grams"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _sentences(rows: DataFrame, text: str) -> DataFrame:
     """(topic_id, sentence, tokens): sentences numbered by a hash, which is enough to count them."""
     parts = rows.where("topic_id >= 0").select("topic_id", F.posexplode(F.split(F.coalesce(text, F.lit("")), r"[.!?\n]+")).alias("i", "s"), F.xxhash64("recommendation_id").alias("r"))
     return parts.select("topic_id", F.xxhash64("r", "i").alias("sentence"), "i", F.regexp_extract_all("s", F.lit(_TOKEN), F.lit(0)).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def _stop() -> Column:
-    words = StopWordsRemover.loadDefaultStopWords("english")
-    return F.array(*[F.lit(w) for w in words])
-
-
 def _grams(sentences: DataFrame) -> DataFrame:
     """(topic_id, gram, n): words and pairs of neighbours that neither begin nor end with a stop word."""
     low = F.transform("tokens", lambda t: F.lower(t))
     s = sentences.withColumn("w", low)
     ones = F.col("w")
     twos = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    stop = _stop()
-    ok = lambda g: ~F.exists(F.split(g, " "), lambda w: F.array_contains(stop, w) | (F.length(w) < 3) | w.rlike(r"^\p{N}+$"))
+    stop = StopWordsRemover.loadDefaultStopWords("english")
+    ok = lambda g: ~F.exists(F.split(g, " "), lambda w: w.isin(stop) | (F.length(w) < 3) | w.rlike(r"^\p{N}+$"))
     return s.select("topic_id", F.explode(F.concat(ones, twos)).alias("gram")).groupBy("topic_id", "gram").agg(F.count(F.lit(1)).alias("n")).where(ok(F.col("gram")))
 
 
@@ -103,18 +87,56 @@ def keywords_statistical(rows: DataFrame, n: int = 8, text: str = "review_text",
     return rows_.select("topic_id", "rank", "word", (1 - F.col("raw") / most).alias("score"))
 
 
+def _buckets(words: DataFrame, features: int) -> DataFrame:
+    """(word, bucket) of distinct words: where ``embed`` counts them."""
+    tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features).transform(words.withColumn("_w", F.array("word")))
+    return tf.select("word", (F.array_position(vector_to_array("_tf"), 1.0) - 1).cast("int").alias("bucket"))
+
+
+def gram_cells(first: DataFrame, grams: DataFrame, text: str, features: int) -> DataFrame:
+    """(topic_id, gram, score, cells): likeness of each gram to its topic's whole text, and the few cells of its vector.
+
+    The vectors are those of ``embed`` over all grams and whole texts, kept sparse: a gram has two words at most.
+    """
+    grams = stored(grams.select("topic_id", "gram", F.get(F.split("gram", " "), F.lit(0)).alias("w1"), F.get(F.split("gram", " "), F.lit(1)).alias("w2")), "grams")
+    tokens = stored(first.select("topic_id", F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")).alias("word")).where("word <> ''").groupBy("topic_id", "word").agg(F.count(F.lit(1)).alias("n")), "tokens")
+    vocabulary = tokens.select("word").union(grams.select("w1")).union(grams.select("w2")).where("word IS NOT NULL").distinct()
+    buckets = stored(_buckets(vocabulary, features), "buckets")
+    small = F.broadcast if buckets.count() <= BROADCAST_WORDS else (lambda df: df)
+    of = lambda w, b: small(buckets.select(F.col("word").alias(w), F.col("bucket").alias(b)))
+    g = grams.join(of("w1", "b1"), "w1").join(of("w2", "b2"), "w2", "left")
+    counted = g.select("topic_id", "gram", F.when(F.col("b1") == F.col("b2"), F.array(F.struct(F.col("b1").alias("i"), F.lit(2.0).alias("n")))).otherwise(F.filter(F.array(F.struct(F.col("b1").alias("i"), F.lit(1.0).alias("n")), F.struct(F.col("b2").alias("i"), F.lit(1.0).alias("n"))), lambda c: c["i"].isNotNull())).alias("c"))
+    counted = stored(counted, "cells")
+    whole = tokens.join(of("word", "bucket"), "word").groupBy("topic_id", "bucket").agg(F.sum("n").alias("n"))
+    # One number for each of ``features`` buckets.
+    holds = counted.select(F.explode("c").alias("c")).select(F.col("c.i").alias("bucket")).unionByName(whole.select("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    m = counted.count() + first.select("topic_id").distinct().count()
+    idf = [0.0] * features
+    for r in holds.collect():
+        idf[r.bucket] = math.log((m + 1) / (r.df + 1))
+    weights = F.array(*[F.lit(x) for x in idf])
+
+    def unit(cells: Column) -> Column:
+        weighted = F.transform(cells, lambda c: F.struct(c["i"].alias("i"), (c["n"] * F.get(weights, c["i"])).alias("x")))
+        size = F.sqrt(F.aggregate(weighted, F.lit(0.0), lambda s, c: s + c["x"] * c["x"]))
+        return F.filter(F.transform(weighted, lambda c: F.struct(c["i"].alias("i"), (c["x"] / size).cast("float").cast("double").alias("x"))), lambda c: c["x"] != 0)
+
+    topic = whole.groupBy("topic_id").agg(F.collect_list(F.struct(F.col("bucket").alias("i"), F.col("n").cast("double").alias("n"))).alias("c")).select("topic_id", unit(F.col("c")).alias("t"))
+    # An array of ``features`` numbers for each topic.
+    dense = topic.select("topic_id", F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: F.coalesce(F.element_at(F.map_from_entries("t"), i.cast("int")), F.lit(0.0))).alias("doc"))
+    length = lambda cells: F.sqrt(F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["x"] * c["x"]))
+    v = counted.select("topic_id", "gram", unit(F.col("c")).alias("cells")).join(F.broadcast(dense.withColumn("size", F.sqrt(F.aggregate("doc", F.lit(0.0), lambda s, x: s + x * x)))), "topic_id")
+    dot = F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["x"] * F.get("doc", c["i"]))
+    return v.withColumn("score", dot / (length("cells") * F.col("size"))).where("score > 0").select("topic_id", "gram", "score", "cells")
+
+
 def keywords_semantic(rows: DataFrame, n: int = 8, texts: int = 100, diversity: float = 0.5, text: str = "review_text") -> DataFrame:
     """(topic_id, rank, word, score): words and pairs most like the topic's first ``texts`` reviews, kept diverse."""
     newest = Window.partitionBy("topic_id").orderBy(F.col("timestamp_created").desc(), "recommendation_id")
     first = rows.where("topic_id >= 0").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= texts)
     grams = _grams(_sentences(first, text))
-    whole = first.groupBy("topic_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("_n", text))).getField(text), " ").alias("t")).select("topic_id", F.lit("").alias("gram"), "t")
     features = 256
-    vectors = embed(grams.select("topic_id", "gram", F.col("gram").alias("t")).unionByName(whole), "t", features)
-    v = vectors.where("gram <> ''").join(vectors.where("gram = ''").select("topic_id", F.col("embedding").alias("doc")), "topic_id")
-    v = v.withColumn("score", cosine(F.col("embedding"), F.col("doc"))).where("score > 0")
-    cells = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda c: c["x"] != 0)  # two words have two at most
-    v = _stored(v.select("topic_id", "gram", "score", cells.alias("cells")))
+    v = stored(gram_cells(first, grams, text, features), "likeness")
     spark, chosen = rows.sparkSession, {}
     like = lambda c: F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["x"] * F.get(c, x["i"])) / F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["x"] * x["x"]))
     for _ in range(n):

@@ -17,10 +17,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.operators.clusters import candidate_ks
-
-#: Fixed values of the choice of k.
-SAMPLE, RUNS, LEAST_GROUP, LEAST_SEPARATION, RUN_SHARE = 600, 4, 20, 0.05, 0.85
+from gleanspark.operators import clusters
+from gleanspark.sources.storage import stored
+
+#: Fixed values of the choice of k: rows of a sample, rows of a group and separation at least; seed and share of the sample
+#: of each run; seeds of the groups' samples (the first is for all groups that aren't named).
+SAMPLE, LEAST_GROUP, LEAST_SEPARATION = 600, 20, 0.05
+RUNS = [(11, 1.0), (23, 1.0), (101, 0.85), (202, 0.85)]
+GROUP_SEEDS = {None: 17, "negative": 29}
 #: Blocks of the silhouette: how many, of how many rows at most (then there are more) and at least (then fewer), and in how
 #: many parts each block meets the others.
 BLOCKS, BLOCK, LEAST_BLOCK, RIGHT_PARTS = 24, 20_000, 128, 4
@@ -38,14 +42,17 @@ def embed(texts: DataFrame, column: str = "review_text", features: int = 256) ->
     return unit.withColumn("embedding", vector_to_array("_unit").cast("array<float>")).drop("_text", "_words", "_tf", "_idf", "_unit")
 
 
-def kmeans_labels(rows: DataFrame, k: int, vector: str = "embedding", seed: int = 42, restarts: int = 1) -> DataFrame:
-    """``rows`` with ``topic_id`` from MLlib's k-means; the restart of least cost wins; fewer than two rows are one cluster."""
+def kmeans_labels(rows: DataFrame, k: int, vector: str = "embedding", seed: int = 42, restarts: int = 10) -> DataFrame:
+    """``rows`` with ``topic_id`` from MLlib's k-means; the restart of least cost wins; fewer than two rows are one cluster.
+
+    The vectors are stored once, and all restarts read them from there.
+    """
     n = rows.limit(2).count()
     if n < 2:
         return rows.withColumn("topic_id", F.lit(0))
-    df = rows.withColumn("_v", array_to_vector(vector))
-    models = [KMeans(k=max(2, k), seed=seed + i, featuresCol="_v", predictionCol="topic_id").fit(df) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(df).drop("_v")
+    vectors = stored(rows.select(array_to_vector(vector).alias("_v")), "vectors")
+    models = [KMeans(k=max(2, k), seed=seed + i, featuresCol="_v", predictionCol="topic_id").fit(vectors) for i in range(restarts)]
+    return min(models, key=lambda m: m.summary.trainingCost).transform(rows.withColumn("_v", array_to_vector(vector))).drop("_v")
 
 
 def lloyd(x: np.ndarray, k: int, seed: int, restarts: int = 10, rounds: int = 100) -> np.ndarray:
@@ -187,20 +194,13 @@ def pairwise_silhouette(x: np.ndarray, labels: np.ndarray) -> float | None:
     return float(np.where(single | (top == 0), 0.0, (b - a) / np.where(top == 0, 1, top)).mean())
 
 
-def rand_index(a: np.ndarray, b: np.ndarray) -> float | None:
-    if len(a) < 2 or len(np.unique(a)) < 2 or len(np.unique(b)) < 2:
-        return None
-    table = np.zeros((a.max() + 1, b.max() + 1))
-    np.add.at(table, (a, b), 1)
-    two = lambda v: (v * (v - 1) / 2).sum()
-    together, left, right, total = two(table), two(table.sum(1)), two(table.sum(0)), len(a) * (len(a) - 1) / 2
-    expected, most = left * right / total, (left + right) / 2
-    return 1.0 if most == expected else float((together - expected) / (most - expected))
-
-
-def sampled(rows: DataFrame, key: str, group: str, n: int = SAMPLE, seed: int = 17) -> DataFrame:
+def sampled(rows: DataFrame, key: str, group: str, n: int = SAMPLE, seeds: dict | None = None) -> DataFrame:
     """The ``n`` rows of each group with the smallest seeded hash: a fixed, bounded sample."""
-    w = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
+    seeds = seeds or GROUP_SEEDS
+    seed = F.lit(seeds[None])
+    for name, own in seeds.items():
+        seed = seed if name is None else F.when(F.col(group) == name, own).otherwise(seed)
+    w = Window.partitionBy(group).orderBy(F.md5(F.concat(seed.cast("string"), F.lit(":"), F.col(key).cast("string"))), key)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
@@ -269,61 +269,52 @@ def silhouette(rows: DataFrame, label: str = "topic_id", vector: str = "embeddin
     return all_.select(F.when((F.col("labels") >= 2) & (F.col("labels") < F.col("n")), F.col("s") / F.col("n")).alias("value"))
 
 
-def recommend_k(rows: DataFrame, key: str = "recommendation_id", group: str = "sentiment", vector: str = "embedding", seed: int = 17) -> DataFrame:
-    """(group, k, confidence, used_fallback, sample_count, score, margin): the recommended number of clusters.
-
-    For every candidate k, runs on 85 % subsamples are scored by silhouette, agreement and fragmentation.
-    """
-    kind = dict(rows.dtypes)[group]
-    totals = rows.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
-    sample = sampled(rows.select(group, key, vector), key, group, seed=seed)
-    packed = sample.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(key, vector))).alias("rows"))  # at most SAMPLE rows
-    jobs = packed.join(totals, group).select(group, "total", F.size("rows").alias("n"), "rows", F.explode(candidate_ks(F.col("total"))).alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"))
+def _tried(jobs: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, k, run, separation, fragmentation, points, labels) of every (group, k, run) in ``jobs``."""
+    kind = dict(jobs.dtypes)[group]
 
     def one(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
                 x = np.array([v[vector] for v in r.rows], dtype=float)
-                rng = np.random.default_rng([seed, r.run])
-                take = np.sort(rng.choice(len(x), max(2, round(RUN_SHARE * len(x))), replace=False))
-                labels = lloyd(x[take], r.k, seed + 101 * r.run)
+                seed, share = RUNS[r.run]
+                take = np.arange(len(x)) if share >= 1 else np.sort(np.random.default_rng(seed).choice(len(x), max(2, round(share * len(x))), replace=False))
+                labels = lloyd(x[take], r.k, seed)
                 sizes = np.bincount(labels)
                 small = sizes[(sizes > 0) & (sizes < max(8, math.ceil(0.05 * len(take))))].sum() / len(take)
                 out.append((getattr(r, group), r.k, r.run, pairwise_silhouette(x[take], labels), float(small), take.tolist(), labels.tolist()))
             yield pd.DataFrame(out, columns=[group, "k", "run", "separation", "fragmentation", "points", "labels"])
 
     spread = jobs.repartition(64, group, "k", "run")
-    runs = spread.mapInPandas(one, f"{group} {kind}, k int, run int, separation double, fragmentation double, points array<int>, labels array<int>")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = int(pdf.total.iloc[0])
-        tried = pdf[pdf.k.notna() & pdf.separation.notna()]
-        scores, separation = {}, 0.0
-        for k, g in tried.groupby("k"):
-            agree = []
-            rows = list(g.itertuples())
-            for i, a in enumerate(rows):
-                for b in rows[i + 1 :]:
-                    shared, ia, ib = np.intersect1d(a.points, b.points, return_indices=True)
-                    v = rand_index(np.asarray(a.labels)[ia], np.asarray(b.labels)[ib])
-                    agree += [] if v is None else [v]
-            median = float(np.median(g.separation))
-            separation = max(separation, median)
-            scores[int(k)] = 0.55 * median + 0.35 * (float(np.mean(agree)) if agree else 0.0) - 0.10 * float(g.fragmentation.mean())
-        if not scores or separation < LEAST_SEPARATION:
-            k, confidence, fallback, score, margin = max(2, min(8, round(math.sqrt(max(total, 1)) / 2))), "low", True, 0.0, 0.0
-        else:
-            low, high = min(scores.values()), max(scores.values())
-            norm = {k: 1.0 if math.isclose(low, high) else (s - low) / (high - low) for k, s in scores.items()}
-            top = max(norm.values())
-            k = min(c for c, s in norm.items() if top - s < 0.01)
-            score = norm[k]
-            margin = max(0.0, score - max((s for c, s in norm.items() if c != k), default=score))
-            confidence = "high" if score >= 0.75 and margin >= 0.12 else "medium" if score >= 0.45 or margin >= 0.05 else "low"
-            fallback = False
-        n = min(total, SAMPLE) if total >= LEAST_GROUP else 0
-        return pd.DataFrame([(pdf[group].iloc[0], k, confidence, fallback, n, round(score, 4), round(margin, 4))], columns=[group, "k", "confidence", "used_fallback", "sample_count", "score", "margin"])
+    return spread.mapInPandas(one, f"{group} {kind}, k int, run int, separation double, fragmentation double, points array<int>, labels array<int>")
+
+
+def recommend_k(rows: DataFrame, key: str = "recommendation_id", group: str = "sentiment", vector: str = "embedding") -> DataFrame:
+    """(group, k, confidence, used_fallback, sample_count, score, margin): the recommended number of clusters.
 
+    For every candidate k two runs over the sample and two over 85 % of it are scored by silhouette, agreement and
+    fragmentation; the scores are the operators' of ``clusters``.
+    """
+    totals = rows.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
+    sample = sampled(rows.select(group, key, vector), key, group)
+    packed = sample.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(key, vector))).alias("rows"))  # at most SAMPLE rows
+    jobs = packed.join(totals, group).select(group, "rows", F.explode(clusters.candidate_ks(F.col("total"))).alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(RUNS) - 1))).alias("run"))
     # A few dozen runs a group.
-    return totals.join(runs, group, "left").groupBy(group).applyInPandas(choose, f"{group} {kind}, k int, confidence string, used_fallback boolean, sample_count long, score double, margin double")
+    runs = stored(_tried(jobs, group, vector).where(F.col("separation").isNotNull()), "runs")
+    cells = runs.select(group, "k", "run", F.explode(F.arrays_zip("points", "labels")).alias("c")).select(group, "k", "run", F.col("c.points").alias("point"), F.col("c.labels").alias("label"))
+    agreement = clusters.stability(cells, by=[group, "k"]).withColumnRenamed("value", "stability")
+    metrics = runs.join(agreement, [group, "k"], "left").select(group, "k", "separation", F.coalesce("stability", F.lit(0.0)).alias("stability"), "fragmentation")
+    scores = clusters.score_k(metrics, [group])
+    best = scores.groupBy(group).agg(F.max("separation").alias("separation"), F.max_by(F.struct("k", "normalised", "margin", "confidence"), F.col("is_winner").cast("int")).alias("w"))
+    found = totals.join(best, group, "left")
+    sound = F.coalesce(F.col("separation") >= LEAST_SEPARATION, F.lit(False))
+    return found.select(
+        group,
+        F.when(sound, F.col("w.k")).otherwise(clusters.fallback_k(F.col("total"))).alias("k"),
+        F.when(sound, F.col("w.confidence")).otherwise("low").alias("confidence"),
+        (~sound).alias("used_fallback"),
+        F.when(F.col("total") >= LEAST_GROUP, F.least("total", F.lit(SAMPLE))).otherwise(0).cast("long").alias("sample_count"),
+        F.when(sound, F.round("w.normalised", 4)).otherwise(0.0).alias("score"),
+        F.when(sound, F.round("w.margin", 4)).otherwise(0.0).alias("margin"),
+    )

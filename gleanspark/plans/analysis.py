@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.operators import clusters, crosstab, filters, keywords, learning, stats
 from gleanspark.plans.config import resolve_config
+from gleanspark.sources.storage import stored
 
 DEFAULT_TOPICS = 8
 
@@ -34,9 +37,21 @@ def _filter(config: dict) -> filters.ReviewFilter:
     return filters.ReviewFilter(**{k: v for k, v in config.get("filter", {}).items() if k in known})
 
 
-def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Callable[[int, str], None] | None = None) -> Analysis:
-    """Reviews need ``embedding`` (null ones are embedded from their text together with all others)."""
-    tell = progress or (lambda percent, message: None)
+def _teller(progress: Callable[[dict], None] | None) -> Callable[[int, str, str], None]:
+    """Events of percent, message, stage and milliseconds since the start."""
+    began = time.monotonic()
+
+    def tell(percent: int, message: str, stage: str) -> None:
+        if progress:
+            progress({"percent": percent, "message": message, "stage": stage, "elapsed_ms": round(1000 * (time.monotonic() - began))})
+
+    return tell
+
+
+def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Callable[[dict], None] | None = None) -> Analysis:
+    """Reviews without a column ``embedding`` are embedded from their texts; of those with one, a row whose vector is null
+    belongs to no topic (-1) and counts in the whole."""
+    tell = _teller(progress)
     c = resolve_config(config or {})
     rows = filters.filter_reviews(reviews, _filter(c))
     if "maxReviews" in c:
@@ -45,21 +60,22 @@ def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Calla
     words = c["min_review_words"]
     out = Analysis(c, counts=stats.sentiment_counts(rows), short=crosstab.short_summary(rows, words), phrases=crosstab.short_phrases(rows, min_words=words))
     long = crosstab.with_sentiment(crosstab.long_reviews(rows, words))
-    tell(10, "embedding")
+    tell(10, "embedding", "embedding")
     if "embedding" not in long.columns:
         long = learning.embed(long)
-    sizes = {r.sentiment: r["count"] for r in long.groupBy("sentiment").count().collect()}
+    known = long.where(F.col("embedding").isNotNull())
+    sizes = {r.sentiment: r["count"] for r in known.groupBy("sentiment").count().collect()}
     if sum(sizes.values()) < 2:
         return out
     ks = {s: c.get("n_topics", DEFAULT_TOPICS) for s in sizes}
     if c["topicCountMode"] == "auto":
-        tell(40, "choosing the number of topics")
-        out.recommendation = [r.asDict() for r in learning.recommend_k(long).collect()]
+        tell(40, "choosing the number of topics", "recommendation")
+        out.recommendation = [r.asDict() for r in learning.recommend_k(known).collect()]
         ks |= {r["sentiment"]: r["k"] for r in out.recommendation}
     groups = []
     for s, n in sorted(sizes.items()):
-        tell(60, f"clustering {s} reviews")
-        group = long.where(F.col("sentiment") == s)
+        tell(60, f"clustering {s} reviews", "clustering")
+        group = known.where(F.col("sentiment") == s)
         if n < 2:
             groups.append(group.withColumn("topic_id", F.lit(-1)))
             continue
@@ -70,9 +86,11 @@ def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Calla
             labelled = learning.kmeans_labels(group, min(ks[s], n))
         merged, out.merges[s] = clusters.merge_topics(labelled, c["merge_threshold"])
         groups.append(merged)
-    labelled = groups[0] if len(groups) == 1 else groups[0].unionByName(groups[1])
+    # Stored, as every frame below reads it.
+    labelled = stored(reduce(DataFrame.unionByName, groups, long.where(F.col("embedding").isNull()).withColumn("topic_id", F.lit(-1))), "labelled")
     out.labelled = labelled
-    out.topics = topic_records(labelled)
+    tell(80, "finding keywords", "keywords")
+    out.topics = topic_records(labelled, c["tier"])
     out.crosstabs = {
         "segments": crosstab.segment_cross(labelled),
         "segment_totals": crosstab.segment_totals(labelled),
@@ -80,16 +98,20 @@ def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Calla
         "monthly": crosstab.timeline(labelled, "month"),
         "phases": crosstab.release_phases(labelled),
     }
-    tell(100, "done")
+    tell(100, "done", "complete")
     return out
 
 
-def topic_records(labelled: DataFrame) -> DataFrame:
-    """(sentiment, topic_id, label, review_count, keywords, representative, samples) of every topic."""
+def topic_records(labelled: DataFrame, tier: int = 0) -> DataFrame:
+    """(sentiment, topic_id, label, review_count, keywords, representative, samples) of every topic.
+
+    Keywords are statistical in tier 0 and semantic from tier 1 up.
+    """
+    find = keywords.keywords_semantic if tier >= 1 else keywords.keywords_statistical
     parts = []
     for s in ("negative", "positive"):
         group = labelled.where((F.col("sentiment") == s) & (F.col("topic_id") >= 0))
-        words = keywords.keywords_statistical(group)
+        words = find(group)
         listed = words.groupBy("topic_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word", "score"))), lambda x: F.struct(x["word"].alias("word"), F.round(x["score"], 3).alias("score"))).alias("keywords"))
         texts = group.select("recommendation_id", "review_text")
         best = clusters.nearest_to_centroid(group).join(texts, "recommendation_id").select("topic_id", F.col("review_text").alias("representative"))

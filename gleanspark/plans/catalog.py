@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
@@ -38,6 +38,13 @@ def _filtered(f: filters.ReviewFilter):
     return lambda r: filters.filter_reviews(r, f).select("recommendation_id", "app_id")
 
 
+def _list_games(r: DataFrame) -> DataFrame:
+    """The listing with each game's place in it; the last change of a review stands for the last fetch."""
+    fetched = r.groupBy("app_id").agg(F.max("timestamp_updated").alias("last_fetched_at"))
+    listed = S.list_games(S.games(r).join(fetched, "app_id"))
+    return listed.withColumn("pos", F.row_number().over(Window.orderBy(F.col("last_fetched_at").desc(), "app_id")).cast("long"))
+
+
 def _upsert_games(r: DataFrame) -> DataFrame:
     g = S.games(r).withColumns({"first_fetched_at": F.col("app_id") + 100, "last_fetched_at": F.col("app_id") + 100, "seq": F.lit(1)})
     again = g.where("app_id >= 2").withColumns({"app_name": F.when(F.col("app_id") == 3, "").otherwise(F.concat("app_name", F.lit(" II"))), "total_reviews": F.col("total_reviews") + 1, "first_fetched_at": F.lit(999), "last_fetched_at": F.lit(999), "seq": F.lit(2)})
@@ -70,7 +77,7 @@ def _kmeans(r: DataFrame) -> DataFrame:
 
 
 def _density(r: DataFrame) -> DataFrame:
-    """Each app's reviews of one sentiment are a group, as in an analysis."""
+    """Each app's reviews of one sentiment are a group: smaller ones than an analysis has, whose groups are sentiments alone."""
     long = crosstab.with_sentiment(crosstab.long_reviews(r)).where("embedding IS NOT NULL")
     return learning.density_labels(long.select(F.concat_ws(":", "app_id", "sentiment").alias("part"), "recommendation_id", "embedding"), "recommendation_id", "part")
 
@@ -82,7 +89,7 @@ def _merge(r: DataFrame) -> DataFrame:
 REVIEW_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "scan_reviews": lambda r: filters.scan_reviews(r, 2).select(*S.REVIEW_COLUMNS),
     "get_game": lambda r: S.games(r).where("app_id = 3"),
-    "list_games": lambda r: S.games(r),
+    "list_games": _list_games,
     "filter_language": _filtered(filters.ReviewFilter(language="german")),
     "filter_period": _filtered(filters.ReviewFilter(period_start=1672531200 + 104729 * 3, period_end=1700000000)),
     "filter_playtime": _filtered(filters.ReviewFilter(playtime_min=120, playtime_max=600)),

@@ -18,7 +18,7 @@ REVIEWS = """reviews AS (
         (d.doc_id * 31) % 500 AS votes_up, (d.doc_id * 17) % 50 AS votes_funny,
         CAST((d.doc_id * 613) % 1000 AS DOUBLE) / 1000.0 AS weighted_vote_score, d.doc_id % 12 AS comment_count,
         CASE WHEN d.doc_id % 11 = 0 THEN -1 ELSE CAST(e.label AS INTEGER) END AS topic_id, e.embedding
-    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id % 500)"""
+    FROM documents d CROSS JOIN (SELECT greatest(count(*), 1) AS n_vectors FROM embeddings) LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id % n_vectors)"""
 
 _CHARS = ", ".join(f"'{x}'" for x in CHARACTER_LANGUAGES)
 _BLANK = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -82,7 +82,7 @@ _COLUMNS = "recommendation_id, app_id, language, review_text, voted_up, timestam
 SQL: dict[str, str] = {
     "scan_reviews": _with(f"SELECT {_COLUMNS} FROM reviews WHERE app_id = 2"),
     "get_game": _with(f"SELECT * FROM ({_GAMES}) WHERE app_id = 3"),
-    "list_games": _with(_GAMES),
+    "list_games": _with(f"SELECT *, row_number() OVER (ORDER BY last_fetched_at DESC, app_id) AS pos FROM (SELECT g.*, f.last_fetched_at FROM ({_GAMES}) g JOIN (SELECT app_id, max(timestamp_updated) AS last_fetched_at FROM reviews GROUP BY app_id) f ON g.app_id = f.app_id)"),
     "filter_language": _ids("language = 'german'"),
     "filter_period": _ids("timestamp_created >= 1672845387 AND timestamp_created <= 1700000000"),
     "filter_playtime": _ids("playtime_at_review >= 120 AND playtime_at_review < 600"),
@@ -182,7 +182,7 @@ SQL: dict[str, str] = {
     "silhouette": _with(
         """SELECT round(avg(CASE WHEN own IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END), 6) AS value FROM (SELECT p, max(d) FILTER (WHERE l = m) AS own, min(d) FILTER (WHERE l <> m) AS other FROM (
         SELECT p.i AS p, p.topic_id AS l, q.topic_id AS m, avg(list_distance(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS d FROM s p JOIN s q ON p.i <> q.i GROUP BY 1, 2, 3) GROUP BY p)""",
-        REVIEWS + ", s AS (SELECT * FROM reviews WHERE embedding IS NOT NULL ORDER BY md5('17:' || recommendation_id), recommendation_id LIMIT 600)",
+        REVIEWS + ", s AS (SELECT * FROM reviews WHERE embedding IS NOT NULL)",
     ),
     "score_k": f"""WITH {_METRICS}, g AS (SELECT k, 0.55 * quantile_cont(separation, 0.5) + 0.35 * avg(stability) - 0.10 * avg(fragmentation) AS s FROM m GROUP BY k),
         z AS (SELECT k, s, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS x FROM g), w AS (SELECT min(k) AS wk FROM z WHERE (SELECT max(x) FROM z) - x < 0.01),

@@ -129,6 +129,11 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def list_games(games: DataFrame) -> DataFrame:
+    """Games in the order of their last fetch, newest first; ties go by app."""
+    return games.orderBy(F.col("last_fetched_at").desc(), "app_id")
+
+
 def games(reviews: DataFrame) -> DataFrame:
     """One row per app with its totals."""
     positive = F.sum(F.when(F.col("voted_up") == 1, 1).otherwise(0))

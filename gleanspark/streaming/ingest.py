@@ -6,6 +6,7 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urlencode
 from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,36 @@ def pages(get: Callable[[str], dict], most: int | None = None, sleep: Callable =
         sleep(PAUSE_S)
 
 
+def page_url(base: str, cursor: str = "*", language: str = "all", off_topic: bool = False) -> str:
+    """The address of a page of an app's newest reviews; without ``off_topic`` the service leaves such ones out."""
+    asked = {"json": 1, "filter": "recent", "language": language, "num_per_page": PAGE_ROWS, "cursor": cursor, "filter_offtopic_activity": int(not off_topic)}
+    return f"{base}?{urlencode(asked)}"
+
+
+def fetch_reviews(base: str, get: Callable[[str], dict] = fetch, language: str = "all", off_topic: bool = False, most: int | None = None, progress: Callable[[dict], None] | None = None, sleep: Callable = time.sleep) -> Iterator[tuple[list[dict], dict | None]]:
+    """(records, summary) of every page; the summary comes with the first page that has one.  A refused page raises."""
+    total, n, told = 0, 0, False
+    summary: dict | None = None
+
+    def ask(cursor: str) -> dict:
+        nonlocal summary
+        page = get(page_url(base, cursor, language, off_topic))
+        if not page.get("success"):
+            raise OSError(f"the service refused {base}")
+        summary = page.get("query_summary") or None
+        ask.cursor = page.get("cursor", cursor)
+        return page
+
+    for records in pages(ask, most, sleep):
+        first = None if told else summary
+        if first:
+            told, total = True, int(first.get("total_reviews") or 0)
+        n += len(records)
+        if progress:
+            progress({"fetched": n, "total": total, "cursor": ask.cursor})
+        yield records, first
+
+
 def ingest(spark: SparkSession, source: str, log: str, checkpoint: str, app_id: int) -> StreamingQuery:
     """Read all new page files (JSON lines) and append their normalised rows, numbered by batch, to a Parquet log.
 
