@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanspark.functions.vectors import once
 from gleanspark.sources.storage import stored
 
 #: Vocabularies up to this many words (tens of bytes each) are broadcast.
@@ -118,12 +119,14 @@ def gram_cells(first: DataFrame, grams: DataFrame, text: str, features: int) ->
 
     def unit(cells: Column) -> Column:
         weighted = F.transform(cells, lambda c: F.struct(c["i"].alias("i"), (c["n"] * F.get(weights, c["i"])).alias("x")))
-        size = F.sqrt(F.aggregate(weighted, F.lit(0.0), lambda s, c: s + c["x"] * c["x"]))
-        return F.filter(F.transform(weighted, lambda c: F.struct(c["i"].alias("i"), (c["x"] / size).cast("float").cast("double").alias("x"))), lambda c: c["x"] != 0)
+        size = lambda cs: F.sqrt(F.aggregate(cs, F.lit(0.0), lambda s, c: s + c["x"] * c["x"]))
+        scaled = lambda cs, n: F.transform(cs, lambda c: F.struct(c["i"].alias("i"), (c["x"] / n).cast("float").cast("double").alias("x")))
+        return F.filter(once(weighted, lambda cs: once(size(cs), lambda n: scaled(cs, n))), lambda c: c["x"] != 0)
 
-    topic = whole.groupBy("topic_id").agg(F.collect_list(F.struct(F.col("bucket").alias("i"), F.col("n").cast("double").alias("n"))).alias("c")).select("topic_id", unit(F.col("c")).alias("t"))
+    topic = whole.groupBy("topic_id").agg(F.collect_list(F.struct(F.col("bucket").alias("i"), F.col("n").cast("double").alias("n"))).alias("c")).select("topic_id", F.map_from_entries(unit(F.col("c"))).alias("t"))
     # An array of ``features`` numbers for each topic.
-    dense = topic.select("topic_id", F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: F.coalesce(F.element_at(F.map_from_entries("t"), i.cast("int")), F.lit(0.0))).alias("doc"))
+    dense = stored(topic, "wholes").select("topic_id", F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: F.coalesce(F.element_at("t", i.cast("int")), F.lit(0.0))).alias("doc"))
+    dense = stored(dense, "dense")
     length = lambda cells: F.sqrt(F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["x"] * c["x"]))
     v = counted.select("topic_id", "gram", unit(F.col("c")).alias("cells")).join(F.broadcast(dense.withColumn("size", F.sqrt(F.aggregate("doc", F.lit(0.0), lambda s, x: s + x * x)))), "topic_id")
     dot = F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["x"] * F.get("doc", c["i"]))
