@@ -7,7 +7,9 @@ partition's head may have begun before; its rows wait for the summaries (two row
 before.  What returns is, for each document that loses lines, a compressed bitmap of the lines it keeps; documents
 without a bitmap keep every line.  Texts are not moved until the bitmaps are applied.
 
-Defined cases: a null or empty text is one empty line; a null doc_id is one document that comes after all others; rows
+Defined cases: a null or empty text is one empty line; texts of any length are read whole; lines that repeat in the first
+document that holds them all stay there; a null doc_id is one document that comes after all others, and the largest long is
+not told apart from it; rows
 that repeat a doc_id are one document, and rows with different texts under one doc_id get a bitmap each; hashes have 128
 bits; an empty table gives an empty result; other columns are ignored.
 """

@@ -1,12 +1,16 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three transducers are compiled from a model: the normaliser (a blank in front of the text, blanks written as U+2581), the
-pieces (a trie that returns to its root with a piece's id), and the byte fallback (a character that is no piece becomes
-its UTF-8 bytes' pieces).  For a BPE model an arc from piece ``a`` to piece ``b`` has weight 0 where the model, applied to
-the two together, gives just ``a, b``, and infinity elsewhere; pieces of a unigram model weigh their negated score.
-Composed with an input, the path of least total weight over the tropical semiring is the encoding.
+What is compiled from a model is the transducer of its pieces: a trie that returns to its root with a piece's id.  The other
+two parts have one state each and are applied rather than compiled: the normaliser (a blank in front of the text, blanks
+written as U+2581) as replacements, and the byte fallback (a character becomes its UTF-8 bytes' pieces) as an arc that is
+there where no piece begins.  They are composed with an input as the path is followed.
+
+Weights: pieces of a unigram model weigh their negated score, and the path of least total weight over the tropical semiring
+is found by relaxing positions in order.  For a BPE model an arc from piece ``a`` to piece ``b`` has weight 0 where the
+model, applied to the two together, gives just ``a, b``, and infinity elsewhere; such weights are found when first asked for
+and remembered.  All finite paths then weigh 0 and every prefix of an input has one, so nothing is relaxed: the path is
+followed depth first over open arcs, and a position that can't be left is never entered again.
 
-Under the BPE weights every prefix of an input has one path of finite weight, so a position is entered in one way only.
 A text is composed in segments that no piece crosses (before a blank that follows something else, and around line ends);
 segments seen before come from a bounded table per worker.
 
@@ -14,7 +18,7 @@ Decoding writes the pieces' bytes, blanks for U+2581, and drops the blank in fro
 through the byte fallback, so that decoding gives back every text exactly.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text; repeated rows and null ids are separate
-rows; texts of any length are encoded whole; an empty table gives an empty result; other columns are passed on only where
+rows; texts of any length are encoded whole; of BPE joins equally good the leftmost comes first; an empty table gives an empty result; other columns are passed on only where
 named, and a column of the result's name that was there before is replaced.
 """
 

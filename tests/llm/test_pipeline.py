@@ -44,4 +44,8 @@ def test_stages_keep_columns(spark, edge, tables, empty):
         out = stage(spark, edge, tables)
         assert out.columns == edge.columns, name
         assert stage(spark, empty, tables).count() == 0, name
-    assert corpus_pipeline.STAGES[-1][1](spark, edge, tables).count() == edge.count()
+    last = corpus_pipeline.STAGES[-1][1]
+    rows, texts = last(spark, edge, tables).collect(), [r.text or "" for r in edge.select("text").collect()]
+    assert len(rows) == len(texts) and all(r.same_text and r.n_pieces == len(r.ids) for r in rows)
+    assert sum(r.n_pieces == 0 for r in rows) == sum(not t for t in texts)
+    assert last(spark, empty, tables).count() == 0 and last(spark, empty, tables).columns == ["doc_id", "n_pieces", "ids", "same_text"]
