@@ -15,7 +15,7 @@
    with, the one with most links; a component has few such centres.  Rows outside a column's largest component meet the
    centres of the others, under the size and position bounds.  A row that links with the centre is connected to its whole
    ball; otherwise the Jaccard distance, which is a metric, leaves only those rows of the ball that lie at least as far
-   from the centre as the row does, less 1/4, and these are verified one by one.  So no pair of different components that
+   from the centre as the row does, less 1/4, and those that it meets in a column within the bounds are verified.  So no pair of different components that
    could link is left out, and texts put together from the same passages cost rows times centres, not rows times rows.
 6. Components of all links, and of all copies through their class.
 
@@ -256,8 +256,9 @@ def met_components(entries: DataFrame, nodes: DataFrame, links: DataFrame, num:
     named = _still_mixed(meeting, connected_components(links.select("a", "b")))
     discard(meeting)
     balls = stored(_balls(links, named.select("node").distinct()), "balls")
-    held = named.join(balls.select("node", "center"), "node").groupBy("tok", "center", "comp").agg(F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
-    outside = named.where("comp <> main").select("tok", F.col("node").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("pos")).alias("left_a"), F.col("comp").alias("comp_a"))
+    members = named.join(balls, "node").select("tok", "center", "comp", "node", "n", "pos", "far")
+    held = members.groupBy("tok", "center", "comp").agg(F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
+    outside = named.where("comp <> main").select("tok", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pos_a"), (F.col("n") - F.col("pos")).alias("left_a"), F.col("comp").alias("comp_a"))
     # The bounds of two rows, as loose as some row of the ball makes them.
     may = ((den + num) * F.least("left", "left_a") >= num * (F.col("low") + F.col("na"))) & (den * F.col("na") >= num * F.col("low")) & (den * F.col("high") >= num * F.col("na"))
     near = outside.join(stored(held, "held"), "tok").where((F.col("comp") != F.col("comp_a")) & may).select("a", F.col("center").alias("b")).distinct()
@@ -270,10 +271,9 @@ def met_components(entries: DataFrame, nodes: DataFrame, links: DataFrame, num:
     apart = far.alias("apart")
     reach = balls.where("far > 0").groupBy("center").agg(F.max("far").alias("reach"))
     open_ = centred.where(~_link(num, den)).select("a", F.col("b").alias("center"), apart).join(reach, "center").where(F.col("apart") <= F.col("reach") + slack)
-    inside = stored(open_, "open").join(balls.where("far > 0"), "center").where(F.col("far") >= F.col("apart") - slack).select("a", F.col("node").alias("b")).distinct()
+    again = outside.select("tok", "a", F.col("na").alias("other_n"), F.col("pos_a").alias("other_pos")).join(stored(open_, "open"), "a")
+    inside = stored(again, "again").join(members.where("far > 0"), ["tok", "center"]).where((F.col("far") >= F.col("apart") - slack) & _bounded(num, den)).select("a", F.col("node").alias("b")).distinct()
     inside = inside.join(comp_of("a", "comp_a"), "a", "left").join(comp_of("b", "comp_b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
-    sizes = nodes.select("node", "n")
-    inside = inside.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
     single = stored(_measured(stored(inside.select("a", "b"), "inside"), nodes), "single")
     last = stored(single.where(_link(num, den)).select("a", "b"), "last")
     return links.select("a", "b").unionByName(more).unionByName(last), centred.select("a", "b").unionByName(single.select("a", "b"))
