@@ -36,3 +36,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def joined_by(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` (node, component) after more links (a, b): only the components that these join are worked on."""
+    if links.isEmpty():
+        return components
+    at = lambda node, name: components.select(F.col("node").alias(node), F.col("component").alias(name))
+    named = links.join(at("a", "x"), "a", "left").join(at("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    moved = connected_components(named).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = components.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # Nodes that had no link so far stand for themselves.
+    fresh = moved.join(components.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+    return stored(old.unionByName(fresh), "joined")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import discard, slices, stored, without
-from gleanspark.llm.components import connected_components
+from gleanspark.llm.components import connected_components, joined_by
 from gleanspark.llm.shingles import buffers, mix, shingle_sets
 
 #: Bytes of text in a block and in the share of a column range, and the most documents of a block.
@@ -248,13 +248,15 @@ def _still_mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def met_components(entries: DataFrame, nodes: DataFrame, links: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) whose components are those of all rows, from the links (a, b, far) of stars; and the last pairs measured."""
+    """(node, component) of all rows that link with any, from the links (a, b, far) of stars; and the last pairs measured."""
     far = (1 - F.col("overlap") / F.col("all")).alias("far")
-    meeting = _still_mixed(entries, connected_components(links.select("a", "b")))
-    gathered = _gathered(meeting.select("node", "comp").distinct(), nodes, num, den).where(_link(num, den)).select("a", "b", far)
-    links = stored(links.unionByName(gathered), "links")
-    named = _still_mixed(meeting, connected_components(links.select("a", "b")))
-    discard(meeting)
+    comps = stored(connected_components(links.select("a", "b")), "components")
+    meeting = _still_mixed(entries, comps)
+    gathered = stored(_gathered(meeting.select("node", "comp").distinct(), nodes, num, den).where(_link(num, den)).select("a", "b", far), "gathered")
+    named = meeting
+    if not gathered.isEmpty():
+        links, comps = links.unionByName(gathered), joined_by(comps, gathered.select("a", "b"))
+        named = _still_mixed(meeting, comps)
     balls = stored(_balls(links, named.select("node").distinct()), "balls")
     members = named.join(balls, "node").select("tok", "center", "comp", "node", "n", "pos", "far")
     held = members.groupBy("tok", "center", "comp").agg(F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -265,8 +267,8 @@ def met_components(entries: DataFrame, nodes: DataFrame, links: DataFrame, num:
     centred = stored(_measured(stored(near, "near"), nodes), "centred")
     more = centred.where(_link(num, den)).select("a", "b")
     # Rows that may link with a ball's row though not with its centre.
-    joined = stored(connected_components(links.select("a", "b").unionByName(more)), "joined")
-    comp_of = lambda node, name: joined.select(F.col("node").alias(node), F.col("component").alias(name))
+    comps = joined_by(comps, more)
+    comp_of = lambda node, name: comps.select(F.col("node").alias(node), F.col("component").alias(name))
     slack = (den - num) / den + 1e-9
     apart = far.alias("apart")
     reach = balls.where("far > 0").groupBy("center").agg(F.max("far").alias("reach"))
@@ -276,7 +278,7 @@ def met_components(entries: DataFrame, nodes: DataFrame, links: DataFrame, num:
     inside = inside.join(comp_of("a", "comp_a"), "a", "left").join(comp_of("b", "comp_b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
     single = stored(_measured(stored(inside.select("a", "b"), "inside"), nodes), "single")
     last = stored(single.where(_link(num, den)).select("a", "b"), "last")
-    return links.select("a", "b").unionByName(more).unionByName(last), centred.select("a", "b").unionByName(single.select("a", "b"))
+    return joined_by(comps, last), centred.select("a", "b").unionByName(single.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4) -> DataFrame:
@@ -300,7 +302,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4)
     discard(pivots)
     links = stored(_measured(star_pairs, nodes).where(_link(num, den)).select("a", "b", (1 - F.col("overlap") / F.col("all")).alias("far")), "links")
     discard(star_pairs)
-    comps = connected_components(met_components(entries, nodes, links, num, den)[0])
+    comps, _ = met_components(entries, nodes, links, num, den)
     discard(entries)
 
     members = nodes.select("set", "label", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
