@@ -27,8 +27,9 @@ from gleanspark.llm.common import slices, stored, without, work_dir, wrapped
 #: Hit digests up to this many (8 bytes each) are broadcast to filter the texts that need verification; more are joined.
 BROADCAST_HITS = 2_000_000
 
-#: Rows of a memtable, memtables at least, runs that one compaction merges, and bits of a filter for each row.
-MEMTABLE_ROWS, LEAST_MEMTABLES, FAN_IN, BITS_A_ROW = 4_000_000, 8, 4, 16
+#: Rows of a memtable, memtables at least and at most (then they grow), runs that one compaction merges, and bits of a filter
+#: for each row.
+MEMTABLE_ROWS, LEAST_MEMTABLES, MOST_MEMTABLES, FAN_IN, BITS_A_ROW = 4_000_000, 8, 64, 4, 16
 #: Bits of one bitmap (Spark's own), and of the largest filter that is broadcast; the runs of higher levels are merged whole.
 BITMAP, MOST_BROADCAST_BITS = 32_768, 256_000_000
 EMPTY = bytes(BITMAP // 8)
@@ -189,9 +190,10 @@ def decisions(docs: DataFrame, keep: str = "min", digest: str = "sha256") -> Dat
 
     log = stored(entries, "entries")
     n = log.count()
-    index = DigestIndex(spark, memtable_rows=max(1, min(MEMTABLE_ROWS, -(-n // LEAST_MEMTABLES))))
+    memtables = min(max(LEAST_MEMTABLES, -(-n // MEMTABLE_ROWS)), MOST_MEMTABLES)
+    index = DigestIndex(spark, memtable_rows=max(1, -(-n // memtables)))
     if n:
-        index.flush(log.select("digest", "doc_id", "copies").repartition(slices(spark, n, MEMTABLE_ROWS // 8, LEAST_MEMTABLES)), max(LEAST_MEMTABLES, -(-n // MEMTABLE_ROWS)))
+        index.flush(log.select("digest", "doc_id", "copies").repartition(slices(spark, n, MEMTABLE_ROWS // 8, memtables)), memtables)
     merged = index.merged() if n else log.select("digest", F.col("doc_id").alias("least_id"), F.col("doc_id").alias("largest_id"), F.col("copies").alias("group_size"), F.lit(1).cast("long").alias("members"))
     apart = stored(verified_apart(texts.select("digest", "text"), merged.where("members > 1 OR group_size > 1")), "apart")
 
