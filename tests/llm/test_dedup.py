@@ -18,7 +18,7 @@ from gleanspark.llm.line_dedup import kept_text, line_dedup
 LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op7_exact_dedup", "op8_url_filters"])
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op7_exact_dedup", "op8_url_filters", "op10_ngram_join"])
 def test_same_as_sql(name, spark, tables, same):
     same(queries.QUERIES[name](spark, tables), queries.ORACLE_SQL[name])
 
