@@ -33,7 +33,7 @@ from gleanspark.llm.common import pieces_of, remembered
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 32_000
 #: Symbols of a block, states that are kept while blocks go through the automata together, and bytes that a worker takes up at a time.
-BLOCK, KEPT_STATES, PART_BYTES = 256, 8_000_000, 2_000_000
+BLOCK, KEPT_STATES, PART_BYTES = 256, 2_000_000, 1_000_000
 _SPACE, _NEXT = 32, (1 << 32) - 1
 
 
@@ -92,17 +92,29 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def packed_rows(automata: list[list[dict[int, int]]], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def transitions(automaton: list[dict[int, int]]) -> tuple[int, np.ndarray]:
+    """The number of states, and rows of (state, symbol, next state) in the order of states: a small form of the automaton."""
+    sizes = np.array([len(e) for e in automaton])
+    symbols = np.fromiter((s for e in automaton for s in e), np.int32, sizes.sum())
+    after = np.fromiter((to for e in automaton for to in e.values()), np.int32, sizes.sum())
+    return len(automaton), np.stack([np.repeat(np.arange(len(automaton), dtype=np.int32), sizes), symbols, after], axis=1)
+
+
+def packed_rows(automata: list[tuple[int, np.ndarray]], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The transitions of all automata in one table, rows laid into one another's gaps; and each state's place.
 
     The entry at ``place + symbol`` is the state's own if its upper half is that place; the lower half is the next place.
     """
-    states = [edges for automaton in automata for edges in automaton]
-    place = np.zeros(len(states), dtype=np.int64)
-    several = sorted((i for i, e in enumerate(states) if len(e) > 1), key=lambda i: -len(states[i]))
+    first = np.cumsum([0, *[n for n, _ in automata]])
+    state = np.concatenate([rows[:, 0] + at for (_, rows), at in zip(automata, first[:-1], strict=True)]).astype(np.int64) if automata else np.zeros(0, np.int64)
+    symbol_of = np.concatenate([rows[:, 1] for _, rows in automata]).astype(np.int64) if automata else state
+    size = np.bincount(state, minlength=int(first[-1]))
+    begin = np.cumsum(size) - size
+    place = np.zeros(len(size), dtype=np.int64)
+    several = np.flatnonzero(size > 1)
     cells, names, at = bytearray(4 * width), bytearray(4 * width), 0
-    for i in several:
-        symbols, p = list(states[i]), at
+    for i in several[np.argsort(-size[several], kind="stable")].tolist():
+        symbols, p = symbol_of[begin[i] : begin[i] + size[i]].tolist(), at
         while names[p] or any(cells[p + s] for s in symbols):
             p += 1
             if p + width >= len(cells):
@@ -114,8 +126,8 @@ def packed_rows(automata: list[list[dict[int, int]]], width: int) -> tuple[np.nd
             cells[p + s] = 1
     # States of one transition take the gaps that are left.
     used, named = (np.frombuffer(x, dtype=np.uint8).astype(bool) for x in (cells, names))
-    single = np.array([i for i, e in enumerate(states) if len(e) == 1], dtype=np.int64)
-    symbol = np.array([next(iter(states[i])) for i in single.tolist()], dtype=np.int64)
+    single = np.flatnonzero(size == 1)
+    symbol = symbol_of[begin[single]]
     while len(single):
         gaps = np.flatnonzero(~used[width:]) + width
         if len(gaps) < len(single):
@@ -132,18 +144,12 @@ def packed_rows(automata: list[list[dict[int, int]]], width: int) -> tuple[np.nd
         if not fits.any():  # none fits: the gaps that are left are no use to these symbols
             used[gaps] = True
         single, symbol = single[~fits], symbol[~fits]
-    ends = np.array([i for i, e in enumerate(states) if not e], dtype=np.int64)
+    ends = np.flatnonzero(size == 0)
     place[ends] = len(used) + np.arange(len(ends))
     table = np.full(len(used) + len(ends) + width, -1, dtype=np.int64)
-    first = 0
-    places = []
-    for automaton in automata:
-        own = place[first : first + len(automaton)]
-        for p, edges in zip(own.tolist(), automaton, strict=True):
-            for s, to in edges.items():
-                table[p + s] = (p << 32) | int(own[to])
-        places.append(own)
-        first += len(automaton)
+    places = [place[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    for own, (_, rows) in zip(places, automata, strict=True):
+        table[own[rows[:, 0]] + rows[:, 1]] = (own[rows[:, 0]] << 32) | own[rows[:, 2]]
     return table, places
 
 
@@ -154,17 +160,18 @@ class Parser:
         self.languages = sorted(k for k, v in references.items() if v)
         raw = {k: normalise(a := np.frombuffer(references[k], np.uint8), np.array([0, len(a)]))[0] for k in self.languages}
         seen = sorted(set(b"".join(r.tobytes() for r in raw.values())))
-        self.code = np.full(256, len(seen), dtype=np.int64)
+        self.code = np.full(256, len(seen), dtype=np.int32)
         self.code[seen] = np.arange(len(seen))
         width = len(seen) + 1
         # The last state of each stands between phrases: at the start, and after a symbol that the language never has.
-        automata = [[*suffix_automaton(self.code[raw[k]].tolist()), {}] for k in self.languages]
+        automata = [transitions([*suffix_automaton(self.code[raw[k]].tolist()), {}]) for k in self.languages]
         self.table, places = packed_rows(automata, width)
         self.between = np.array([p[-1] for p in places], dtype=np.int64)
         #: Where the first symbol of a phrase leads.
         self.first = np.repeat(self.between[:, None], width, axis=1)
-        for row, p, automaton in zip(self.first, places, automata, strict=True):
-            row[list(automaton[0])] = p[list(automaton[0].values())]
+        for row, p, (_, rows) in zip(self.first, places, automata, strict=True):
+            root = rows[rows[:, 0] == 0]
+            row[root[:, 1]] = p[root[:, 2]]
         self.bits = np.array([math.log2(max(2, len(raw[k]))) for k in self.languages])
 
     def _blocks(self, symbols: np.ndarray, sizes: np.ndarray, follows: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
