@@ -7,17 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import pieces
+from gleanspark.llm import centroids, pieces
 from gleanspark.llm.common import documents
 from gleanspark.llm.decontamination import contaminated
 from gleanspark.llm.exact_dedup import exact_dedup
 from gleanspark.llm.language_id import held_out, language_id
 from gleanspark.llm.line_dedup import kept_text, line_dedup
+from gleanspark.llm.near_vectors import near_vectors
 from gleanspark.llm.ngram_join import near_duplicates
 from gleanspark.llm.pii import personal_data, span_text
 from gleanspark.llm.sharding import shards
 from gleanspark.llm.token_counts import token_counts, vocabulary
 from gleanspark.llm.url_filter import url_filter
+from gleanspark.llm.whitening import whitening
 
 #: A public tokenizer's file; it is only read by the driver.
 PIECES_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -79,6 +81,37 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _k_means_sql() -> str:
+    """All rounds one after the other: cN are centroids, aN the nearest one of every vector."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({centroids.FACTOR} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings WHERE len(embedding) = {centroids.SIZE} AND list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), FALSE))))""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, x AS c FROM (SELECT x, sha256('{centroids.SALT}' || vec_id) AS h FROM v ORDER BY h LIMIT {centroids.CENTROIDS}))",
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        away = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, arg_min(k, d * {centroids.CENTROIDS} + k) AS k, CAST(min(d) AS BIGINT) AS d FROM (SELECT vec_id, x, k, {away} AS d FROM v, c{i}) GROUP BY vec_id)")
+        if i < centroids.ROUNDS:
+            means = f"SELECT k, j, (s - (s % n + n) % n) // n AS m FROM (SELECT k, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, {centroids.SIZE + 1}) t(j) GROUP BY k, j)"
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k, list(m ORDER BY j) AS c FROM ({means}) GROUP BY k UNION ALL SELECT k, c FROM c{i} WHERE k NOT IN (SELECT k FROM a{i}))")
+    last = centroids.ROUNDS
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{last} JOIN c{last} USING (k)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -90,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_ngram_join": op10_ngram_join,
+    "op11_whitening": op11_whitening,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -128,4 +164,12 @@ ORACLE_SQL: dict[str, str] = {
         r(doc_id, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.comp FROM r JOIN e ON r.doc_id = e.a WHERE r.comp < e.b)
         SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(comp) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
     """,
+    "op12_centroid_clustering": _k_means_sql(),
+    "op13_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), FALSE))) AND list_bool_or(list_transform(embedding, lambda c: c <> 0))),
+        p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        r(vec_id, comp) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.comp FROM r JOIN p ON r.vec_id = p.a WHERE r.comp < p.b),
+        n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+        SELECT r.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(comp) AS component_id, r.vec_id = min(comp) AS kept FROM r LEFT JOIN n ON r.vec_id = n.a GROUP BY r.vec_id
+    """,
 }
