@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanspark.functions.arrays import distances
 from gleanspark.operators import clusters
 from gleanspark.sources.storage import stored
 
@@ -28,8 +29,6 @@ GROUP_SEEDS = {None: 17, "negative": 29}
 #: Blocks of the silhouette: how many, of how many rows at most (then there are more) and at least (then fewer), and in how
 #: many parts each block meets the others.
 BLOCKS, BLOCK, LEAST_BLOCK, RIGHT_PARTS = 24, 20_000, 128, 4
-#: Groups up to this many vectors are clustered by density in one task; the method compares all pairs.
-DENSITY_LIMIT = 5000
 
 
 def embed(texts: DataFrame, column: str = "review_text", features: int = 256) -> DataFrame:
@@ -81,101 +80,6 @@ def lloyd(x: np.ndarray, k: int, seed: int, restarts: int = 10, rounds: int = 10
     return best
 
 
-def density(x: np.ndarray, least: int = 3) -> np.ndarray:
-    """Density clusters: single linkage over the Euclidean distances, condensed at ``least`` points, by excess of mass.
-
-    Noise is -1.  With one neighbour as core the mutual reachability is the plain distance.
-    """
-    n = len(x)
-    if n < 2 or n < least:
-        return np.full(n, -1)
-    near, parent, inside = np.full(n, np.inf), np.zeros(n, dtype=int), np.zeros(n, dtype=bool)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        inside[at] = True
-        d = np.sqrt(((x - x[at]) ** 2).sum(1))
-        closer = (d < near) & ~inside
-        near[closer], parent[closer] = d[closer], at
-        at = int(np.where(inside, np.inf, near).argmin())
-        edges.append((near[at], parent[at], at))
-    size, kids, height, nxt = [1] * n, {}, {}, n
-    root = {i: i for i in range(n)}
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for d, a, b in sorted(edges):
-        a, b = find(a), find(b)
-        kids[nxt], height[nxt] = (a, b), max(d, 1e-12)
-        root[a] = root[b] = root[nxt] = nxt
-        size.append(size[a] + size[b])
-        nxt += 1
-
-    def members(i: int) -> list[int]:
-        out, todo = [], [i]
-        while todo:
-            j = todo.pop()
-            out.append(j) if j < n else todo.extend(kids[j])
-        return out
-
-    # Condensed tree: a cluster lives from the split that makes it until it splits into two of at least ``least`` points.
-    clusters, todo = [], [(nxt - 1, 0.0, None)]
-    while todo:
-        top, birth, above = todo.pop()
-        me, node, mass = len(clusters), top, 0.0
-        clusters.append({"top": top, "above": above, "below": []})
-        if above is not None:
-            clusters[above]["below"].append(me)
-        while True:
-            if node < n:
-                break
-            lam = 1 / height[node]
-            big = [c for c in kids[node] if size[c] >= least]
-            if len(big) == 1:
-                mass += (size[node] - size[big[0]]) * (lam - birth)
-                node = big[0]
-                continue
-            mass += size[node] * (lam - birth)
-            todo += [(c, lam, me) for c in big]
-            break
-        clusters[me]["mass"] = mass
-    chosen = set()
-    for i in range(len(clusters) - 1, 0, -1):  # the root is never a cluster
-        c = clusters[i]
-        below = sum(clusters[j]["best"] for j in c["below"])
-        if c["mass"] >= below:
-            c["best"] = c["mass"]
-            drop = list(c["below"])
-            while drop:
-                j = drop.pop()
-                chosen.discard(j)
-                drop += clusters[j]["below"]
-            chosen.add(i)
-        else:
-            c["best"] = below
-    labels = np.full(n, -1)
-    for number, i in enumerate(sorted(chosen)):
-        labels[members(clusters[i]["top"])] = number
-    return labels
-
-
-def density_labels(rows: DataFrame, key: str, group: str, vector: str = "embedding", least: int = 3) -> DataFrame:
-    """(group, key, topic_id): density clusters of each group; a group beyond the limit is refused, not thinned out."""
-    sizes = rows.groupBy(group).count().where(F.col("count") > DENSITY_LIMIT).limit(1).collect()
-    if sizes:
-        raise ValueError(f"group {sizes[0][0]!r} has {sizes[0]['count']} vectors; density clusters compare all pairs of at most {DENSITY_LIMIT}")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "topic_id": density(np.vstack(pdf[vector]).astype(float), least)})
-
-    return rows.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, topic_id int")
-
-
 def pairwise_silhouette(x: np.ndarray, labels: np.ndarray) -> float | None:
     ids = np.unique(labels)
     if len(ids) < 2 or len(ids) >= len(x):
@@ -208,15 +112,6 @@ def _flat(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
     return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all pairs; nearly equal vectors are subtracted, as their products cancel."""
-    a, b = (x * x).sum(1)[:, None], (y * y).sum(1)[None]
-    d = a + b - 2 * x @ y.T
-    i, j = np.nonzero(d < 1e-6 * (a + b))
-    d[i, j] = ((x[i] - y[j]) ** 2).sum(1)
-    return np.sqrt(d, out=d)
-
-
 def _label_sums(batches):
     """From pairs of blocks: for each point of the left one and each label, the sum of distances to the right ones."""
     found: dict[int, tuple] = {}

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanspark.operators import clusters, crosstab, filters, keywords, learning, stats
+from gleanspark.operators import clusters, crosstab, density, filters, keywords, learning, stats
 from gleanspark.plans.config import resolve_config
 from gleanspark.sources.storage import stored
 
@@ -80,7 +80,7 @@ def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Calla
             groups.append(group.withColumn("topic_id", F.lit(-1)))
             continue
         if c["tier"] >= 1:
-            found = learning.density_labels(group, "recommendation_id", "sentiment")
+            found = density.density_labels(group, "recommendation_id", "sentiment")
             labelled = group.join(found.drop("sentiment"), "recommendation_id")
         else:
             labelled = learning.kmeans_labels(group, min(ks[s], n))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
-from gleanspark.operators import clusters, crosstab, filters, keywords, learning, stats, upsert
+from gleanspark.operators import clusters, crosstab, density, filters, keywords, learning, stats, upsert
 from gleanspark.plans import analysis
 from gleanspark.sources import reviews as S
 from gleanspark.streaming.ingest import event_trend
@@ -79,7 +79,7 @@ def _kmeans(r: DataFrame) -> DataFrame:
 def _density(r: DataFrame) -> DataFrame:
     """Each app's reviews of one sentiment are a group: smaller ones than an analysis has, whose groups are sentiments alone."""
     long = crosstab.with_sentiment(crosstab.long_reviews(r)).where("embedding IS NOT NULL")
-    return learning.density_labels(long.select(F.concat_ws(":", "app_id", "sentiment").alias("part"), "recommendation_id", "embedding"), "recommendation_id", "part")
+    return density.density_labels(long.select(F.concat_ws(":", "app_id", "sentiment").alias("part"), "recommendation_id", "embedding"), "recommendation_id", "part")
 
 
 def _merge(r: DataFrame) -> DataFrame:

