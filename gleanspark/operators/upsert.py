@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The columns that a later sighting of a review overwrites; all others keep their first value.
-MUTABLE = ["review_text", "voted_up", "timestamp_updated", "votes_up", "votes_funny", "weighted_vote_score", "comment_count"]
+MUTABLE = ["review_text", "voted_up", "timestamp_updated", "votes_up", "votes_funny", "weighted_vote_score", "comment_count", "fetched_at"]
 
 
 def upsert(rows: DataFrame, key: str, mutable: list[str], seq: str = "seq") -> DataFrame:

@@ -50,12 +50,21 @@ RAW_SCHEMA = T.StructType(
     ]
 )
 
+#: What the first page of an app says of the whole.
+SUMMARY_SCHEMA = T.StructType([T.StructField(c, T.StringType() if c == "review_score_desc" else T.LongType()) for c in ("num_reviews", "review_score", "review_score_desc", "total_positive", "total_negative", "total_reviews")])
+
+#: A stored review: a review row and when it was last fetched.
+STORED_SCHEMA = T.StructType([*REVIEW_SCHEMA.fields, T.StructField("fetched_at", T.LongType())])
+
 #: Tables of up to this many vectors are broadcast; larger ones are joined by a shuffle.
 BROADCAST_VECTORS = 20_000
 
 
-def normalize_review(raw: DataFrame, app_id: Column) -> DataFrame:
-    """Raw records as review rows: nulls get defaults, flags become 0/1, records without an id go."""
+def normalize_review(raw: DataFrame, app_id: Column, fetched_at: Column | None = None) -> DataFrame:
+    """Raw records as review rows: nulls get defaults, flags become 0/1, records without an id go.
+
+    With a time of fetching (milliseconds) the rows have it as ``fetched_at``.
+    """
     zero, flag = (lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c.split(".")[-1])), (lambda c: F.coalesce(F.col(c), F.lit(False)).cast("int").alias(c))
     return raw.where(F.col("recommendationid").isNotNull()).select(
         F.col("recommendationid").alias("recommendation_id"),
@@ -72,6 +81,7 @@ def normalize_review(raw: DataFrame, app_id: Column) -> DataFrame:
         zero("votes_funny"),
         F.coalesce(F.col("weighted_vote_score").try_cast("double"), F.lit(0.0)).alias("weighted_vote_score"),
         zero("comment_count"),
+        *([] if fetched_at is None else [fetched_at.cast("long").alias("fetched_at")]),
     )
 
 

@@ -9,12 +9,14 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
-from gleanspark.operators.upsert import upsert_reviews
-from gleanspark.sources.reviews import RAW_SCHEMA, normalize_review
+from gleanspark.operators.upsert import MUTABLE
+from gleanspark.sources.reviews import RAW_SCHEMA, STORED_SCHEMA, normalize_review
 
 PAGE_ROWS, PAUSE_S, TRIES = 100, 0.5, 3
 
@@ -75,23 +77,69 @@ def fetch_reviews(base: str, get: Callable[[str], dict] = fetch, language: str =
         yield records, first
 
 
-def ingest(spark: SparkSession, source: str, log: str, checkpoint: str, app_id: int) -> StreamingQuery:
-    """Read all new page files (JSON lines) and append their normalised rows, numbered by batch, to a Parquet log.
+_ROW = T.StructType([*STORED_SCHEMA.fields, T.StructField("first_seq", T.LongType()), T.StructField("last_seq", T.LongType())])
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Sightings(StatefulProcessor):
+    """The state of a review: what its first sighting fixed and what its last one said, each with that sighting's number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = handle.getValueState("row", _ROW)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: TimerValues) -> Iterator[Row]:
+        held = dict(zip(_ROW.fieldNames(), self.row.get(), strict=True)) if self.row.exists() else None
+        before = dict(held) if held else None
+        for r in rows:
+            new = r.asDict()
+            seq = new.pop("seq")
+            if held is None:
+                held = new | {"first_seq": seq, "last_seq": seq}
+                continue
+            if seq < held["first_seq"]:
+                held |= {k: v for k, v in new.items() if k not in MUTABLE} | {"first_seq": seq}
+            if seq >= held["last_seq"]:
+                held |= {k: v for k, v in new.items() if k in MUTABLE} | {"last_seq": seq}
+        if held != before:
+            self.row.update(tuple(held[c] for c in _ROW.fieldNames()))
+            yield Row(**held)
+
+    def close(self) -> None:
+        pass
+
 
-    The log is append-only and ``current`` folds it, so a replayed batch changes nothing.
+def upserted(rows: DataFrame) -> DataFrame:
+    """A stream of stored review rows with ``seq``, as a stream of the merged rows of the reviews that each batch changes.
+
+    The state is keyed by id and kept in RocksDB, so a batch touches its own keys only, and sightings may come twice or out of
+    order: the columns of the smallest and the largest ``seq`` count, as in ``upsert_reviews``.
     """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    needed = rows.select(*STORED_SCHEMA.fieldNames(), "seq")
+    return needed.groupBy("recommendation_id").transformWithState(_Sightings(), _ROW, "Update", "None")
+
+
+def kept(rows: DataFrame, log: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Run the upserts of ``rows``: the state is in ``checkpoint``, and what each batch changed in a folder of ``log``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = normalize_review(batch, F.lit(app_id)).withColumn("seq", F.lit(number).cast("long"))
-        rows.write.mode("overwrite").parquet(f"{log}/batch={number:09d}")
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number:09d}")
 
+    return upserted(rows).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ingest(spark: SparkSession, source: str, log: str, checkpoint: str, app_id: int) -> StreamingQuery:
+    """Take up all new page files (JSON lines); a file's time says when its page was fetched."""
     stream = spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", 1000).json(source)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    at = F.unix_millis(F.col("_metadata.file_modification_time"))
+    rows = normalize_review(stream.withColumn("_at", at), F.lit(app_id), F.col("_at"))
+    return kept(rows.withColumn("seq", F.col("fetched_at")), log, checkpoint)
 
 
-def current(spark: SparkSession, log: str) -> DataFrame:
-    """The state after all batches: first sightings' immutable columns, last sightings' mutable ones."""
-    return upsert_reviews(spark.read.option("basePath", log).parquet(log).drop("batch"))
+def current(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """All reviews after the last batch, read from the state itself: first sightings' fixed columns, last ones' others."""
+    state = spark.read.format("statestore").option("stateVarName", "row").load(checkpoint)
+    return state.select("value.*").select(*STORED_SCHEMA.fieldNames())
 
 
 def event_trend(events: DataFrame, every: str = "1 day", late: str = "2 days") -> DataFrame:

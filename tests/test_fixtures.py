@@ -331,7 +331,7 @@ def test_pages_and_ingest(spark, tmp_path):
     page("2.json", [{"recommendationid": "a", "language": "german", "voted_up": False, "votes_up": 4}])
     run()
     run()  # nothing new
-    got = {r.recommendation_id: r for r in I.current(spark, f"{tmp_path}/log").collect()}
+    got = {r.recommendation_id: r for r in I.current(spark, f"{tmp_path}/check").collect()}
     assert set(got) == {"a", "b"} and got["a"].language == "english" and got["a"].votes_up == 4 and got["a"].voted_up == 0 and got["b"].weighted_vote_score == 0.25
 
 
