@@ -123,11 +123,6 @@ def test_centroids_and_merge(spark):
     assert info["original_topic_count"] == 3 and info["merged_topic_count"] == 2 and len(info["merges"]) == 1
 
 
-def test_chained_merges_move_once():
-    plan, log = clusters.merge_plan({0: 1, 1: 2, 2: 5}, [(0, 1, 0.99), (1, 2, 0.95)])
-    assert len(log) == 2 and plan[0] != plan[2] and plan[1] == plan[2]
-
-
 def test_clusterings():
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(c, 0.05, (3, 2)) for c in ((0, 0), (5, 5), (0, 5))])
