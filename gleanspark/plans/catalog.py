@@ -8,17 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
+from gleanspark.functions.ranks import ranked
 from gleanspark.operators import clusters, crosstab, density, filters, keywords, learning, stats, upsert
 from gleanspark.plans import analysis
 from gleanspark.sources import reviews as S
 from gleanspark.streaming.ingest import event_trend
 
-#: The moment that relative periods end at, and literal tables that some queries start from.
+#: Fixed value: the moment that relative periods end at.
 ASOF = 1735689600
-APP_TEXTS = ["730", " 570 ", "https://store.example/app/440/Name/", "abc", "", "/app/", "12a"]
-METRICS = [(2, 0.62, 0.91, 0.0), (2, 0.60, 0.93, 0.0), (2, 0.66, 0.90, 0.0), (3, 0.55, 0.70, 0.05), (3, 0.57, 0.72, 0.0), (4, 0.31, 0.44, 0.2), (4, 0.35, 0.48, 0.25)]
-KEYWORDS = [(0, 0, "graphics"), (0, 1, "great story"), (0, 2, "music"), (0, 3, "good fun"), (1, 0, "crash"), (1, 1, "bugs"), (2, 0, None)]
-GROUP_SIZES = [0, 1, 8, 10, 19, 20, 59, 60, 149, 150, 299, 300, 1000]
 
 
 def _runs(r: DataFrame) -> DataFrame:
@@ -42,7 +39,7 @@ def _list_games(r: DataFrame) -> DataFrame:
     """The listing with each game's place in it; the last change of a review stands for the last fetch."""
     fetched = r.groupBy("app_id").agg(F.max("timestamp_updated").alias("last_fetched_at"))
     listed = S.list_games(S.games(r).join(fetched, "app_id"))
-    return listed.withColumn("pos", F.row_number().over(Window.orderBy(F.col("last_fetched_at").desc(), "app_id")).cast("long"))
+    return ranked(listed, [F.col("last_fetched_at").desc(), F.col("app_id")], "pos").withColumn("pos", F.col("pos") + 1)
 
 
 def _upsert_games(r: DataFrame) -> DataFrame:
@@ -67,9 +64,31 @@ def _normalize(r: DataFrame) -> DataFrame:
     return S.normalize_review(parsed, F.lit(7)).select("recommendation_id", "app_id", "language", "voted_up", "timestamp_created", "playtime_at_review", "playtime_forever", "steam_purchase", "votes_up", "weighted_vote_score")
 
 
-def _candidates(spark: SparkSession) -> DataFrame:
-    n = spark.createDataFrame([(x,) for x in GROUP_SIZES], "n int")
-    return n.select("n", F.explode(clusters.candidate_ks(F.col("n"))).alias("k"))
+def _group_sizes(r: DataFrame) -> DataFrame:
+    """How many reviews each app has in each language: groups from a few rows up."""
+    return r.groupBy("app_id", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _app_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader may type for an app: addresses of pages as they are, store addresses, bare ids, and others."""
+    i = F.col("page_id").cast("string")
+    kinds = [F.col("url"), F.concat(F.lit(" "), i, F.lit(" ")), F.concat("url", F.lit("/app/"), i, F.lit("/Name/")), F.concat(i, F.lit("a"))]
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.get(F.array(*kinds), (F.col("page_id") % 4).cast("int")).alias("input"))
+
+
+def _metrics(r: DataFrame) -> DataFrame:
+    """Three runs for each of the apps, whose means stand for the scores of a candidate k."""
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    runs = r.groupBy("app_id", (F.col("recommendation_id").cast("long") % 3).alias("run")).agg(mean("weighted_vote_score").alias("separation"), mean("voted_up").alias("stability"), mean("received_for_free").alias("fragmentation"))
+    return runs.select((F.col("app_id") + 2).cast("int").alias("k"), "separation", "stability", "fragmentation")
+
+
+def _first_words(r: DataFrame) -> DataFrame:
+    """(topic_id, rank, word): a word or two of each topic's newest reviews; one topic has none."""
+    newest = Window.partitionBy("topic_id").orderBy(F.col("timestamp_created").desc(), "recommendation_id")
+    rows = r.where("topic_id >= 0").select("topic_id", "review_text", (F.row_number().over(newest) - 1).alias("rank")).where("rank < 4")
+    nth = lambda n: F.split_part("review_text", F.lit(" "), F.lit(n))
+    return rows.select("topic_id", "rank", F.when(F.col("topic_id") != 9, F.when(F.col("rank") % 2 == 1, F.concat(nth(1), F.lit(" "), nth(2))).otherwise(nth(1))).alias("word"))
 
 
 def _kmeans(r: DataFrame) -> DataFrame:
@@ -148,23 +167,27 @@ REVIEW_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "keywords_semantic": keywords.keywords_semantic,
     "embed": lambda r: learning.embed(r.select("recommendation_id", "review_text"), features=64).select("recommendation_id", "embedding"),
     "run_analysis": lambda r: analysis.topic_table(r, {"n_topics": 6}),
+    "score_k": lambda r: clusters.score_k(_metrics(r)).select("k", F.round("group_score", 6).alias("group_score"), F.round("normalised", 6).alias("normalised"), "is_winner", F.round("margin", 6).alias("margin"), "confidence"),
+    "candidate_ks": lambda r: _group_sizes(r).select("*", F.explode(clusters.candidate_ks(F.col("n"))).alias("k")),
+    "fallback_k": lambda r: _group_sizes(r).select("*", clusters.fallback_k(F.col("n")).alias("k")),
+    "estimate_minutes": lambda r: _group_sizes(r).select("*", T.estimate_minutes(F.col("n")).alias("value")),
+    "topic_label": lambda r: clusters.topic_labels(_first_words(r)),
 }
 
+#: The queries that use topics or vectors; the projection of all others leaves those out.
+WITH_VECTORS = {
+    "segment_cross", "segment_grid", "stacked_series", "timeline_weekly", "timeline_monthly", "release_phase", "first_n_per_topic", "cluster_sizes", "cluster_centroids", "centroid_pairs", "nearest_to_centroid", "fragmentation",
+    "stability_ari", "silhouette", "topic_label", "topic_label_lookup", "cluster_kmeans", "cluster_density", "merge_topics", "recommend_k", "keywords_statistical", "keywords_semantic", "run_analysis",
+}
+
 PLAIN_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "parse_app_id": lambda s, d: s.createDataFrame([(x,) for x in APP_TEXTS], "input string").select("input", S.parse_app_id(F.col("input")).alias("app_id")),
-    "score_k": lambda s, d: clusters.score_k(s.createDataFrame(METRICS, "k int, separation double, stability double, fragmentation double")).select(
-        "k", F.round("group_score", 6).alias("group_score"), F.round("normalised", 6).alias("normalised"), "is_winner", F.round("margin", 6).alias("margin"), "confidence"
-    ),
-    "candidate_ks": lambda s, d: _candidates(s),
-    "fallback_k": lambda s, d: s.createDataFrame([(x,) for x in GROUP_SIZES], "n int").select("n", clusters.fallback_k(F.col("n")).alias("k")),
-    "topic_label": lambda s, d: clusters.topic_labels(s.createDataFrame(KEYWORDS, "topic_id int, rank int, word string")),
-    "estimate_minutes": lambda s, d: s.createDataFrame([(x,) for x in (-1, 0, 1, 450, 451, 3000, 5000)], "n int").select("n", T.estimate_minutes(F.col("n")).alias("value")),
+    "parse_app_id": lambda s, d: _app_texts(s, d).withColumn("app_id", S.parse_app_id(F.col("input"))),
     "event_trend": lambda s, d: event_trend(s.read.parquet(f"{d}/events.parquet")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total")),
 }
 
 
-def _on_reviews(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(S.reviews(spark, sf_dir))
+def _on_reviews(f: Callable[[DataFrame], DataFrame], vectors: bool) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(S.reviews(spark, sf_dir, vectors))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_reviews(f) for name, f in REVIEW_QUERIES.items()} | PLAIN_QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on_reviews(f, name in WITH_VECTORS) for name, f in REVIEW_QUERIES.items()} | PLAIN_QUERIES

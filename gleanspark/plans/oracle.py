@@ -8,7 +8,7 @@ from gleanspark.functions.text import CHARACTER_LANGUAGES, LANGUAGE_NAMES
 REVIEWS = """reviews AS (
     SELECT CAST(d.doc_id AS VARCHAR) AS recommendation_id, d.doc_id AS i, d.doc_id % 5 AS app_id,
         CASE WHEN d.doc_id % 20 = 0 THEN 'koreana' WHEN d.doc_id % 20 = 1 THEN 'japanese' WHEN lang = 'en' THEN 'english' WHEN lang = 'de' THEN 'german' WHEN lang = 'fr' THEN 'french' ELSE 'spanish' END AS language,
-        CASE WHEN d.doc_id % 4 = 0 THEN substring(text, 1, 9) ELSE text END AS review_text,
+        text AS review_text,
         CAST(coalesce(quality, d.doc_id % 2) AS INTEGER) AS voted_up,
         1672531200 + (d.doc_id * 104729) % 63072000 AS timestamp_created,
         1672531200 + (d.doc_id * 104729) % 63072000 + (d.doc_id % 7) * 3600 AS timestamp_updated,
@@ -73,8 +73,8 @@ _CENTROIDS = REVIEWS + """, cells AS (SELECT topic_id, unnest(embedding) AS x, g
     centroids AS (SELECT topic_id, dim, avg(CAST(x AS DOUBLE)) AS value FROM cells GROUP BY 1, 2),
     vectors AS (SELECT topic_id, list(value ORDER BY dim) AS c FROM centroids GROUP BY 1)"""
 _NAMES = ", ".join(f"('{k}', '{v}')" for k, v in LANGUAGE_NAMES.items())
-_METRICS = "m(k, separation, stability, fragmentation) AS (VALUES (2, 0.62::DOUBLE, 0.91::DOUBLE, 0.0::DOUBLE), (2, 0.60, 0.93, 0.0), (2, 0.66, 0.90, 0.0), (3, 0.55, 0.70, 0.05), (3, 0.57, 0.72, 0.0), (4, 0.31, 0.44, 0.2), (4, 0.35, 0.48, 0.25))"
-_SIZES = "s(n) AS (VALUES (0), (1), (8), (10), (19), (20), (59), (60), (149), (150), (299), (300), (1000))"
+_METRICS = REVIEWS + ", m AS (SELECT CAST(app_id + 2 AS INTEGER) AS k, avg(weighted_vote_score) AS separation, avg(CAST(voted_up AS DOUBLE)) AS stability, avg(CAST(received_for_free AS DOUBLE)) AS fragmentation FROM reviews GROUP BY app_id, i % 3)"
+_SIZES = REVIEWS + ", s AS (SELECT app_id, language, count(*) AS n FROM reviews GROUP BY 1, 2)"
 _STATS = "SELECT app_id, count(*) AS total_collected, sum(voted_up) AS positive_count, sum(1 - voted_up) AS negative_count, avg(CAST(voted_up AS DOUBLE)) AS positive_rate, count(DISTINCT language) AS n_languages FROM reviews GROUP BY app_id"
 _GAMES = "SELECT app_id, 'App ' || app_id AS app_name, sum(voted_up) AS total_positive, sum(1 - voted_up) AS total_negative, count(*) AS total_reviews FROM reviews GROUP BY app_id"
 _COLUMNS = "recommendation_id, app_id, language, review_text, voted_up, timestamp_created, timestamp_updated, playtime_at_review, playtime_forever, steam_purchase, received_for_free, written_during_early_access, primarily_steam_deck, votes_up, votes_funny, weighted_vote_score, comment_count"
@@ -112,7 +112,8 @@ SQL: dict[str, str] = {
         CASE WHEN i % 3 <> 0 THEN playtime_forever ELSE 0 END AS playtime_forever, CASE WHEN i % 2 = 0 THEN steam_purchase ELSE 0 END AS steam_purchase, CAST(0 AS BIGINT) AS votes_up,
         CASE WHEN i % 7 = 0 THEN 0.0 ELSE weighted_vote_score END AS weighted_vote_score FROM reviews"""
     ),
-    "parse_app_id": "SELECT input, CAST(app_id AS BIGINT) AS app_id FROM (VALUES ('730', 730), (' 570 ', 570), ('https://store.example/app/440/Name/', 440), ('abc', NULL), ('', NULL), ('/app/', NULL), ('12a', NULL)) AS t(input, app_id)",
+    "parse_app_id": """SELECT page_id, input, CASE WHEN page_id % 4 IN (1, 2) AND input IS NOT NULL THEN CAST(page_id AS BIGINT) WHEN page_id % 4 = 0 THEN TRY_CAST(nullif(regexp_extract(input, '/app/([0-9]+)', 1), '') AS BIGINT) END AS app_id
+        FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN ' ' || page_id || ' ' WHEN 2 THEN url || '/app/' || page_id || '/Name/' ELSE page_id || 'a' END AS input FROM pages)""",
     "game_stats": _with(_STATS),
     "recent_rate": _with(
         "SELECT app_id, count(*) FILTER (WHERE timestamp_created >= 1735689600 - 30 * 86400) AS recent_count, avg(CAST(voted_up AS DOUBLE)) FILTER (WHERE timestamp_created >= 1735689600 - 30 * 86400) AS recent_rate FROM reviews GROUP BY app_id"
@@ -188,9 +189,14 @@ SQL: dict[str, str] = {
         z AS (SELECT k, s, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS x FROM g), w AS (SELECT min(k) AS wk FROM z WHERE (SELECT max(x) FROM z) - x < 0.01),
         f AS (SELECT wk, (SELECT x FROM z WHERE k = wk) AS won, greatest(0.0, (SELECT x FROM z WHERE k = wk) - (SELECT max(x) FROM z WHERE k <> wk)) AS mg FROM w)
         SELECT k, round(s, 6) AS group_score, round(x, 6) AS normalised, k = wk AS is_winner, round(mg, 6) AS margin, CASE WHEN won >= 0.75 AND mg >= 0.12 THEN 'high' WHEN won >= 0.45 OR mg >= 0.05 THEN 'medium' ELSE 'low' END AS confidence FROM z, f""",
-    "candidate_ks": f"WITH {_SIZES} SELECT n, unnest(CASE WHEN n < 20 THEN [] WHEN n < 60 THEN range(2, 5) WHEN n < 150 THEN range(3, 7) WHEN n < 300 THEN range(4, 9) ELSE range(5, 11) END)::INTEGER AS k FROM s",
-    "fallback_k": f"WITH {_SIZES} SELECT n, CAST(greatest(2, least(8, round_even(sqrt(greatest(n, 1)) / 2, 0))) AS INTEGER) AS k FROM s",
-    "topic_label": "SELECT * FROM (VALUES (0, 'great story, good fun, graphics'), (1, 'crash, bugs'), (2, 'Topic 2')) AS t(topic_id, label)",
+    "candidate_ks": f"WITH {_SIZES} SELECT app_id, language, n, unnest(CASE WHEN n < 20 THEN [] WHEN n < 60 THEN range(2, 5) WHEN n < 150 THEN range(3, 7) WHEN n < 300 THEN range(4, 9) ELSE range(5, 11) END)::INTEGER AS k FROM s",
+    "fallback_k": f"WITH {_SIZES} SELECT app_id, language, n, CAST(greatest(2, least(8, round_even(sqrt(greatest(n, 1)) / 2, 0))) AS INTEGER) AS k FROM s",
+    "topic_label": _with(
+        """SELECT topic_id, coalesce(string_agg(word, ', ' ORDER BY single, rank) FILTER (WHERE place <= 3 AND word IS NOT NULL), 'Topic ' || topic_id) AS label FROM (
+        SELECT *, word NOT LIKE '% %' AS single, row_number() OVER (PARTITION BY topic_id ORDER BY word NOT LIKE '% %', rank) AS place FROM (
+        SELECT topic_id, rank, CASE WHEN topic_id <> 9 THEN CASE WHEN rank % 2 = 1 THEN split_part(review_text, ' ', 1) || ' ' || split_part(review_text, ' ', 2) ELSE split_part(review_text, ' ', 1) END END AS word FROM (
+        SELECT topic_id, review_text, row_number() OVER (PARTITION BY topic_id ORDER BY timestamp_created DESC, recommendation_id) - 1 AS rank FROM reviews WHERE topic_id >= 0) WHERE rank < 4)) GROUP BY topic_id"""
+    ),
     "topic_label_lookup": _with("SELECT topic_id, CASE WHEN topic_id < 3 THEN 'named' ELSE 'Topic ' || topic_id END AS label, count(*) AS n FROM reviews WHERE topic_id >= 0 GROUP BY 1"),
     "truncate_review": _with(
         """SELECT recommendation_id, CASE WHEN length(review_text) <= 400 THEN review_text ELSE (CASE WHEN e > 200 THEN substring(cut, 1, e + 1) ELSE cut END) || ' [...]' END AS value FROM (
@@ -198,7 +204,7 @@ SQL: dict[str, str] = {
             CASE WHEN strpos(rev, ' ?') = 0 THEN -1 ELSE length(cut) - strpos(rev, ' ?') - 1 END, CASE WHEN strpos(rev, chr(10)) = 0 THEN -1 ELSE length(cut) - strpos(rev, chr(10)) END) AS e
         FROM (SELECT *, substring(review_text, 1, 400) AS cut, reverse(substring(review_text, 1, 400)) AS rev FROM reviews))"""
     ),
-    "estimate_minutes": "SELECT n, CAST(CASE WHEN n <= 0 THEN 0 ELSE greatest(1, ceil(n / 450)) END AS BIGINT) AS value FROM (VALUES (-1), (0), (1), (450), (451), (3000), (5000)) AS t(n)",
+    "estimate_minutes": f"WITH {_SIZES} SELECT app_id, language, n, CAST(CASE WHEN n <= 0 THEN 0 ELSE greatest(1, ceil(n / 450)) END AS BIGINT) AS value FROM s",
     "language_name": _with(f"SELECT language, coalesce(name, language) AS value, count(*) AS n FROM reviews LEFT JOIN (VALUES {_NAMES}) AS x(code, name) ON code = language GROUP BY 1, 2"),
     "event_trend": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -105,13 +105,20 @@ def raw_reviews(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMA).json(path)
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews by integer arithmetic on documents, labels and embeddings: the storage columns, topic_id and embedding."""
+def reviews(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
+    """Reviews by integer arithmetic on documents, labels and embeddings: the storage columns, topic_id and embedding.
+
+    Without vectors the last two are left out, and embeddings are not read.
+    """
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     quality = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    n = vectors.count()
-    df = d.join(quality, "doc_id", "left").withColumn("vec_id", F.col("doc_id") % max(n, 1)).join(F.broadcast(vectors) if n <= BROADCAST_VECTORS else vectors, "vec_id", "left")
+    df = d.join(quality, "doc_id", "left")
+    more = []
+    if with_vectors:
+        vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
+        n = vectors.count()
+        df = df.withColumn("vec_id", F.col("doc_id") % max(n, 1)).join(F.broadcast(vectors) if n <= BROADCAST_VECTORS else vectors, "vec_id", "left")
+        more = [F.when(F.col("doc_id") % 11 == 0, F.lit(-1)).otherwise(F.col("label")).cast("int").alias("topic_id"), F.col("embedding")]
     i = F.col("doc_id")
     language = F.when(i % 20 == 0, "koreana").when(i % 20 == 1, "japanese").when(F.col("lang") == "en", "english").when(F.col("lang") == "de", "german").when(F.col("lang") == "fr", "french").otherwise("spanish")
     created = 1672531200 + (i * 104729) % 63072000
@@ -120,7 +127,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.cast("string").alias("recommendation_id"),
         (i % 5).alias("app_id"),
         language.alias("language"),
-        F.when(i % 4 == 0, F.substring("text", 1, 9)).otherwise(F.col("text")).alias("review_text"),
+        F.col("text").alias("review_text"),
         F.coalesce(F.col("quality"), i % 2).cast("int").alias("voted_up"),
         created.alias("timestamp_created"),
         (created + (i % 7) * 3600).alias("timestamp_updated"),
@@ -134,8 +141,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((i * 17) % 50).alias("votes_funny"),
         (((i * 613) % 1000).cast("double") / 1000.0).alias("weighted_vote_score"),
         (i % 12).alias("comment_count"),
-        F.when(i % 11 == 0, F.lit(-1)).otherwise(F.col("label")).cast("int").alias("topic_id"),
-        "embedding",
+        *more,
     )
 
 

@@ -40,6 +40,22 @@ def test_weeks(spark):
     assert one(spark, sunday_key(F.col("s")), s=at["2024-12-30"]) == "2024-12-29"
 
 
+def test_literals(spark):
+    for text, app in (("730", 730), (" 570 ", 570), ("https://store.example/app/440/Name/", 440), ("abc", None), ("", None), ("/app/", None), ("12a", None)):
+        assert one(spark, S.parse_app_id(F.col("t")), t=text) == app
+    sizes = spark.createDataFrame([(n,) for n in (0, 1, 8, 10, 19, 20, 59, 60, 149, 150, 299, 300, 1000)], "n int")
+    tried = {r.n: r.k for r in sizes.select("n", clusters.candidate_ks(F.col("n")).alias("k")).collect()}
+    assert [tried[n] for n in (19, 20, 60, 150, 300)] == [[], [2, 3, 4], [3, 4, 5, 6], [4, 5, 6, 7, 8], [5, 6, 7, 8, 9, 10]]
+    assert {r.n: r.k for r in sizes.select("n", clusters.fallback_k(F.col("n")).alias("k")).collect()} == {0: 2, 1: 2, 8: 2, 10: 2, 19: 2, 20: 2, 59: 4, 60: 4, 149: 6, 150: 6, 299: 8, 300: 8, 1000: 8}
+    minutes = spark.createDataFrame([(n,) for n in (-1, 0, 1, 450, 451, 3000, 5000)], "n int").select(T.estimate_minutes(F.col("n")).alias("m"))
+    assert [r.m for r in minutes.collect()] == [0, 0, 1, 1, 2, 7, 12]
+    words = spark.createDataFrame([(0, 0, "graphics"), (0, 1, "great story"), (0, 2, "music"), (0, 3, "good fun"), (1, 0, "crash"), (1, 1, "bugs"), (2, 0, None)], "topic_id int, rank int, word string")
+    assert {r.topic_id: r.label for r in clusters.topic_labels(words).collect()} == {0: "great story, good fun, graphics", 1: "crash, bugs", 2: "Topic 2"}
+    runs = [(2, 0.62, 0.91, 0.0), (2, 0.60, 0.93, 0.0), (2, 0.66, 0.90, 0.0), (3, 0.55, 0.70, 0.05), (3, 0.57, 0.72, 0.0), (4, 0.31, 0.44, 0.2), (4, 0.35, 0.48, 0.25)]
+    scores = {r.k: r for r in clusters.score_k(spark.createDataFrame(runs, "k int, separation double, stability double, fragmentation double")).collect()}
+    assert scores[2].is_winner and not scores[3].is_winner and scores[2].normalised == 1.0 and scores[4].normalised == 0.0 and {r.confidence for r in scores.values()} == {"high"}
+
+
 def test_truncate(spark):
     text = "a" * 250 + ". " + "b" * 300
     assert one(spark, T.truncate_review(F.col("t")), t=text) == "a" * 250 + ". [...]".replace(". [", ". [")
