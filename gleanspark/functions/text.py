@@ -89,3 +89,9 @@ def estimate_minutes(n: Column, per_minute: int = 450) -> Column:
 def topic_name(topic_id: Column, label: Column | None = None) -> Column:
     plain = F.concat(F.lit("Topic "), topic_id.cast("string"))
     return plain if label is None else F.coalesce(label, plain)
+
+
+def embedded_counts(message: Column) -> Column:
+    """(processed, total) of a progress message that says "Embedded 1,234/5,678"; null for any other."""
+    number = lambda i: F.replace(F.regexp_extract(message, r"Embedded (\d[\d,]*)\s*/\s*(\d[\d,]*)", i), F.lit(",")).try_cast("long")
+    return F.when(number(2).isNotNull(), F.struct(number(1).alias("processed"), number(2).alias("total")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.operators import clusters, crosstab, density, filters, keywords, learning, stats
 from gleanspark.plans.config import resolve_config
+from gleanspark.plans.progress import Progress
 from gleanspark.sources.storage import stored
 
 DEFAULT_TOPICS = 8
@@ -37,22 +37,17 @@ def _filter(config: dict) -> filters.ReviewFilter:
     return filters.ReviewFilter(**{k: v for k, v in config.get("filter", {}).items() if k in known})
 
 
-def _teller(progress: Callable[[dict], None] | None) -> Callable[[int, str, str], None]:
-    """Events of percent, message, stage and milliseconds since the start."""
-    began = time.monotonic()
-
-    def tell(percent: int, message: str, stage: str) -> None:
-        if progress:
-            progress({"percent": percent, "message": message, "stage": stage, "elapsed_ms": round(1000 * (time.monotonic() - began))})
+def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Callable[[dict], None] | None = None, tag: str | None = None) -> Analysis:
+    """Reviews without a column ``embedding`` are embedded from their texts; of those with one, a row whose vector is null
+    belongs to no topic (-1) and counts in the whole.
 
-    return tell
+    The jobs bear ``tag``, by which ``progress.cancel`` ends them.
+    """
+    with Progress(reviews.sparkSession, progress, tag) as at:
+        return _analysed(reviews, resolve_config(config or {}), at)
 
 
-def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Callable[[dict], None] | None = None) -> Analysis:
-    """Reviews without a column ``embedding`` are embedded from their texts; of those with one, a row whose vector is null
-    belongs to no topic (-1) and counts in the whole."""
-    tell = _teller(progress)
-    c = resolve_config(config or {})
+def _analysed(reviews: DataFrame, c: dict, at: Progress) -> Analysis:
     rows = filters.filter_reviews(reviews, _filter(c))
     if "maxReviews" in c:
         rows = rows.orderBy(F.col("timestamp_created").desc(), "recommendation_id").limit(c["maxReviews"])
@@ -60,7 +55,7 @@ def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Calla
     words = c["min_review_words"]
     out = Analysis(c, counts=stats.sentiment_counts(rows), short=crosstab.short_summary(rows, words), phrases=crosstab.short_phrases(rows, min_words=words))
     long = crosstab.with_sentiment(crosstab.long_reviews(rows, words))
-    tell(10, "embedding", "embedding")
+    at.phase(10, "embedding", "embedding", 40)
     if "embedding" not in long.columns:
         long = learning.embed(long)
     known = long.where(F.col("embedding").isNotNull())
@@ -69,12 +64,12 @@ def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Calla
         return out
     ks = {s: c.get("n_topics", DEFAULT_TOPICS) for s in sizes}
     if c["topicCountMode"] == "auto":
-        tell(40, "choosing the number of topics", "recommendation")
+        at.phase(40, "choosing the number of topics", "recommendation", 60)
         out.recommendation = [r.asDict() for r in learning.recommend_k(known).collect()]
         ks |= {r["sentiment"]: r["k"] for r in out.recommendation}
     groups = []
-    for s, n in sorted(sizes.items()):
-        tell(60, f"clustering {s} reviews", "clustering")
+    for i, (s, n) in enumerate(sorted(sizes.items())):
+        at.phase(60 + 20 * i // len(sizes), f"clustering {s} reviews", "clustering", 60 + 20 * (i + 1) // len(sizes))
         group = known.where(F.col("sentiment") == s)
         if n < 2:
             groups.append(group.withColumn("topic_id", F.lit(-1)))
@@ -89,7 +84,7 @@ def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Calla
     # Stored, as every frame below reads it.
     labelled = stored(reduce(DataFrame.unionByName, groups, long.where(F.col("embedding").isNull()).withColumn("topic_id", F.lit(-1))), "labelled")
     out.labelled = labelled
-    tell(80, "finding keywords", "keywords")
+    at.phase(80, "finding keywords", "keywords", 99)
     out.topics = topic_records(labelled, c["tier"])
     out.crosstabs = {
         "segments": crosstab.segment_cross(labelled),
@@ -98,7 +93,7 @@ def run_analysis(reviews: DataFrame, config: dict | None = None, progress: Calla
         "monthly": crosstab.timeline(labelled, "month"),
         "phases": crosstab.release_phases(labelled),
     }
-    tell(100, "done", "complete")
+    at.phase(100, "done", "complete")
     return out
 
 

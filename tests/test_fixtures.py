@@ -15,7 +15,6 @@ from gleanspark.functions.time import iso_week_key, sunday_key
 from gleanspark.operators import clusters, crosstab, filters, keywords, learning, stats, upsert
 from gleanspark.plans import report
 from gleanspark.plans.config import config_hash, load_settings, resolve_config, resolve_mode, resolve_tier, save_settings
-from gleanspark.plans.results import ResultStore, parse_result
 from gleanspark.sources import reviews as S
 from gleanspark.streaming import ingest as I
 
@@ -261,7 +260,8 @@ def test_markdown_and_prompts(spark):
     assert text.startswith("# Name Review Analysis\n\n- Total Reviews: 2\n- Positive Rate: 50.0%\n- Languages: english, german\n\n## Reviews\n") and text.count("###") == 1
     assert report.export_markdown(rows, 9).startswith("# App 9 Review Analysis")
     topic = {"label": "crash", "review_count": 2, "keywords": [{"word": "crash", "score": 0.5}], "sample_reviews": ["a" * 250 + ". " + "b" * 300]}
-    block = report.data_block({"negative_topics": [topic], "positive_topics": [], "negative_count": 1200, "positive_count": 0})
+    topics = spark.createDataFrame([("negative", 3, "crash", 2, [("crash", 0.5)], topic["sample_reviews"])], "sentiment string, topic_id int, label string, review_count long, keywords array<struct<word: string, score: double>>, samples array<string>")
+    block = report.data_block(topics, {"negative": 1200})
     assert "## Negative Topics (1,200 reviews)" in block and "crash (0.5)" in block and block.endswith("(none)") and "a. [...]" in block
     assert "Topic 1 (2 reviews)" in report.label_prompt([topic], "German") and "Answer in German." in report.label_prompt([topic], "German")
 
@@ -301,21 +301,11 @@ def test_settings_and_names(tmp_path):
     assert I.app_name(7, fails) == "App 7" and I.app_name(7, lambda i: "Seven") == "Seven"
 
 
-def test_result_store(spark, tmp_path):
-    store = ResultStore(spark, f"{tmp_path}/results")
-    assert store.get(1, "topics", "h") is None
-    store.put(1, "topics", "h", {"k": 1})
-    store.put(1, "topics", "h", {"k": 2})
-    store.put(1, "topics", "other", {"k": 3})
-    assert store.get(1, "topics", "h") == {"k": 2} and store.latest(1, "topics") == {"k": 3}
-    store.compact()
-    assert store.get(1, "topics", "h") == {"k": 2} and store._rows().count() == 2
-    assert parse_result("[1]") is None and parse_result("{") is None
-
-
-def test_exports(spark):
+def test_exports(spark, tmp_path):
     rows = _reviews(spark, [{"recommendation_id": "1", "review_text": 'say "hi"\nthere', "playtime_at_review": 90}])
-    text = report.csv_text(rows)
+    report.export_one_csv(rows, f"{tmp_path}/one.csv")
+    with open(f"{tmp_path}/one.csv", encoding="utf-8", newline="") as f:
+        text = f.read()
     assert text == "﻿" + ",".join(report.CSV_COLUMNS) + '\n1,english,"say ""hi""\nthere",1,0,90,1,0,0.0'
     assert "### + [english] (2h)" in report.review_markdown(rows, "App 1", ["- Total: 1"])
     assert report.fill("[N] of [N]", {"[N]": "3"}) == "3 of [N]"
