@@ -27,30 +27,56 @@ def _sentences(rows: DataFrame, text: str) -> DataFrame:
     return parts.select("topic_id", F.xxhash64("r", "i").alias("sentence"), "i", F.regexp_extract_all("s", F.lit(_TOKEN), F.lit(0)).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def _grams(sentences: DataFrame) -> DataFrame:
-    """(topic_id, gram, n): words and pairs of neighbours that neither begin nor end with a stop word."""
-    low = F.transform("tokens", lambda t: F.lower(t))
-    s = sentences.withColumn("w", low)
-    ones = F.col("w")
-    twos = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    stop = StopWordsRemover.loadDefaultStopWords("english")
-    ok = lambda g: ~F.exists(F.split(g, " "), lambda w: w.isin(stop) | (F.length(w) < 3) | w.rlike(r"^\p{N}+$"))
-    return s.select("topic_id", F.explode(F.concat(ones, twos)).alias("gram")).groupBy("topic_id", "gram").agg(F.count(F.lit(1)).alias("n")).where(ok(F.col("gram")))
+def _telling(word: Column) -> Column:
+    """Whether a word may begin or end a keyword."""
+    return ~(word.isin(StopWordsRemover.loadDefaultStopWords("english")) | (F.length(word) < 3) | word.rlike(r"^\p{N}+$"))
 
 
-def word_scores(rows: DataFrame, text: str = "review_text") -> DataFrame:
-    """(topic_id, word, score), lower is more telling: casing, position, frequency, relatedness and spread of words."""
-    s = _sentences(rows, text)
-    w = s.select("topic_id", "sentence", "i", F.size("tokens").alias("len"), F.posexplode("tokens").alias("p", "token"), "tokens")
-    w = w.select("topic_id", "sentence", "i", F.lower("token").alias("word"), "token", "p", F.lower(F.get("tokens", F.col("p") - 1)).alias("before"), F.lower(F.get("tokens", F.col("p") + 1)).alias("after"))
+def _words(rows: DataFrame, text: str) -> DataFrame:
+    """(topic_id, word, sentence, i, u, a, before, after): every word with its neighbours and whether its casing tells.
+
+    Stored, as it is counted in several ways.
+    """
+    w = _sentences(rows, text).select("topic_id", "sentence", "i", F.posexplode("tokens").alias("p", "token"), "tokens")
     upper = F.when((F.col("p") > 0) & F.col("token").rlike(r"^\p{Lu}"), 1).otherwise(0)
     acronym = F.when(F.col("token").rlike(r"^\p{Lu}{2,}$"), 1).otherwise(0)
-    f = w.groupBy("topic_id", "word").agg(
-        F.count(F.lit(1)).alias("tf"), F.sum(upper).alias("tu"), F.sum(acronym).alias("ta"), F.percentile("i", 0.5).alias("median"), F.count_distinct("sentence").alias("in_sentences"),
-        F.count_distinct("before").alias("dl"), F.count("before").alias("nl"), F.count_distinct("after").alias("dr"), F.count("after").alias("nr"),
-    )
+    near = lambda by: F.lower(F.get("tokens", F.col("p") + by))
+    return stored(w.select("topic_id", F.lower("token").alias("word"), "sentence", "i", upper.alias("u"), acronym.alias("a"), near(-1).alias("before"), near(1).alias("after")), "words")
+
+
+def _pairs(words: DataFrame) -> DataFrame:
+    """(topic_id, word, after, n): how often each word stands before each; null where a sentence ends."""
+    return words.groupBy("topic_id", "word", "after").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """(topic_id, w1, w2, n): words (w2 is null) and pairs of neighbours that neither begin nor end with a stop word."""
+    pairs = _pairs(words).where(_telling(F.col("word")))
+    ones = pairs.groupBy("topic_id", F.col("word").alias("w1")).agg(F.sum("n").alias("n")).select("topic_id", "w1", F.lit(None).cast("string").alias("w2"), "n")
+    return ones.unionByName(pairs.where(F.col("after").isNotNull() & _telling(F.col("after"))).select("topic_id", F.col("word").alias("w1"), F.col("after").alias("w2"), "n"))
+
+
+def word_scores(rows: DataFrame, text: str = "review_text") -> DataFrame:
+    """(topic_id, word, score), lower is more telling: casing, position, frequency, relatedness and spread of words."""
+    return _scores(_words(rows, text)).select("topic_id", "word", "score")
+
+
+def _scores(w: DataFrame) -> DataFrame:
+    """(topic_id, word, score) from words; every count is one of groups that were counted before."""
+    key, one = ["topic_id", "word"], F.count(F.lit(1)).alias("n")
+    # The median place of a word: where running counts pass the middle, by what each place adds.
+    places = w.groupBy(*key, "i").agg(one, F.sum("u").alias("u"), F.sum("a").alias("a"))
+    by_place = Window.partitionBy(*key)
+    places = places.withColumn("upto", F.sum("n").over(by_place.orderBy("i"))).withColumn("tf", F.sum("n").over(by_place))
+    past = lambda k: F.min(F.when(F.col("upto") > k, F.col("i")))
+    median = (past(F.floor((F.col("tf") - 1) / 2)) + past(F.floor(F.col("tf") / 2))) / 2
+    f = places.groupBy(*key).agg(F.sum("n").alias("tf"), F.sum("u").alias("tu"), F.sum("a").alias("ta"), median.alias("median"))
+    f = f.join(w.groupBy(*key, "sentence").agg(one).groupBy(*key).agg(F.count(F.lit(1)).alias("in_sentences")), key)
+    for side, d, n in (("before", "dl", "nl"), ("after", "dr", "nr")):
+        f = f.join(w.groupBy(*key, side).agg(one).groupBy(*key).agg(F.count(side).alias(d), F.sum(F.when(F.col(side).isNotNull(), F.col("n")).otherwise(0)).alias(n)), key)
+    f = stored(f, "features")
     topic = f.groupBy("topic_id").agg(F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("std"), F.max("tf").alias("max"))
-    sentences = s.groupBy("topic_id").agg(F.count_distinct("sentence").alias("sentences"))
+    sentences = w.groupBy("topic_id", "sentence").agg(one).groupBy("topic_id").agg(F.count(F.lit(1)).alias("sentences"))
     f = f.join(topic, "topic_id").join(sentences, "topic_id")
     case = F.greatest("tu", "ta") / (1 + F.log(F.col("tf")))
     position = F.log(F.log(3 + F.col("median")))
@@ -63,11 +89,13 @@ def word_scores(rows: DataFrame, text: str = "review_text") -> DataFrame:
 
 def keywords_statistical(rows: DataFrame, n: int = 8, text: str = "review_text", alike: float = 0.7) -> DataFrame:
     """(topic_id, rank, word, score): up to ``n`` words and pairs of each topic, higher is better, near repeats left out."""
-    scores = word_scores(rows, text)
-    grams = _grams(_sentences(rows, text)).withColumn("parts", F.split("gram", " "))
-    each = grams.select("topic_id", "gram", "n", F.explode("parts").alias("word")).join(scores, ["topic_id", "word"])
-    g = each.groupBy("topic_id", "gram", "n").agg(F.product("score").alias("prod"), F.sum("score").alias("sum"))
-    g = g.withColumn("raw", F.col("prod") / (F.col("n") * (1 + F.col("sum"))))
+    words = _words(rows, text)
+    scores = stored(_scores(words), "scores")
+    of = lambda w: scores.select("topic_id", F.col("word").alias(w), F.col("score").alias(f"s{w}"))
+    each = _grams(words).join(of("w1"), ["topic_id", "w1"]).join(of("w2"), ["topic_id", "w2"], "left")
+    product, total = F.col("sw1") * F.coalesce("sw2", F.lit(1.0)), F.col("sw1") + F.coalesce("sw2", F.lit(0.0))
+    # Stored, as every round reads it.
+    g = stored(each.select("topic_id", F.concat_ws(" ", "w1", "w2").alias("gram"), (product / (F.col("n") * (1 + total))).alias("raw")), "grams")
     best = Window.partitionBy("topic_id").orderBy("raw", "gram")
     similar = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
     repeats = lambda kept, gram: F.exists(kept, lambda k: similar(k["gram"], gram) > alike)
@@ -99,7 +127,7 @@ def gram_cells(first: DataFrame, grams: DataFrame, text: str, features: int) ->
 
     The vectors are those of ``embed`` over all grams and whole texts, kept sparse: a gram has two words at most.
     """
-    grams = stored(grams.select("topic_id", "gram", F.get(F.split("gram", " "), F.lit(0)).alias("w1"), F.get(F.split("gram", " "), F.lit(1)).alias("w2")), "grams")
+    grams = stored(grams.select("topic_id", F.concat_ws(" ", "w1", "w2").alias("gram"), "w1", "w2"), "grams")
     tokens = stored(first.select("topic_id", F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")).alias("word")).where("word <> ''").groupBy("topic_id", "word").agg(F.count(F.lit(1)).alias("n")), "tokens")
     vocabulary = tokens.select("word").union(grams.select("w1")).union(grams.select("w2")).where("word IS NOT NULL").distinct()
     buckets = stored(_buckets(vocabulary, features), "buckets")
@@ -137,23 +165,28 @@ def keywords_semantic(rows: DataFrame, n: int = 8, texts: int = 100, diversity:
     """(topic_id, rank, word, score): words and pairs most like the topic's first ``texts`` reviews, kept diverse."""
     newest = Window.partitionBy("topic_id").orderBy(F.col("timestamp_created").desc(), "recommendation_id")
     first = rows.where("topic_id >= 0").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= texts)
-    grams = _grams(_sentences(first, text))
+    grams = _grams(_words(first, text))
     features = 256
-    v = stored(gram_cells(first, grams, text, features), "likeness")
+    # A gram has two cells at most: kept as plain columns, all that a round does is compiled.
+    cell = lambda k, c: F.get("cells", F.lit(k))[c]
+    cells = gram_cells(first, grams, text, features).select("topic_id", "gram", "score", *[cell(k, c).alias(f"{c}{k}") for k in (0, 1) for c in ("i", "x")])
+    v = stored(cells.withColumn("size", F.sqrt(F.col("x0") * F.col("x0") + F.coalesce(F.col("x1") * F.col("x1"), F.lit(0.0)))), "likeness")
     spark, chosen = rows.sparkSession, {}
-    like = lambda c: F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["x"] * F.get(c, x["i"])) / F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["x"] * x["x"]))
-    for _ in range(n):
+    like = lambda k: (F.col("x0") * F.get(F.get("vectors", F.lit(k)), F.col("i0")) + F.coalesce(F.col("x1") * F.get(F.get("vectors", F.lit(k)), F.col("i1")), F.lit(0.0))) / F.col("size")
+    for done in range(n):
         # One more of each topic: all grams are weighed against the few that were chosen before.
         if chosen:
             state = spark.createDataFrame([(t, [c[0] for c in cs], [c[2] for c in cs]) for t, cs in chosen.items()], "topic_id int, words array<string>, vectors array<array<double>>")
             left = v.join(F.broadcast(state), "topic_id").where(~F.array_contains("words", F.col("gram")))
-            value = (1 - diversity) * F.col("score") - diversity * F.array_max(F.transform("vectors", like))
+            value = (1 - diversity) * F.col("score") - diversity * F.greatest(*[like(k) for k in range(done)], F.lit(-1.0))
         else:
             left, value = v, F.col("score")
-        best = F.min_by(F.struct("gram", "score", "cells"), F.struct(-value, -F.col("score"), "gram"))
+        best = F.min_by(F.struct("gram", "score", "i0", "x0", "i1", "x1"), F.struct(-value, -F.col("score"), "gram"))
         for r in left.groupBy("topic_id").agg(best.alias("b")).collect():
             x = np.zeros(features)
-            x[[c.i for c in r.b.cells]] = [c.x for c in r.b.cells]
+            for i, c in ((r.b.i0, r.b.x0), (r.b.i1, r.b.x1)):
+                if i is not None:
+                    x[i] = c
             chosen.setdefault(r.topic_id, []).append((r.b.gram, r.b.score, (x / max(np.linalg.norm(x), 1e-12)).tolist()))
     picked = [(t, i, word, score) for t, cs in chosen.items() for i, (word, score, _) in enumerate(cs)]
     return spark.createDataFrame(picked, "topic_id int, rank int, word string, score double")

@@ -184,7 +184,7 @@ def test_statistical_keywords_go_on_after_near_repeats(spark):
 def test_semantic_keywords_weigh_every_gram(spark):
     letters = "abcdefghijklmnopqrst"
     df = _topic(spark, ". ".join(f"{a}{b}{a} {b}{a}{a}{b}" for a in letters for b in letters[:15]))
-    grams = keywords._grams(keywords._sentences(df, "review_text"))
+    grams = keywords._grams(keywords._words(df, "review_text")).select(F.concat_ws(" ", "w1", "w2").alias("gram"))
     texts = grams.select("gram", F.col("gram").alias("t")).union(df.select(F.lit(""), "review_text"))
     v = {r.gram: np.array(r.embedding, dtype=float) for r in learning.embed(texts, "t").collect()}
     doc, names = v.pop(""), sorted(v)
