@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,6 +106,15 @@ def remembered(key: Any, build: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+def forget() -> None:
+    """Drop what the worker remembers of other work and give its memory back: workers are kept, and used for later stages."""
+    _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     """A batch cut where the sizes of its rows come to about ``most``, one row at least."""
     part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
@@ -115,4 +127,8 @@ def parts(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.Re
 def pieces_of(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``most_bytes`` of their text, so that a worker's memory has a bound."""
     for batch in batches:
-        yield from parts(batch, pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), most_bytes)
+        yield from parts(batch, byte_lengths(batch.column("text")), most_bytes)
+
+
+def byte_lengths(texts: pa.Array) -> np.ndarray:
+    return pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)

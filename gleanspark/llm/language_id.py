@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import pieces_of, remembered
+from gleanspark.llm.common import byte_lengths, forget, parts
 
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 32_000
@@ -295,31 +295,35 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     return {lang: b"\n".join(p) for lang, p in parts.items()}
 
 
-def _predictor(references: dict[str, bytes], keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = remembered(("language", tuple(sorted(references.items()))), lambda: Parser(references))
-        for batch in pieces_of(batches, PART_BYTES):
-            lang, score = parser.predict(batch.column("text"))
-            columns = [batch.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+def found_language(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Column:
+    """A column of the language and score of ``text``, fitted on ``docs``.
 
-    return run
+    The automata are built once, on the bounded sample, and sent to the workers as one table; only texts go to Python.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Parser(fit(docs, sample_docs, sample_bytes)))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
+        for texts in batches:
+            langs, scores = [], []
+            for part in parts(pa.RecordBatch.from_arrays([texts], names=["text"]), byte_lengths(texts), PART_BYTES):
+                lang, score = shared.value.predict(part.column("text"))
+                langs += lang
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)]))], names=["lang_pred", "score"])
+
+    return F.arrow_udf(run, "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string"))
 
 
 def language_id(docs: DataFrame, keep: list[str] | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """The columns ``keep`` of ``docs`` (doc_id by default) with lang_pred and score (0: a tie, to 1)."""
-    keep = keep or ["doc_id"]
-    references = fit(docs, sample_docs, sample_bytes)
+    keep = [k for k in keep or ["doc_id"] if k not in ("lang_pred", "score")]
     # Numbered names inside, so that no column of docs clashes with the result's.
-    inner = [f"c{i}" for i in range(len(keep))]
-    needed = docs.select(*[F.col(f"`{k}`").alias(c) for k, c in zip(keep, inner, strict=True)], F.col("text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in needed.schema if f.name != "text")
-    found = needed.mapInArrow(_predictor(references, inner), f"{schema}, lang_pred string, score double")
-    names = [F.col(c).alias(k) for k, c in zip(keep, inner, strict=True) if k not in ("lang_pred", "score")]
-    return found.select(*names, "lang_pred", "score")
+    found = docs.select(*[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep)], found_language(docs, sample_docs, sample_bytes).alias("found"))
+    return found.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keep)], "found.lang_pred", "found.score")
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, as they are, whose language is found."""
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "lang", "text")
-    return language_id(inner, keep=["row"]).where("lang_pred <> 'und'").select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), found_language(docs)["lang_pred"].alias("found"))
+    return rows.where("found <> 'und'").select("row.*")
