@@ -8,10 +8,8 @@ before.  What returns is, for each document that loses lines, a compressed bitma
 without a bitmap keep every line.  Texts are not moved until the bitmaps are applied.
 
 Defined cases: a null or empty text is one empty line; texts of any length are read whole; lines that repeat in the first
-document that holds them all stay there; a null doc_id is one document that comes after all others, and the largest long is
-not told apart from it; rows
-that repeat a doc_id are one document, and rows with different texts under one doc_id get a bitmap each; hashes have 128
-bits; an empty table gives an empty result; other columns are ignored.
+document that holds them all stay there; a null doc_id is one document that comes after all others; rows that
+repeat a doc_id are one document, and rows with different texts under one doc_id get a bitmap each; hashes have 128 bits; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +27,15 @@ from gleanspark.llm.common import BLANKS, UPPER, pieces_of, slices, stored
 
 #: Hashes of lines that one task sorts, and bytes of text that a worker takes up at a time.
 LINE_ROWS, PART_BYTES = 400_000, 4_000_000
-LAST_ID = 2**63 - 1
+#: Partitions at most; larger ones spill while they are sorted.
+MOST_PARTITIONS = 20_000
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _BLANKS = BLANKS.encode()
 
-LINES = "h1 long, h2 long, id long, row long, pos int"
-FOUND = "kind string, h1 long, h2 long, id long, row long, pos int"
+#: A document is (late, id): late is 1 and id 0 for a null doc_id, which comes after all others.
+LINES = "h1 long, h2 long, late int, id long, row long, pos int"
+FOUND = f"kind string, {LINES}"
 
 
 def line_keys(text: bytes, least: int = 10) -> Iterator[tuple[int, bytes]]:
@@ -51,7 +51,7 @@ def _hash_lines(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, PART_BYTES):
-            ids, rows = batch.column("id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy(zero_copy_only=False)
+            named = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("late", "id", "row")]
             found, pos, counts = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 before = len(pos)
@@ -60,39 +60,39 @@ def _hash_lines(least: int):
                     pos.append(p)
                 counts.append(len(pos) - before)
             h = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            columns = [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(rows, counts)), pa.array(np.array(pos, dtype=np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "id", "row", "pos"])
+            columns = [np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1]), *[np.repeat(c, counts) for c in named], np.array(pos, dtype=np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "late", "id", "row", "pos"])
 
     return run
 
 
 def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (h1, h2, id, pos): lines to drop, lines of the head hash, and summaries of head and tail."""
-    head = tail = None  # (h1, h2); tail has the first id too
+    """Over rows sorted by (h1, h2, late, id, pos): lines to drop, lines of the head hash, and summaries of head and tail."""
+    head = tail = None  # (h1, h2, late, id), of the first document of the first and of the last hash
 
     def out(kind, columns):
         n = len(columns[0])
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), *(pa.array(c) for c in columns[:4]), pa.array(columns[4].astype(np.int32))], names=["kind", "h1", "h2", "id", "row", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), *(pa.array(c.astype(np.int32 if i in (2, 5) else np.int64)) for i, c in enumerate(columns))], names=["kind", "h1", "h2", "late", "id", "row", "pos"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        h1, h2, ids, rows, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h1", "h2", "id", "row", "pos"))
+        h1, h2, late, ids, rows, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h1", "h2", "late", "id", "row", "pos"))
         begins = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         starts = np.flatnonzero(begins)
-        first = ids[starts].copy()
+        first_late, first = late[starts].copy(), ids[starts].copy()
         if head is None:
-            head = (h1[0], h2[0], ids[0])
+            head = (h1[0], h2[0], late[0], ids[0])
         elif tail[:2] == (h1[0], h2[0]):
-            first[0] = tail[2]
+            first_late[0], first[0] = tail[2:]
         run = np.cumsum(begins) - 1
         in_head = (h1 == head[0]) & (h2 == head[1])
-        drop = (ids != first[run]) & ~in_head
-        tail = (h1[-1], h2[-1], first[-1])
+        drop = ((ids != first[run]) | (late != first_late[run])) & ~in_head
+        tail = (h1[-1], h2[-1], first_late[-1], first[-1])
         if drop.any():
-            yield out("drop", [x[drop] for x in (h1, h2, ids, rows, pos)])
+            yield out("drop", [x[drop] for x in (h1, h2, late, ids, rows, pos)])
         if in_head.any():
-            yield out("head", [x[in_head] for x in (h1, h2, ids, rows, pos)])
+            yield out("head", [x[in_head] for x in (h1, h2, late, ids, rows, pos)])
     for h in {head, tail} - {None}:
         yield out("first", [np.array([x], dtype=np.int64) for x in (*h, 0, 0)])
 
@@ -105,32 +105,33 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[drops] = False
             maps.append(zlib.compress(np.packbits(keep).tobytes()))
             dropped.append(len(drops))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(dropped, pa.int32()), pa.array(maps, pa.binary())], names=["id", "row", "n_dropped", "keep_bitmap"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("late", "id", "row")], pa.array(dropped, pa.int32()), pa.array(maps, pa.binary())], names=["late", "id", "row", "n_dropped", "keep_bitmap"])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    id_ = F.col("doc_id").cast("long")
+    return docs.select("doc_id", id_.isNull().cast("int").alias("late"), F.coalesce(id_, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
-    """(id, row, n_dropped, keep_bitmap) for documents that lose lines: zlib over bits packed from the first line on.
+    """(late, id, row, n_dropped, keep_bitmap) for documents that lose lines: zlib over bits packed from the first line on.
 
-    Lines beyond a map's end are kept.  ``id`` is doc_id (the largest long for null) and ``row`` tells apart texts under one doc_id.  A line's key is the line
+    Lines beyond a map's end are kept.  ``id`` is doc_id (for null it is 0 and ``late`` is 1) and ``row`` tells apart texts under one doc_id.  A line's key is the line
     stripped of blanks and lower-cased in A-Z; keys of ``least`` code points or more that several documents hold lose all
     their lines except in the document with the smallest doc_id.
     """
     texts = _identified(docs)
-    lines = stored(texts.select("id", "row", "text").mapInArrow(_hash_lines(least), LINES), "lines")
-    n = slices(docs.sparkSession, lines.count(), LINE_ROWS)
-    ranged = lines.repartitionByRange(n, "h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "pos")
+    lines = stored(texts.select("late", "id", "row", "text").mapInArrow(_hash_lines(least), LINES), "lines")
+    n = min(MOST_PARTITIONS, slices(docs.sparkSession, lines.count(), LINE_ROWS))
+    ranged = lines.repartitionByRange(n, "h1", "h2", "late", "id").sortWithinPartitions("h1", "h2", "late", "id", "pos")
     found = stored(ranged.mapInArrow(_first_occurrences, FOUND), "found")
-    firsts = found.where("kind = 'first'").groupBy("h1", "h2").agg(F.min("id").alias("first_id"))
-    # Two rows a partition at most, whatever the data.
-    late = found.where("kind = 'head'").join(F.broadcast(firsts), ["h1", "h2"]).where("id <> first_id")
-    drops = found.where("kind = 'drop'").select("id", "row", "pos").unionByName(late.select("id", "row", "pos"))
-    lost = drops.groupBy("id", "row").agg(F.collect_set("pos").alias("drops"))
-    return lost.mapInArrow(_bitmaps, "id long, row long, n_dropped int, keep_bitmap binary")
+    firsts = found.where("kind = 'first'").groupBy("h1", "h2").agg(F.min(F.struct("late", "id")).alias("first"))
+    # Two rows of some 40 bytes a partition at most, so under two megabytes for all partitions there can be.
+    waited = found.where("kind = 'head'").join(F.broadcast(firsts), ["h1", "h2"]).where(F.struct("late", "id") != F.col("first"))
+    drops = found.where("kind = 'drop'").select("late", "id", "row", "pos").unionByName(waited.select("late", "id", "row", "pos"))
+    lost = drops.groupBy("late", "id", "row").agg(F.collect_set("pos").alias("drops"))
+    return lost.mapInArrow(_bitmaps, "late int, id long, row long, n_dropped int, keep_bitmap binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +156,6 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): the lines of each row of ``docs`` that its bitmap keeps, joined by \\n."""
-    maps = bitmaps.select("id", "row", "keep_bitmap")
-    joined = _identified(docs).join(maps, ["id", "row"], "left")
+    maps = bitmaps.select("late", "id", "row", "keep_bitmap")
+    joined = _identified(docs).join(maps, ["late", "id", "row"], "left")
     return joined.select("doc_id", "text", "keep_bitmap").mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, text string")

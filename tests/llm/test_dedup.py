@@ -91,7 +91,7 @@ def test_hot_group(spark):
 
 
 def brute_lines(rows):
-    last = 2**63 - 1
+    last = 2**63  # after all ids
     first = {}
     for i, t, _ in rows:
         for line in (t or "").split("\n"):
@@ -115,6 +115,13 @@ def test_lines_edge(edge, edge_rows, empty):
     assert kept_text(empty, line_dedup(empty)).count() == 0
 
 
+def test_a_null_id_is_not_the_largest(spark):
+    rows = [(2**63 - 1, "a line in two documents", None), (None, "x\na line in two documents", None), (0, "another line of these", None), (None, "another line of these", None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = sorted((tuple(r) for r in kept_text(df, line_dedup(df)).collect()), key=str)
+    assert got == brute_lines(rows) and [r[2] for r in got] == [0, 0, 1, 1]
+
+
 def test_hot_line_over_many_partitions(spark):
     rows = [(i, f"a very common line\nline number {i} of all\nA VERY COMMON LINE ", None) for i in range(700)]
     df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(7)
