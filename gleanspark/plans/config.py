@@ -5,59 +5,82 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
-MOST_TOPICS, LEAST_WORDS, MERGE_THRESHOLD = 20, 5, 0.80
 
-
-def _whole(value: Any, least: int = 1) -> int | None:
-    """A whole number of at least ``least``, from a number or digits."""
-    if isinstance(value, str):
-        value = int(value) if value.strip().isdigit() else None
-    if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value):
-        return None
-    return int(value) if int(value) >= least else None
-
-
-def _tier(value: Any) -> int | None:
-    if isinstance(value, str):
-        return int(value) if value in ("0", "1") else None
-    if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value) or value < 0:
-        return None
-    return int(value)
+@dataclass(frozen=True)
+class Setting:
+    """How a value that someone gave is read: a number in a range, whole or not, from a number or from digits; else nothing."""
+
+    low: float
+    high: float = math.inf
+    whole: bool = True
+    digits: bool = True
+    default: Any = None
+    #: Numbers over ``high`` count as ``high`` instead of being refused.
+    clipped: bool = False
+
+    def read(self, given: Any) -> Any:
+        if isinstance(given, str) and self.digits and given.strip().isdigit():
+            given = int(given)
+        if type(given) not in (int, float) or not math.isfinite(given):
+            return None
+        number = int(given) if self.whole else given
+        if number > self.high and self.clipped:
+            return self.high
+        return number if self.low <= number <= self.high else None
+
+
+#: Ranges and defaults.  The tier is read by ``resolve_tier``; the number of topics counts in manual mode.
+SETTINGS = {
+    "tier": Setting(0, digits=False, default=0),
+    "min_review_words": Setting(1, default=5),
+    "merge_threshold": Setting(0, 1, whole=False, digits=False, default=0.80),
+    "maxReviews": Setting(1),
+    "n_topics": Setting(2, 20, clipped=True),
+}
+TIERS_AS_TEXT = {"0": 0, "1": 1}
 
 
 def resolve_tier(requested: Any, settings: dict | None = None, detected: int = 0) -> int:
-    """An explicit tier, else the saved one, else the detected one where the settings say auto."""
-    if (tier := _tier(requested)) is not None:
-        return tier
+    """The first usable of: the tier asked for, the saved one (which may be what was detected), the default."""
     saved = (settings or {}).get("tier")
-    return detected if saved == "auto" else _tier(saved) or 0
+    sources = [requested, detected if saved == "auto" else saved, SETTINGS["tier"].default]
+    return next(t for s in sources if (t := TIERS_AS_TEXT.get(s) if isinstance(s, str) else SETTINGS["tier"].read(s)) is not None)
+
+
+#: How the number of topics is found: the first rule that holds for (configuration, tier) decides.
+MODES: list[tuple[Callable[[dict, int], bool], str]] = [
+    (lambda c, tier: tier >= 1, "auto"),
+    (lambda c, tier: c.get("topicCountMode") == "auto", "auto"),
+    (lambda c, tier: c.get("topicCountMode") == "manual", "manual"),
+    (lambda c, tier: SETTINGS["n_topics"].read(c.get("n_topics")) is not None, "manual"),
+]
 
 
 def resolve_mode(config: dict, tier: int) -> str:
-    """How the number of topics is found: auto from tier 1 up, else as asked, else manual if a number is given."""
-    if tier >= 1:
-        return "auto"
-    if config.get("topicCountMode") in ("auto", "manual"):
-        return config["topicCountMode"]
-    return "manual" if _whole(config.get("n_topics"), 2) else "auto"
+    return next((mode for holds, mode in MODES if holds(config, tier)), "auto")
+
+
+def asked_filter(config: dict) -> dict:
+    """The parts of the filter that say something."""
+    return {k: v for k, v in (config.get("filter") or {}).items() if v is not None and v != ""}
 
 
 def resolve_config(config: dict, settings: dict | None = None, detected: int = 0) -> dict:
+    """All settings with usable values, whatever was given; what has neither value nor default is left out."""
     tier = resolve_tier(config.get("tier"), settings, detected)
-    mode = resolve_mode(config, tier)
-    threshold = config.get("merge_threshold")
-    usable = isinstance(threshold, int | float) and not isinstance(threshold, bool) and 0 <= threshold <= 1
-    out = {k: v for k, v in config.items() if k not in ("n_topics", "maxReviews", "filter")}
-    out |= {"tier": tier, "topicCountMode": mode, "min_review_words": _whole(config.get("min_review_words")) or LEAST_WORDS, "merge_threshold": threshold if usable else MERGE_THRESHOLD}
-    if mode == "manual" and (k := _whole(config.get("n_topics"), 2)):
-        out["n_topics"] = min(k, MOST_TOPICS)
-    if most := _whole(config.get("maxReviews")):
-        out["maxReviews"] = most
-    if kept := {k: v for k, v in (config.get("filter") or {}).items() if v not in (None, "")}:
-        out["filter"] = kept
-    return out
+    decided = {"tier": tier, "topicCountMode": resolve_mode(config, tier), "filter": asked_filter(config) or None}
+    for name, setting in SETTINGS.items():
+        if name not in decided:
+            value = setting.read(config.get(name))
+            decided[name] = setting.default if value is None else value
+    if decided["topicCountMode"] == "auto":
+        decided["n_topics"] = None
+    others = {k: v for k, v in config.items() if k not in decided}
+    return others | {k: v for k, v in decided.items() if v is not None}
 
 
 def _plain(value: Any) -> Any:
@@ -72,7 +95,7 @@ def _plain(value: Any) -> Any:
 def config_hash(config: dict) -> str:
     """MD5 over JSON with sorted keys; the number of topics counts only where it is set by hand."""
     parts = {k: config.get(k) for k in ("tier", "topicCountMode", "maxReviews", "min_review_words", "merge_threshold")}
-    parts["filter"] = {k: v for k, v in (config.get("filter") or {}).items() if v not in (None, "")}
+    parts["filter"] = asked_filter(config)
     if config.get("topicCountMode") == "manual" and isinstance(config.get("n_topics"), int):
         parts["n_topics"] = config["n_topics"]
     return hashlib.md5(json.dumps(_plain(parts), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
