@@ -26,6 +26,8 @@ from gleanspark.sources.storage import stored
 SAMPLE, LEAST_GROUP, LEAST_SEPARATION = 600, 20, 0.05
 RUNS = [(11, 1.0), (23, 1.0), (101, 0.85), (202, 0.85)]
 GROUP_SEEDS = {None: 17, "negative": 29}
+#: Why a number of clusters is recommended.
+BY_SCORES, BY_SIZE = "Best balance of separation and stability across tested k values", "Insufficient stable signal; using conservative heuristic"
 #: Blocks of the silhouette: how many, of how many rows at most (then there are more) and at least (then fewer), and in how
 #: many parts each block meets the others.
 BLOCKS, BLOCK, LEAST_BLOCK, RIGHT_PARTS = 24, 20_000, 128, 4
@@ -186,7 +188,7 @@ def _tried(jobs: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def recommend_k(rows: DataFrame, key: str = "recommendation_id", group: str = "sentiment", vector: str = "embedding") -> DataFrame:
-    """(group, k, confidence, used_fallback, sample_count, score, margin): the recommended number of clusters.
+    """(group, k, confidence, used_fallback, sample_count, score, margin, reason, tested): the recommended number of clusters.
 
     For every candidate k two runs over the sample and two over 85 % of it are scored by silhouette, agreement and
     fragmentation; the scores are the operators' of ``clusters``.
@@ -201,7 +203,7 @@ def recommend_k(rows: DataFrame, key: str = "recommendation_id", group: str = "s
     agreement = clusters.stability(cells, by=[group, "k"]).withColumnRenamed("value", "stability")
     metrics = runs.join(agreement, [group, "k"], "left").select(group, "k", "separation", F.coalesce("stability", F.lit(0.0)).alias("stability"), "fragmentation")
     scores = clusters.score_k(metrics, [group])
-    best = scores.groupBy(group).agg(F.max("separation").alias("separation"), F.max_by(F.struct("k", "normalised", "margin", "confidence"), F.col("is_winner").cast("int")).alias("w"))
+    best = scores.groupBy(group).agg(F.sort_array(F.collect_set("k")).alias("tested"), F.max("separation").alias("separation"), F.max_by(F.struct("k", "normalised", "margin", "confidence"), F.col("is_winner").cast("int")).alias("w"))
     found = totals.join(best, group, "left")
     sound = F.coalesce(F.col("separation") >= LEAST_SEPARATION, F.lit(False))
     return found.select(
@@ -212,4 +214,6 @@ def recommend_k(rows: DataFrame, key: str = "recommendation_id", group: str = "s
         F.when(F.col("total") >= LEAST_GROUP, F.least("total", F.lit(SAMPLE))).otherwise(0).cast("long").alias("sample_count"),
         F.when(sound, F.round("w.normalised", 4)).otherwise(0.0).alias("score"),
         F.when(sound, F.round("w.margin", 4)).otherwise(0.0).alias("margin"),
+        F.when(sound, BY_SCORES).otherwise(BY_SIZE).alias("reason"),
+        F.coalesce("tested", F.array().cast("array<int>")).alias("tested"),
     )

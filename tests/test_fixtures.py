@@ -206,7 +206,9 @@ def test_recommend_k(spark):
     got = {r.sentiment: r for r in learning.recommend_k(df).collect()}
     for s in ("positive", "negative"):
         assert got[s].k == 2 and got[s].confidence in ("high", "medium") and not got[s].used_fallback
+        assert got[s].tested == [2, 3, 4] and got[s].reason == learning.BY_SCORES
     assert got["few"].used_fallback and got["few"].confidence == "low" and got["few"].k == 2
+    assert got["few"].tested == [] and got["few"].reason == learning.BY_SIZE
 
 
 def test_runs_of_the_choice_of_k(spark):
