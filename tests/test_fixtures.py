@@ -268,6 +268,16 @@ def test_markdown_and_prompts(spark):
     assert "Topic 1 (2 reviews)" in report.label_prompt([topic], "German") and "Answer in German." in report.label_prompt([topic], "German")
 
 
+def test_segment_complaints(spark):
+    rows = [{"recommendation_id": str(i), "voted_up": int(i >= 9), "playtime_at_review": 60 if i < 8 else 9000, "votes_up": t} for i, t in enumerate([0, 0, 0, 1, 1, 2, 3, 3, 2, 0, 0])]
+    df = _reviews(spark, rows).withColumn("topic_id", F.col("votes_up").cast("int"))
+    labels = spark.createDataFrame([(0, "crash"), (1, "price")], "topic_id int, label string")
+    got = {r.bucket: r.complaints for r in report.segment_complaints(crosstab.segment_cross(df), labels).collect()}
+    assert got == {"<2h": ["crash (38%)", "price (25%)", "Topic 3 (25%)"], "50h+": ["Topic 2 (100%)"]}
+    totals = [r.asDict() for r in crosstab.segment_totals(df).orderBy("axis", "bucket").collect()]
+    assert "crash (38%), price (25%), Topic 3 (25%)" in report.segment_prompt(totals, {("playtime", b): c for b, c in got.items()})
+
+
 def test_pages_with_summary(spark):
     asked, told = [], []
 
