@@ -2,10 +2,13 @@
 
 Base entities (e-mail, IP, card, phone) are found by pattern and check.  They are the seeds of a graph between lexical
 patterns (the one or two words left of a mention, and the words on either side) and instances (what stands there).  In every
-round a pattern's confidence in a kind is the mean confidence of its mentions, and its support the number of different
-instances of high confidence; patterns strong in both give the instances they hold, if these have the kind's shape, the
-noisy-or of their confidences.  So what one round discovers supports the patterns of the next.  After the last round the
-mentions that strong patterns hold are added to the base ones, each under its likeliest kind.
+round a pattern's support is the number of different instances of high confidence, and its confidence in a kind looks only at
+mentions of the kind's shape: known ones count for it with their confidence; instances of another kind count against it; unseen
+ones, which say little, count a tenth against it.  Unseen mentions of a form (the sequence of letters, digits and signs) that
+stands mostly after words without support are likelier plain numbers: they count neither way and are never taken.  Patterns
+strong in both give the other instances they hold the noisy-or of their confidences.  So what one round discovers supports the
+patterns of the next, and later rounds ask for less confidence.  After the last round the mentions that strong patterns hold
+are added to the base ones, each under its likeliest kind.
 
 Only DataFrame functions are used, and the time is linear in a text but for running sums, which take the power 3/2 of its
 number of matches at a small factor.  Positions count code points.  Words with a digit or an @ stand in contexts as one
@@ -16,6 +19,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,8 +40,10 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _BLANK, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: A word that holds a digit or @, with the numbers that follow after single blanks.
 MENTION = rf"(?<!{_WORD}){_WORD}*[0-9@]{_WORD}*+(?:\x20[0-9(][0-9().-]*+)*+"
-#: Rounds, and how many different instances and how much confidence a strong pattern has.
-ROUNDS, LEAST_SEEDS, LEAST_CONFIDENCE = 3, 3, 0.7
+#: The confidence a strong pattern has, by round; how many different instances of how much confidence support it.
+BARS, LEAST_SEEDS, LEAST_CONFIDENCE = (0.7, 0.6, 0.5), 3, 0.7
+#: How much an unseen mention counts against a pattern, and the least share of a form's mentions that stands in company.
+UNSEEN, LEAST_COMPANY = 0.1, 0.5
 #: What a mention may look like to be of a kind: an @ inside, groups of an address, enough digits.
 SHAPES = {"email": r"[^@]@[^@]", "ip": r"^[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){2,7}$", "card": r"^(?:[^0-9]*[0-9]){8,}[^0-9]*$", "phone": r"^(?:[^0-9]*[0-9]){6,}[^0-9]*$"}
 _ID = "<id>"
@@ -159,38 +166,76 @@ def _shaped(kind: Column, m: Column) -> Column:
     return reduce(lambda rest, k: F.when(kind == k, m.rlike(SHAPES[k])).otherwise(rest), KINDS, F.lit(False))
 
 
-def _strong(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns that are strong, given (instance, kind, confidence) of instances."""
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    mass = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("confidence")).alias("mass"), F.count(F.when(F.col("confidence") >= LEAST_CONFIDENCE, 1)).alias("support"))
-    scored = mass.where(F.col("support") >= LEAST_SEEDS).join(totals, "pattern").select("pattern", "kind", (F.col("mass") / F.col("total")).alias("confidence"))
-    return scored.where(F.col("confidence") >= LEAST_CONFIDENCE)
-
-
-def scored_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) of the strong patterns after all rounds of scoring."""
-    cells = found.select(F.explode("patterns").alias("pattern"), F.xxhash64("m").alias("instance"), "m", "kind")
-    seeds = stored(cells.where("kind IS NOT NULL").groupBy("instance", "kind").agg(F.lit(1.0).alias("confidence")), "seeds")
-    edges = cells.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m"))
-    # A pattern with fewer instances can't have the support it needs.
-    wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")).where(F.col("instances") >= LEAST_SEEDS).select("pattern")
-    edges = stored(edges.join(wide, "pattern"), "edges")
-    fresh = edges.join(seeds.select("instance").distinct(), "instance", "left_anti").select("pattern", "instance", "m")
-    known = seeds
-    for _ in range(rounds - 1):
-        held = fresh.join(_strong(edges, known), "pattern").where(_shaped(F.col("kind"), F.col("m")))
-        gained = held.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("confidence"))
-        known = stored(seeds.unionByName(gained), "known")
-    return _strong(edges, known)
+def _form(m: Column) -> Column:
+    """A short hash of what an identifier looks like: runs of letters (with digits) as one letter, single digits as 9."""
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(m, r"[0-9]*+[A-Za-z][0-9A-Za-z]*+", "a"), r"[0-9]", "9"))
+
+
+@dataclass(frozen=True)
+class Graph:
+    """Seeds (instance, kind, confidence), edges (pattern, instance, m, form, seed, n), and the unseen mentions of each form."""
+
+    seeds: DataFrame
+    edges: DataFrame
+    forms: DataFrame
+
+
+def graph(found: DataFrame) -> Graph:
+    """The graph of ``mentions``, with the patterns that have enough instances to get support."""
+    known = found.withColumns({"instance": F.xxhash64("m"), "form": _form(F.col("m"))})
+    seeds = stored(known.where("kind IS NOT NULL").groupBy("instance", "kind").agg(F.lit(1.0).alias("confidence")), "seeds")
+    names = ["pattern", "instance", "m", "form", "n"]
+    cells = known.select(F.explode("patterns").alias("pattern"), "instance", "m", "form").groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m"), F.min("form").alias("form"))
+    wide = cells.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")).where(F.col("instances") >= LEAST_SEEDS).select("pattern")
+    seen = seeds.select("instance", F.lit(True).alias("seed")).distinct()
+    edges = stored(cells.join(wide, "pattern").join(seen, "instance", "left").select(*names, F.coalesce("seed", F.lit(False)).alias("seed")), "edges")
+    forms = known.where("kind IS NULL").groupBy("instance", "form").agg(F.count(F.lit(1)).alias("n")).join(seen, "instance", "left_anti")
+    return Graph(seeds, edges, stored(forms.groupBy("form").agg(F.sum("n").alias("total")), "forms"))
+
+
+def _strong(g: Graph, known: DataFrame, bar: float) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, confidence) of the strong patterns, and (form, kind) in company, given (instance, kind, confidence)."""
+    sure = known.where(F.col("confidence") >= LEAST_CONFIDENCE)
+    supported = g.edges.join(sure, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= LEAST_SEEDS).select("pattern", "kind")
+    held = g.edges.join(supported, "pattern").where(_shaped(F.col("kind"), F.col("m"))).join(known, ["instance", "kind"], "left")
+    sure_of, n = F.coalesce("confidence", F.lit(0.0)), F.col("n")
+    # One row for each pattern, kind and form before forms are looked up.
+    sums = {"of": F.sum(n * sure_of), "other": F.sum(F.when(F.col("seed"), n * (1 - sure_of)).otherwise(0.0)), "unseen": F.sum(F.when(F.col("seed"), 0.0).otherwise(n * (1 - sure_of))), "fresh": F.sum(F.when(F.col("seed"), 0).otherwise(n))}
+    cells = stored(held.groupBy("pattern", "kind", "form").agg(*[c.alias(k) for k, c in sums.items()]), "cells")
+    # Longer patterns lie within those of one word, so the latter alone tell which mentions are in company.
+    inside = cells.where(F.col("pattern").startswith("1 ") & (F.col("fresh") > 0)).groupBy("form", "kind").agg(F.sum("fresh").alias("inside"))
+    company = stored(inside.join(g.forms, "form").where(F.col("inside") >= LEAST_COMPANY * F.col("total")).select("form", "kind"), "company")
+    known_form = company.withColumn("near", F.lit(True))
+    scored = cells.join(known_form, ["form", "kind"], "left").groupBy("pattern", "kind").agg(F.sum("of").alias("of"), (F.sum("other") + UNSEEN * F.sum(F.when(F.col("near"), F.col("unseen")).otherwise(0.0))).alias("against"))
+    confidence = F.round(F.col("of") / (F.col("of") + F.col("against")), 9)
+    return scored.select("pattern", "kind", confidence.alias("confidence")).where(F.col("confidence") >= bar), company
+
+
+def _noisy_or() -> Column:
+    """- log of the chance that all patterns err."""
+    return -F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
+
+
+def scored_patterns(found: DataFrame, bars: Sequence[float] = BARS) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, confidence) of the strong patterns after all rounds, and (form, kind) of what they may take."""
+    g = graph(found)
+    known = g.seeds
+    for bar in bars[:-1]:
+        strong, company = _strong(g, known, bar)
+        held = g.edges.where("NOT seed").join(strong, "pattern").where(_shaped(F.col("kind"), F.col("m"))).join(company, ["form", "kind"], "left_semi")
+        gained = held.groupBy("instance", "kind").agg((1 - F.exp(-_noisy_or())).alias("confidence"))
+        known = stored(g.seeds.unionByName(gained), "known")
+    return _strong(g, known, bars[-1])
 
 
 def discovered(base: DataFrame) -> DataFrame:
     """(doc_id, row, kind, s, e): spans that only strong patterns find, from the base matches."""
     found = stored(mentions(base), "mentions")
-    good = stored(scored_patterns(found), "patterns")
-    fresh = found.where("kind IS NULL").select("doc_id", "row", "s", "e", "m", F.explode("patterns").alias("pattern"))
-    held = fresh.join(good, "pattern").where(_shaped(F.col("kind"), F.col("m")))
-    scored = held.groupBy("doc_id", "row", "s", "e", "kind").agg((-F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))).alias("weight"))
+    strong, company = scored_patterns(found)
+    good = stored(strong, "patterns")
+    fresh = found.where("kind IS NULL").select("doc_id", "row", "s", "e", "m", _form(F.col("m")).alias("form"), F.explode("patterns").alias("pattern"))
+    held = fresh.join(good, "pattern").where(_shaped(F.col("kind"), F.col("m"))).join(company, ["form", "kind"], "left_semi")
+    scored = held.groupBy("doc_id", "row", "s", "e", "kind").agg(_noisy_or().alias("weight"))
     order = reduce(lambda rest, k: F.when(F.col("kind") == k, -KINDS.index(k)).otherwise(rest), KINDS, F.lit(-len(KINDS)))
     return scored.groupBy("doc_id", "row", "s", "e").agg(F.max_by("kind", F.struct(F.round("weight", 9), order)).alias("kind"))
 
