@@ -1,10 +1,10 @@
 """Exact dedup: a log-structured merge index of text digests.
 
-Memtables are batches of narrow ``(digest, doc_id, copies)`` rows.  Each is flushed as a run, sorted by digest, beside a
-filter: one bit for every slot that a digest of the run falls into, and one for every slot that several rows fall into.
-Compaction merges the runs of a level, a few at a time, into runs of the next, until one is left.  It consults the filters
-first: a row whose slot no other row has is written on as it is, and only the others are shuffled and merged, with the
-smallest and the largest identifier and the number of rows.  A look-up asks a run's filter before it reads the run.
+A memtable holds a narrow row for each digest of its documents: smallest and largest identifier, rows, documents.  It is
+flushed as a run, sorted by digest, beside a filter with a bit for every slot that a digest of the run falls into.  Compaction
+merges the runs of a level, a few at a time and all in one job, into runs of the next, until one is left.  It asks the filters
+first, at every level and size, by a join on run and bucket: a row whose slot is in no other run of its group is written on as
+it is, and only the others are shuffled by digest and merged.  A look-up asks a run's filter before it reads the run.
 
 A digest that holds more than one document is a hit; the texts of hits are compared byte by byte, and a group that turns
 out to hold several texts (a digest collision) is regrouped by the texts themselves.
@@ -22,17 +22,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import slices, stored, without, work_dir, wrapped
+from gleanspark.llm.common import stored, without, work_dir, wrapped
 
 #: Hit digests up to this many (8 bytes each) are broadcast to filter the texts that need verification; more are joined.
 BROADCAST_HITS = 2_000_000
 
 #: Rows of a memtable, memtables at least and at most (then they grow), runs that one compaction merges, and bits of a filter
 #: for each row.
-MEMTABLE_ROWS, LEAST_MEMTABLES, MOST_MEMTABLES, FAN_IN, BITS_A_ROW = 4_000_000, 8, 64, 4, 16
-#: Bits of one bitmap (Spark's own), and of the largest filter that is broadcast; the runs of higher levels are merged whole.
-BITMAP, MOST_BROADCAST_BITS = 32_768, 256_000_000
-EMPTY = bytes(BITMAP // 8)
+MEMTABLE_ROWS, LEAST_MEMTABLES, MOST_MEMTABLES, FAN_IN, BITS_A_ROW = 4_000_000, 4, 64, 4, 16
+
+#: Bits of the bitmaps that filters are kept in, and up to how many bits of filters (32 MB) their join is hinted as a broadcast.
+BITMAP, MOST_BROADCAST_BITS = 32_768, 1 << 28
+#: What a row of a run holds beside its digest, and how rows of one digest are merged.
+MERGED = {"least_id": F.min, "largest_id": F.max, "group_size": F.sum, "members": F.sum}
 
 DIGESTS = {
     "sha256": lambda text: F.unhex(F.sha2(text, 256)),
@@ -50,10 +52,10 @@ def text_of(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Run:
-    """A flushed or merged run: where its rows and its filter are, and into how many slots the filter has its digests fall."""
+    """A flushed or merged run: a part of the tables of rows and of filters that were written with it, and its filter's slots."""
 
     path: str
-    filter_path: str
+    part: int
     slots: int
 
 
@@ -80,53 +82,57 @@ class DigestIndex:
         self.written += 1
         return f"{self.path}/l{level}-{self.written}"
 
-    def _finish(self, level: int, base: str, memtables: list[int] | None = None) -> None:
-        """Write the filters of new runs (of one path, or of its memtables) and hang the runs into their level."""
-        slots = -(-BITS_A_ROW * self.memtable_rows * FAN_IN**level // BITMAP) * BITMAP
-        by = ["memtable"] if memtables else []
-        used = self.spark.read.parquet(base).groupBy(*by, _slot(F.col("digest"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-        at = (F.col("slot") % BITMAP).cast("long")
-        bits = used.groupBy(*by, F.floor(F.col("slot") / BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(at).alias("seen"), F.bitmap_construct_agg(F.when(F.col("n") > 1, at)).alias("several"))
-        bits.write.partitionBy(*by).parquet(f"{base}-filter")
+    def _write(self, level: int, rows: DataFrame) -> None:
+        """Write rows (part, digest, ...) sorted, so that each part is a run, and their filters; hang the runs into their level.
+
+        Parts share files, so that there are no more files than tasks; pages of other parts are skipped when one is read.
+        """
+        path, slots = self._new(level), -(-BITS_A_ROW * self.memtable_rows * FAN_IN**level // BITMAP) * BITMAP
+        _sorted(rows, "part", "digest").parquet(path)
+        slot = _slot(F.col("digest"), slots)
+        bits = self.spark.read.schema(rows.schema).parquet(path).groupBy("part", F.floor(slot / BITMAP).alias("bucket")).agg(F.bitmap_construct_agg((slot % BITMAP).cast("long")).alias("seen"))
+        bits.write.parquet(f"{path}-filter")
+        parts = sorted(r[0] for r in self.spark.read.schema(bits.schema).parquet(f"{path}-filter").select("part").distinct().collect())
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level] += [Run(f"{base}{part}", f"{base}-filter{part}", slots) for part in ([f"/memtable={i}" for i in memtables] if memtables else [""])]
+        self.levels[level] += [Run(path, i, slots) for i in parts]
+
+    def _rows(self, run: Run) -> DataFrame:
+        return self.spark.read.parquet(run.path).where(F.col("part") == run.part).select("digest", *MERGED)
+
+    def _filter(self, run: Run) -> DataFrame:
+        return self.spark.read.parquet(f"{run.path}-filter").where(F.col("part") == run.part).select("bucket", "seen")
+
+    def _read(self, runs: list[Run], suffix: str = "") -> DataFrame:
+        """The rows (or filters) of several runs, each table read once, with the number of the run among them."""
+
+        def numbered(path: str) -> DataFrame:
+            number = F.create_map(*[F.lit(x) for i, r in enumerate(runs) if r.path == path for x in (r.part, i)])
+            return self.spark.read.parquet(path + suffix).withColumn("run", F.try_element_at(number, F.col("part"))).where("run IS NOT NULL").drop("part")
+
+        return reduce(DataFrame.unionByName, [numbered(path) for path in sorted({r.path for r in runs})])
 
     def flush(self, entries: DataFrame, memtables: int = 1) -> None:
-        """Write ``entries`` (digest, doc_id, copies) as that many runs, each of whole partitions sorted by digest."""
-        base = self._new(0)
-        dealt = entries.withColumn("memtable", F.spark_partition_id() % memtables)
-        _sorted(dealt, "memtable", "digest").partitionBy("memtable").parquet(base)
-        present = sorted(r[0] for r in self.spark.read.schema(dealt.schema).parquet(base).select("memtable").distinct().collect())
-        if present:
-            self._finish(0, base, present)
-
-    def _merged(self, run: Run, others: list[Run], level: int) -> tuple[DataFrame, DataFrame]:
-        """The rows of a run that no other row of the group can share a digest with, and the rest."""
-        rows = self.spark.read.parquet(run.path)
-        if level == 0:
-            rows = rows.select("digest", F.col("doc_id").alias("least_id"), F.col("doc_id").alias("largest_id"), F.col("copies").alias("group_size"), F.lit(1).cast("long").alias("members"))
-        if run.slots > MOST_BROADCAST_BITS:
-            return rows.where("false"), rows
-        own = self.spark.read.parquet(run.filter_path).select("bucket", "several", F.lit(None).cast("binary").alias("seen"))
-        rest = [self.spark.read.parquet(o.filter_path).select("bucket", F.lit(None).cast("binary").alias("several"), "seen") for o in others]
-        bits = reduce(DataFrame.unionByName, rest, own).groupBy("bucket").agg(F.bitmap_or_agg(F.coalesce("several", F.lit(EMPTY))).alias("several"), F.bitmap_or_agg(F.coalesce("seen", F.lit(EMPTY))).alias("seen"))
-        slot = _slot(F.col("digest"), run.slots)
-        # Bounded: MOST_BROADCAST_BITS twice.
-        marked = rows.withColumn("bucket", F.floor(slot / BITMAP)).join(F.broadcast(bits), "bucket", "left")
-        marked = marked.withColumn("shared", _has(F.col("several"), slot) | _has(F.col("seen"), slot)).drop("bucket", "several", "seen")
-        return marked.where("NOT shared").drop("shared"), marked.where("shared").drop("shared")
+        """Write ``entries`` (digest, doc_id, copies; a row for each document) as at most that many runs."""
+        dealt = entries.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("part"), "digest")
+        members = F.count(F.lit(1)).alias("members")
+        self._write(0, dealt.agg(F.min("doc_id").alias("least_id"), F.max("doc_id").alias("largest_id"), F.sum("copies").alias("group_size"), members))
 
     def compact(self, level: int) -> None:
         """Merge the runs of a level, at most FAN_IN at a time, into runs of the next."""
         runs, self.levels[level] = self.levels[level], []
-        for i in range(0, len(runs), FAN_IN):
-            group = runs[i : i + FAN_IN]
-            parts = [self._merged(r, [o for o in group if o != r], level) for r in group]
-            shared = reduce(DataFrame.unionByName, [p[1] for p in parts]).groupBy("digest").agg(F.min("least_id").alias("least_id"), F.max("largest_id").alias("largest_id"), F.sum("group_size").alias("group_size"), F.sum("members").alias("members"))
-            path = self._new(level + 1)
-            _sorted(reduce(DataFrame.unionByName, [p[0] for p in parts], shared), "digest").parquet(path)
-            self._finish(level + 1, path)
+        if not runs:
+            return
+        rows = self._read(runs).withColumn("part", F.floor(F.col("run") / FAN_IN).cast("int"))
+        # For each run the slots that the others of its group have.
+        numbers = range(len(runs))
+        others = F.array(*[F.array(*[F.lit(i) for i in numbers if i != j and i // FAN_IN == j // FAN_IN]).cast("array<int>") for j in numbers])
+        bits = self._read(runs, "-filter").select(F.explode(F.get(others, F.col("run"))).alias("run"), "bucket", "seen").groupBy("run", "bucket").agg(F.bitmap_or_agg("seen").alias("seen"))
+        bits = F.broadcast(bits) if sum(r.slots for r in runs) <= MOST_BROADCAST_BITS else bits
+        slot = _slot(F.col("digest"), runs[0].slots)
+        marked = rows.withColumn("bucket", F.floor(slot / BITMAP)).join(bits, ["run", "bucket"], "left").withColumn("shared", _has(F.col("seen"), slot))
+        shared = marked.where("shared").groupBy("part", "digest").agg(*[f(c).alias(c) for c, f in MERGED.items()])
+        self._write(level + 1, marked.where("NOT shared").select("part", "digest", *MERGED).unionByName(shared))
 
     def merged(self) -> DataFrame:
         """All levels compacted into one run: a row per digest, smallest and largest identifier, rows and distinct documents."""
@@ -135,27 +141,24 @@ class DigestIndex:
             if level < len(self.levels) and self.levels[level]:
                 self.compact(level)
             level += 1
-        return self.spark.read.parquet(self.levels[-1][0].path)
+        return self._rows(self.levels[-1][0])
 
     def candidates(self, run: Run, digests: DataFrame) -> DataFrame:
         """Those of ``digests`` (digest) that the filter of a run lets through."""
         slot = _slot(F.col("digest"), run.slots)
-        bits = self.spark.read.parquet(run.filter_path).select("bucket", "seen")
+        bits = self._filter(run)
         bits = F.broadcast(bits) if run.slots <= MOST_BROADCAST_BITS else bits
         return digests.withColumn("bucket", F.floor(slot / BITMAP)).join(bits, "bucket").where(_has(F.col("seen"), slot)).select("digest")
 
     def lookup(self, digests: DataFrame) -> tuple[DataFrame, list[Run]]:
         """The rows under some digests in all runs, one for each run that has them, and the runs that had to be read."""
         read, found = [], []
-        for level, runs in enumerate(self.levels):
+        for runs in self.levels:
             for run in runs:
                 maybe = stored(self.candidates(run, digests), "candidates")
                 if not maybe.isEmpty():
                     read.append(run)
-                    rows = self.spark.read.parquet(run.path)
-                    if level == 0:
-                        rows = rows.select("digest", F.col("doc_id").alias("least_id"), F.col("doc_id").alias("largest_id"), F.col("copies").alias("group_size"))
-                    found.append(rows.select("digest", "least_id", "largest_id", "group_size").join(maybe, "digest", "left_semi"))
+                    found.append(self._rows(run).drop("members").join(maybe, "digest", "left_semi"))
         empty = digests.where("false").select("digest", F.lit(None).cast("long").alias("least_id"), F.lit(None).cast("long").alias("largest_id"), F.lit(0).cast("long").alias("group_size"))
         return reduce(DataFrame.unionByName, found, empty), read
 
@@ -193,7 +196,7 @@ def decisions(docs: DataFrame, keep: str = "min", digest: str = "sha256") -> Dat
     memtables = min(max(LEAST_MEMTABLES, -(-n // MEMTABLE_ROWS)), MOST_MEMTABLES)
     index = DigestIndex(spark, memtable_rows=max(1, -(-n // memtables)))
     if n:
-        index.flush(log.select("digest", "doc_id", "copies").repartition(slices(spark, n, MEMTABLE_ROWS // 8, memtables)), memtables)
+        index.flush(log.select("digest", "doc_id", "copies"), memtables)
     merged = index.merged() if n else log.select("digest", F.col("doc_id").alias("least_id"), F.col("doc_id").alias("largest_id"), F.col("copies").alias("group_size"), F.lit(1).cast("long").alias("members"))
     apart = stored(verified_apart(texts.select("digest", "text"), merged.where("members > 1 OR group_size > 1")), "apart")
 

@@ -133,3 +133,18 @@ def test_hot_line_over_many_partitions(spark):
     finally:
         L.LINE_ROWS = before
     assert got == brute_lines(rows)
+
+
+def test_filters_are_asked_at_any_size(spark, monkeypatch):
+    """Filters too large for a broadcast are joined, with the same result."""
+    rng = random.Random(8)
+    rows = [(f"{rng.randrange(900)}".encode(), k, 1) for k in range(2000)]
+    df = spark.createDataFrame(rows, "digest binary, doc_id long, copies long")
+    got = []
+    for bits in (E.MOST_BROADCAST_BITS, 0):
+        monkeypatch.setattr(E, "MOST_BROADCAST_BITS", bits)
+        index = E.DigestIndex(spark, memtable_rows=400)
+        index.flush(df, memtables=5)
+        got.append(sorted(map(tuple, index.merged().collect())))
+        assert [len(x) for x in index.levels] == [0, 0, 1]
+    assert got[0] == got[1] and len(got[0]) == len({d for d, _, _ in rows}) and sum(r[4] for r in got[0]) == len(rows)
