@@ -308,8 +308,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4)
     members = nodes.select("set", "label", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = members.groupBy("component").agg(F.min("label").alias("component_id"))
     named_sets = members.join(names, "component").select("set", "component_id")
-    out = rows.select("doc_id", "row", "n", F.when(F.col("toks").isNotNull(), F.col("set")).alias("set")).join(named_sets, "set", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row")
+    # Rows that can't link pass the join by: most rows may be such ones.
+    kept = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row"]
+    met = rows.where("toks IS NOT NULL").join(named_sets, "set").select(*kept)
+    return met.unionByName(rows.where("toks IS NULL").withColumn("component_id", F.lit(None).cast("long")).select(*kept))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
