@@ -11,7 +11,10 @@
    In each such column one pivot is paired with every other row (a star, linear in the column), overlaps are accumulated
    over the whole rows, and links are contracted to components.
 5. Components that meet.  A column may still hold several components.  Its rows are first gathered: of the rows that agree
-   in two min-hashes, for each of eight such pairs, one is paired with every other (stars again).  Then every row belongs to the ball of a row that it links
+   in two min-hashes, for each of eight such pairs, one is paired with every other (stars again).  Where a row outside still
+   meets many others a column, rounds of random matchings follow: a row goes, with a few of its columns, into small groups, in
+   which one row is paired with every other; the columns double from round to round while the rows outside become fewer.
+   Rows that link with a small share of all others thus grow together before any is held against all.  Then every row belongs to the ball of a row that it links
    with, the one with most links; a component has few such centres.  Rows outside a column's largest component meet the
    centres of the others, under the size and position bounds.  A row that links with the centre is connected to its whole
    ball; otherwise the Jaccard distance, which is a metric, leaves only those rows of the ball that lie at least as far
@@ -45,6 +48,9 @@ BLOCK_BYTES, RANGE_BYTES, BLOCK_DOCS = 3_000_000, 12_000_000, 60_000
 _MANY = 0xFFFF
 #: Pairs of min-hashes by which the rows of columns with several components are gathered.
 GATHERINGS = 8
+#: Rounds of random matchings at most, a row's columns in the first one and the rows of a group; a round is due while rows
+#: outside meet more than so many others a column, and while the round before linked one row of so many.
+MATCHINGS, MATCHED_COLUMNS, MATCHED_ROWS, CROWD, WORTHWHILE = 24, 8, 3, 64, 64
 
 ENTRIES = "r int, kind int, blk long, toks binary, idx binary, more binary"
 _NAMES = ["r", "kind", "blk", "toks", "idx", "more"]
@@ -240,13 +246,28 @@ def _gathered(named: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFra
 
 
 def _still_mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """(tok, node, n, pos, comp, main) of the columns in which several components are; ``main`` is the one with most rows."""
+    """(tok, node, n, pos, comp, main, size) of the columns in which several components are; ``main`` is the one with most rows."""
     named = rows.select("tok", "node", "n", "pos").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     counts = named.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = counts.groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main")).where("comps > 1").select("tok", "main")
+    mixed = counts.groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("size")).where("comps > 1").select("tok", "main", "size")
     return stored(named.join(stored(mixed, "mixed"), "tok"), "named")
 
 
+def _matched(named: DataFrame, nodes: DataFrame, nth: int, num: int, den: int) -> DataFrame:
+    """(a, b, overlap, all): rows of different components that meet in a random group of a column, each with one row of it.
+
+    A column's hash says which rows take part with it, so that rows choose the same columns.
+    """
+    drawn = F.xxhash64("tok", F.lit(nth)).bitwiseAND(F.lit(2**31 - 1)) / 2**31
+    takes_part = drawn * F.col("n") * (den - num) < F.lit(MATCHED_COLUMNS * 2**nth * den)
+    group = F.pmod(F.xxhash64("node", "tok", F.lit(nth)), F.ceil(F.col("size") / MATCHED_ROWS)).alias("group")
+    rows = named.where(takes_part).select("tok", group, "node", "comp", "n", "pos", (F.col("comp") != F.col("main")).alias("outside"))
+    one = rows.groupBy("tok", "group").agg(F.min(F.struct("outside", "node", "comp", "n", "pos")).alias("p"))
+    one = one.select("tok", "group", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp"), F.col("p.n").alias("other_n"), F.col("p.pos").alias("other_pos"))
+    pairs = rows.join(one, ["tok", "group"]).where((F.col("comp") != F.col("other_comp")) & _bounded(num, den))
+    return _measured(stored(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "matched"), nodes)
+
+
 def met_components(entries: DataFrame, nodes: DataFrame, links: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(node, component) of all rows that link with any, from the links (a, b, far) of stars; and the last pairs measured."""
     far = (1 - F.col("overlap") / F.col("all")).alias("far")
@@ -257,6 +278,21 @@ def met_components(entries: DataFrame, nodes: DataFrame, links: DataFrame, num:
     if not gathered.isEmpty():
         links, comps = links.unionByName(gathered), joined_by(comps, gathered.select("a", "b"))
         named = _still_mixed(meeting, comps)
+        discard(meeting)
+    tried = []
+    for nth in range(MATCHINGS):
+        outside = named.where("comp <> main").agg(F.count_distinct("node"), F.avg("size")).first()
+        if not outside[0] or outside[1] <= CROWD:
+            break
+        tried.append(stored(_matched(named, nodes, nth, num, den), "tried"))
+        matched = tried[-1].where(_link(num, den)).select("a", "b", far)
+        found = matched.count()
+        if found:
+            links, comps = links.unionByName(matched), joined_by(comps, matched.select("a", "b"))
+            before, named = named, _still_mixed(named, comps)
+            discard(before)
+        if found * WORTHWHILE < outside[0]:
+            break
     balls = stored(_balls(links, named.select("node").distinct()), "balls")
     members = named.join(balls, "node").select("tok", "center", "comp", "node", "n", "pos", "far")
     held = members.groupBy("tok", "center", "comp").agg(F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -278,7 +314,10 @@ def met_components(entries: DataFrame, nodes: DataFrame, links: DataFrame, num:
     inside = inside.join(comp_of("a", "comp_a"), "a", "left").join(comp_of("b", "comp_b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
     single = stored(_measured(stored(inside.select("a", "b"), "inside"), nodes), "single")
     last = stored(single.where(_link(num, den)).select("a", "b"), "last")
-    return joined_by(comps, last), centred.select("a", "b").unionByName(single.select("a", "b"))
+    measured = centred.select("a", "b").unionByName(single.select("a", "b"))
+    for pairs in tried:
+        measured = measured.unionByName(pairs.select("a", "b"))
+    return joined_by(comps, last), measured
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 3, den: int = 4) -> DataFrame:

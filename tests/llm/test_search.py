@@ -104,25 +104,43 @@ def passages(rng, n_rows, n_passages=12):
     return [(i, f"{texts[pairs[i % len(pairs)][0]]} {words(rng, rng.randint(1, 6))} {texts[pairs[i % len(pairs)][1]]}") for i in range(n_rows)]
 
 
-def test_pages_of_shared_passages_cost_rows_times_centres(spark, monkeypatch):
-    """Four times the rows measure about four times the pairs, not sixteen; the components are as by brute force."""
-    measured = {}
+@pytest.fixture
+def last_measured(monkeypatch):
+    """The numbers of pairs that the joins of a test measured after the stars and gatherings."""
+    counts = []
     whole = N.met_components
 
     def counted(*args):
         more, pairs = whole(*args)
-        measured[n] = pairs.count()
+        counts.append(pairs.count())
         return more, pairs
 
     monkeypatch.setattr(N, "met_components", counted)
+    return counts
+
+
+def test_pages_of_shared_passages_cost_rows_times_centres(spark, last_measured):
+    """Four times the rows measure about four times the pairs, not sixteen; the components are as by brute force."""
     for n in (264, 1056):
         rows = passages(random.Random(9), n)
         got = got_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
         assert len({c for _, _, c in got}) == 66
         if n == 264:
             assert got == brute_components(rows)
-    print(f"pairs measured: {measured}")
-    assert measured[1056] <= 6 * measured[264] and measured[1056] < 1056 * 66
+    print(f"pairs measured: {last_measured}")
+    assert last_measured[1] <= 6 * last_measured[0] and last_measured[1] < 1056 * 66
+
+
+def test_pages_from_a_pool_of_sentences_are_not_all_compared(spark, last_measured):
+    """Pages of 33 out of 40 sentences, most pairs of which nearly link: by brute force, and far fewer pairs than there are."""
+    rng = random.Random(1)
+    pool = [words(rng, 12) for _ in range(40)]
+    sizes = (300, 1200)
+    for n in sizes:
+        rows = [(i, " ".join(pool[k] for k in sorted(rng.sample(range(40), 33)))) for i in range(n)]
+        assert got_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_components(rows)
+    print(f"pairs measured: {last_measured}")
+    assert last_measured[1] <= 5 * last_measured[0] and last_measured[1] < 1200 * 1199 // 2 // 5
 
 
 @pytest.mark.parametrize("seed", [3, 4])
