@@ -1,6 +1,8 @@
 """Keywords of topics: statistical (features of words in their sentences) and semantic (likeness to the topic's vector).
 
 Words are counted by Spark over all texts; only aggregates by topic and word reach the scoring, which is made of columns.
+Neighbours and places, which have about as many groups as there are words, are counted of those words alone that bounds of all
+words' scores leave among a topic's first ones; a topic that needs more takes up more.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from gleanspark.sources.storage import stored
 
 #: Vocabularies up to this many words (tens of bytes each) are broadcast.
 BROADCAST_WORDS = 500_000
+#: Places of sentences up to which words are counted before their medians are known, and what rounding may do to bounds.
+PLACES, SLACK = (3, 15, 63, 255), 1e-9
 _TOKEN = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 
 
@@ -78,39 +82,145 @@ def _scores(w: DataFrame) -> DataFrame:
     topic = f.groupBy("topic_id").agg(F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("std"), F.max("tf").alias("max"))
     sentences = w.groupBy("topic_id", "sentence").agg(one).groupBy("topic_id").agg(F.count(F.lit(1)).alias("sentences"))
     f = f.join(topic, "topic_id").join(sentences, "topic_id")
+    return f.select("topic_id", "word", _score(_related(), F.col("median")).alias("score"))
+
+
+def _related() -> Column:
+    side = lambda d, n: F.when(F.col(n) > 0, F.col(d) / F.col(n)).otherwise(F.lit(0.0))
+    return 1 + (side("dl", "nl") + side("dr", "nr")) * F.col("tf") / F.col("max")
+
+
+def _score(related: Column, median: Column) -> Column:
+    """A word's score, which grows with both arguments."""
     case = F.greatest("tu", "ta") / (1 + F.log(F.col("tf")))
-    position = F.log(F.log(3 + F.col("median")))
+    position = F.log(F.log(3 + median))
     frequency = F.col("tf") / (F.col("mean") + F.col("std"))
-    side = lambda d, n: F.when(F.col(n) > 0, F.col(d) / F.col(n)).otherwise(F.lit(0.0))
-    related = 1 + (side("dl", "nl") + side("dr", "nr")) * F.col("tf") / F.col("max")
     spread = F.col("in_sentences") / F.col("sentences")
-    return f.select("topic_id", "word", (related * position / (case + frequency / related + spread / related)).alias("score"))
+    return related * position / (case + frequency / related + spread / related)
+
+
+def _raw(s1: Column, s2: Column | None, n: Column) -> Column:
+    """A gram's score, lower is better; it grows with the scores of its words and falls with how often it stands."""
+    return s1 / (n * (1 + (s1 + 0.0))) if s2 is None else s1 * s2 / (n * (1 + (s1 + s2)))
+
+
+def _features(sentences: DataFrame) -> DataFrame:
+    """(topic_id, word, tf, tu, ta, in_sentences, last, upto0, ...): counts of words, from one aggregate over the texts.
+
+    After a sentence's tokens come its distinct words, which count sentences, and an empty one, which counts all sentences.
+    """
+    marked = F.concat("tokens", F.array_distinct(F.transform("tokens", lambda t: F.lower(t))), F.array(F.lit("")))
+    x = sentences.select("topic_id", "i", F.size("tokens").alias("m"), F.posexplode(marked).alias("p", "token"))
+    said = F.col("p") < F.col("m")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return x.groupBy("topic_id", F.lower("token").alias("word")).agg(
+        count(said).alias("tf"), count(said & (F.col("p") > 0) & F.col("token").rlike(r"^\p{Lu}")).alias("tu"), count(said & F.col("token").rlike(r"^\p{Lu}{2,}$")).alias("ta"),
+        count(~said).alias("in_sentences"), F.max("i").alias("last"), *[count(said & (F.col("i") <= at)).alias(f"upto{k}") for k, at in enumerate(PLACES)],
+    )
+
+
+def _whole(f: DataFrame) -> DataFrame:
+    """The features of words with the counts of their topics."""
+    words = f.where("word <> ''")
+    topic = words.groupBy("topic_id").agg(F.avg("tf").alias("mean"), F.stddev_pop("tf").alias("std"), F.max("tf").alias("max"))
+    # One row a topic, as for all that is broadcast below by name of the topic.
+    return words.join(F.broadcast(topic.join(f.where("word = ''").select("topic_id", F.col("in_sentences").alias("sentences")), "topic_id")), "topic_id")
+
+
+def _bounded(f: DataFrame) -> DataFrame:
+    """(topic_id, word, tf, low, high): between what a word's score lies, whatever its neighbours and its median place are."""
+    tf, low, high = F.col("tf"), F.lit(PLACES[-1] + 1), F.col("last")
+    for k, at in reversed(list(enumerate(PLACES))):
+        low = F.when(F.col(f"upto{k}") > F.floor((tf - 1) / 2), PLACES[k - 1] + 1 if k else 0).otherwise(low)
+        high = F.when(F.col(f"upto{k}") > F.floor(tf / 2), at).otherwise(high)
+    bound = _whole(f).where(_telling(F.col("word")))
+    return bound.select("topic_id", "word", "tf", (_score(F.lit(1.0), low) * (1 - SLACK)).alias("low"), (_score(1 + 2 * tf / F.col("max"), high) * (1 + SLACK)).alias("high"))
+
+
+def _kth(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """(topic_id, most): the k-th least value of each topic, infinite where there are fewer."""
+    least = rows.select("topic_id", value, F.row_number().over(Window.partitionBy("topic_id").orderBy(value)).alias("i")).where(F.col("i") <= k)
+    return least.groupBy("topic_id").agg(F.when(F.count(F.lit(1)) >= k, F.max(value)).otherwise(F.lit(float("inf"))).alias("most"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_WORDS else rows
+
+
+def _best(sentences: DataFrame, f: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(topic_id, gram, raw): all of a topic's grams up to some score, at least ``k`` if it has so many; and (topic_id, most), that score.
+
+    Words have bounds of their scores by ``f``.  A gram whose lower bound is above the k-th least of the upper bounds is not one
+    of the first k, so neighbours are counted of the other words alone.
+    """
+    b = _bounded(f)
+    most = _kth(b.withColumn("raw", _raw(F.col("high"), None, F.col("tf"))), "raw", k).join(b.groupBy("topic_id").agg(F.min("low").alias("least")), "topic_id")
+    # A word's best gram is the pair with the topic's least word, wherever it stands.
+    words = stored(b.join(F.broadcast(most), "topic_id").where(_raw(F.col("low"), F.col("least"), F.col("tf")) <= F.col("most")).select("topic_id", "word", "tf", "low", "high"), "words")
+    of = lambda w: _small(words.select("topic_id", F.col("word").alias(w), F.col("low").alias(f"l{w}"), F.col("high").alias(f"h{w}")))
+    near = sentences.select("topic_id", "tokens", F.posexplode("tokens").alias("p", "token"))
+    pairs = near.select("topic_id", F.lower("token").alias("w1"), F.lower(F.get("tokens", F.col("p") + 1)).alias("w2")).where("w2 IS NOT NULL")
+    names = _small(words.select("topic_id", "word"))
+    for w in ("w1", "w2"):
+        pairs = pairs.join(names.withColumnRenamed("word", w), ["topic_id", w], "left_semi")
+    pairs = pairs.groupBy("topic_id", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).join(of("w1"), ["topic_id", "w1"]).join(of("w2"), ["topic_id", "w2"])
+    both = [_raw(F.col(f"{c}w1"), F.col(f"{c}w2"), F.col("n")).alias(c) for c in "lh"]
+    ones = words.select("topic_id", F.col("word").alias("w1"), F.lit(None).cast("string").alias("w2"), F.col("tf").alias("n"), *[_raw(F.col(c), None, F.col("tf")).alias(c[0]) for c in ("low", "high")])
+    grams = stored(ones.unionByName(pairs.select("topic_id", "w1", "w2", "n", *both)), "bounded")
+    most = stored(_kth(grams, "h", k), "most")
+    left = stored(grams.join(F.broadcast(most), "topic_id").where("l <= most").select("topic_id", "w1", "w2", "n", "most"), "left")
+    # The rest is exact: places and neighbours of the words that are left.
+    some = stored(left.select("topic_id", F.col("w1").alias("word")).unionByName(left.where("w2 IS NOT NULL").select("topic_id", F.col("w2").alias("word"))).distinct(), "some")
+    t = sentences.select("topic_id", "i", "tokens", F.posexplode("tokens").alias("p", "token"))
+    beside = lambda by: F.lower(F.get("tokens", F.col("p") + by))
+    t = t.select("topic_id", F.lower("token").alias("word"), F.col("i").cast("string").alias("place"), beside(-1).alias("before"), beside(1).alias("after")).join(_small(some), ["topic_id", "word"], "left_semi")
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("what")) for kind in ("place", "before", "after")])
+    counts = stored(t.select("topic_id", "word", F.explode(kinds).alias("k")).groupBy("topic_id", "word", "k.kind", "k.what").agg(F.count(F.lit(1)).alias("n")), "counts")
+    key = ["topic_id", "word"]
+    e = counts.where("kind = 'place'").select(*key, F.col("what").cast("int").alias("i"), "n")
+    by_word = Window.partitionBy(*key)
+    e = e.withColumn("upto", F.sum("n").over(by_word.orderBy("i"))).withColumn("total", F.sum("n").over(by_word))
+    past = lambda at: F.min(F.when(F.col("upto") > at, F.col("i")))
+    e = e.groupBy(*key).agg(((past(F.floor((F.col("total") - 1) / 2)) + past(F.floor(F.col("total") / 2))) / 2).alias("median"))
+    on = lambda kind: (F.col("kind") == kind) & F.col("what").isNotNull()
+    sides = [c for kind, d, n in (("before", "dl", "nl"), ("after", "dr", "nr")) for c in (F.count(F.when(on(kind), 1)).alias(d), F.sum(F.when(on(kind), F.col("n")).otherwise(0)).alias(n))]
+    scored = stored(_whole(f).join(e, key).join(counts.groupBy(*key).agg(*sides), key).select(*key, _score(_related(), F.col("median")).alias("s")), "scores")
+    at = lambda w: scored.select("topic_id", F.col("word").alias(w), F.col("s").alias(f"s{w}"))
+    exact = left.join(at("w1"), ["topic_id", "w1"]).join(at("w2"), ["topic_id", "w2"], "left")
+    product, total = F.col("sw1") * F.coalesce("sw2", F.lit(1.0)), F.col("sw1") + F.coalesce("sw2", F.lit(0.0))
+    exact = exact.withColumn("raw", product / (F.col("n") * (1 + total)))
+    return stored(exact.where("raw <= most").select("topic_id", F.concat_ws(" ", "w1", "w2").alias("gram"), "raw"), "grams"), most
 
 
 def keywords_statistical(rows: DataFrame, n: int = 8, text: str = "review_text", alike: float = 0.7) -> DataFrame:
     """(topic_id, rank, word, score): up to ``n`` words and pairs of each topic, higher is better, near repeats left out."""
-    words = _words(rows, text)
-    scores = stored(_scores(words), "scores")
-    of = lambda w: scores.select("topic_id", F.col("word").alias(w), F.col("score").alias(f"s{w}"))
-    each = _grams(words).join(of("w1"), ["topic_id", "w1"]).join(of("w2"), ["topic_id", "w2"], "left")
-    product, total = F.col("sw1") * F.coalesce("sw2", F.lit(1.0)), F.col("sw1") + F.coalesce("sw2", F.lit(0.0))
-    # Stored, as every round reads it.
-    g = stored(each.select("topic_id", F.concat_ws(" ", "w1", "w2").alias("gram"), (product / (F.col("n") * (1 + total))).alias("raw")), "grams")
+    # Stored, as the texts are counted a few times.
+    sentences = stored(_sentences(rows, text).select("topic_id", "i", "tokens"), "sentences")
+    f = stored(_features(sentences), "features")
     best = Window.partitionBy("topic_id").orderBy("raw", "gram")
     similar = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
     repeats = lambda kept, gram: F.exists(kept, lambda k: similar(k["gram"], gram) > alike)
-    spark, state, done, open_ = rows.sparkSession, "topic_id int, kept array<struct<raw:double,gram:string>>", [], None
-    while open_ is None or open_:
-        # Topics that ran out of a list full of near repeats go on with the best of what repeats nothing they have.
-        have = g.withColumn("kept", F.expr("cast(array() as array<struct<raw:double,gram:string>>)")) if open_ is None else g.join(F.broadcast(spark.createDataFrame(open_, state)), "topic_id").where(~repeats(F.col("kept"), F.col("gram")))
-        top = have.withColumn("i", F.row_number().over(best)).where(F.col("i") <= 5 * n)
-        listed = top.groupBy("topic_id", "kept").agg(F.sort_array(F.collect_list(F.struct("raw", "gram"))).alias("c"))
-        fold = F.aggregate("c", F.col("kept"), lambda kept, x: F.when((F.size(kept) < n) & ~repeats(kept, x["gram"]), F.concat(kept, F.array(x))).otherwise(kept))
-        found = [(r.topic_id, r.kept, r.full) for r in listed.select("topic_id", fold.alias("kept"), (F.size("c") == 5 * n).alias("full")).collect()]  # n words a topic
-        ended = {t for t, kept, full in found if len(kept) >= n or not full}
-        # A topic with nothing left has no row now and keeps what it had.
-        done += [(t, kept) for t, kept in open_ or [] if t not in {f[0] for f in found}] + [(t, kept) for t, kept, _ in found if t in ended]
-        open_ = [(t, kept) for t, kept, _ in found if t not in ended]
+    spark, state, done, k, again = rows.sparkSession, "topic_id int, kept array<struct<raw:double,gram:string>>", [], 5 * n, None
+    while again is None or again:
+        # Topics whose best grams repeat each other too often go on with all grams up to a higher score.
+        only = lambda df: df if again is None else df.join(F.broadcast(spark.createDataFrame([(t,) for t, _ in again], "topic_id int")), "topic_id")  # noqa: B023, E731
+        g, most = _best(only(sentences), only(f), k)
+        finite = {r.topic_id for r in most.where(F.col("most") < float("inf")).collect()}  # one row a topic
+        open_, ended = again, []
+        while open_ is None or open_:
+            # Topics that ran out of a list full of near repeats go on with the best of what repeats nothing they have.
+            have = g.withColumn("kept", F.expr("cast(array() as array<struct<raw:double,gram:string>>)")) if open_ is None else g.join(F.broadcast(spark.createDataFrame(open_, state)), "topic_id").where(~repeats(F.col("kept"), F.col("gram")))
+            top = have.withColumn("i", F.row_number().over(best)).where(F.col("i") <= 5 * n)
+            listed = top.groupBy("topic_id", "kept").agg(F.sort_array(F.collect_list(F.struct("raw", "gram"))).alias("c"))
+            fold = F.aggregate("c", F.col("kept"), lambda kept, x: F.when((F.size(kept) < n) & ~repeats(kept, x["gram"]), F.concat(kept, F.array(x))).otherwise(kept))
+            found = [(r.topic_id, r.kept, r.full) for r in listed.select("topic_id", fold.alias("kept"), (F.size("c") == 5 * n).alias("full")).collect()]  # n words a topic
+            over = {t for t, kept, full in found if len(kept) >= n or not full}
+            # A topic with nothing left has no row now and keeps what it had.
+            ended += [(t, kept) for t, kept in open_ or [] if t not in {f[0] for f in found}] + [(t, kept) for t, kept, _ in found if t in over]
+            open_ = [(t, kept) for t, kept, _ in found if t not in over]
+        again = [(t, kept) for t, kept in ended if len(kept) < n and t in finite]
+        done += [(t, kept) for t, kept in ended if len(kept) >= n or t not in finite]
+        k *= 16
     rows_ = spark.createDataFrame(done, state).select("topic_id", F.posexplode("kept").alias("rank", "k")).select("topic_id", "rank", F.col("k.gram").alias("word"), F.col("k.raw").alias("raw"))
     most = F.max("raw").over(Window.partitionBy("topic_id")) + 0.001
     return rows_.select("topic_id", "rank", "word", (1 - F.col("raw") / most).alias("score"))

@@ -181,6 +181,50 @@ def test_statistical_keywords_go_on_after_near_repeats(spark):
     assert len(words) == 8 and [r["rank"] for r in got] == list(range(8)) and len(set(words) & set(others)) == 7
 
 
+def _plain_keywords(spark, df):
+    """The keywords of texts without a near repeat: the best of all grams by the scores of all words."""
+    w = keywords._words(df, "review_text")
+    s = {(r.topic_id, r.word): r.score for r in keywords.word_scores(df).collect()}
+    out = {}
+    for r in keywords._grams(w).collect():
+        one, two = s[r.topic_id, r.w1], s[r.topic_id, r.w2] if r.w2 else None
+        raw = one / (r.n * (1 + one)) if two is None else one * two / (r.n * (1 + one + two))
+        out.setdefault(r.topic_id, []).append((raw, r.w1 if two is None else f"{r.w1} {r.w2}"))
+    return {t: sorted(g) for t, g in out.items()}
+
+
+@pytest.mark.parametrize("places", [(3, 15, 63, 255), (0, 1)])
+def test_statistical_keywords_are_those_of_all_words(spark, tables, monkeypatch, places):
+    monkeypatch.setattr(keywords, "PLACES", places)
+    df = S.reviews(spark, tables)
+    plain = _plain_keywords(spark, df)
+    sentences = keywords.stored(keywords._sentences(df, "review_text").select("topic_id", "i", "tokens"), "sentences")
+    features = keywords.stored(keywords._features(sentences), "features")
+    for k in (1, 40, 10**9):
+        g, most = keywords._best(sentences, features, k)
+        got = {}
+        for r in g.collect():
+            got.setdefault(r.topic_id, []).append((r.raw, r.gram))
+        bound = {r.topic_id: r.most for r in most.collect()}
+        assert set(got) == set(plain)
+        for t, grams in plain.items():
+            there, whole = {w: raw for raw, w in got[t]}, {w: raw for raw, w in grams}
+            assert len(there) == len(got[t]) >= min(k, len(grams)) and max(there.values()) <= bound[t]
+            assert all(raw == pytest.approx(whole[w], rel=1e-9) for w, raw in there.items())
+            assert {w for w, raw in whole.items() if raw < bound[t] * (1 - 1e-8)} <= set(there)
+
+
+def test_statistical_keywords_count_few_neighbours(spark, monkeypatch):
+    """Neighbours are counted of the words that may be among the first, not of all."""
+    rng = np.random.default_rng(1)
+    made = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (30_060, 9))]
+    words = made[:60] * 50 + made[60:]
+    df, kept, store = _topic(spark, ". ".join(" ".join(x) for x in rng.permutation(words).reshape(-1, 10))), {}, keywords.stored
+    monkeypatch.setattr(keywords, "stored", lambda d, name: kept.setdefault(name, []).append(store(d, name)) or kept[name][-1])
+    assert keywords.keywords_statistical(df).count() == 8
+    assert max(d.count() for name in ("counts", "bounded") for d in kept[name]) < len(words) / 2
+
+
 def test_semantic_keywords_weigh_every_gram(spark):
     letters = "abcdefghijklmnopqrst"
     df = _topic(spark, ". ".join(f"{a}{b}{a} {b}{a}{a}{b}" for a in letters for b in letters[:15]))
