@@ -155,15 +155,17 @@ def _best(sentences: DataFrame, f: DataFrame, k: int) -> tuple[DataFrame, DataFr
     """
     b = _bounded(f)
     most = _kth(b.withColumn("raw", _raw(F.col("high"), None, F.col("tf"))), "raw", k).join(b.groupBy("topic_id").agg(F.min("low").alias("least")), "topic_id")
+    most = stored(most, "words_most")
     # A word's best gram is the pair with the topic's least word, wherever it stands.
     words = stored(b.join(F.broadcast(most), "topic_id").where(_raw(F.col("low"), F.col("least"), F.col("tf")) <= F.col("most")).select("topic_id", "word", "tf", "low", "high"), "words")
-    of = lambda w: _small(words.select("topic_id", F.col("word").alias(w), F.col("low").alias(f"l{w}"), F.col("high").alias(f"h{w}")))
+    of = lambda w: _small(words.select("topic_id", F.col("word").alias(w), F.col("low").alias(f"l{w}"), F.col("high").alias(f"h{w}"), F.col("tf").alias(f"t{w}")))
     near = sentences.select("topic_id", "tokens", F.posexplode("tokens").alias("p", "token"))
     pairs = near.select("topic_id", F.lower("token").alias("w1"), F.lower(F.get("tokens", F.col("p") + 1)).alias("w2")).where("w2 IS NOT NULL")
-    names = _small(words.select("topic_id", "word"))
-    for w in ("w1", "w2"):
-        pairs = pairs.join(names.withColumnRenamed("word", w), ["topic_id", w], "left_semi")
-    pairs = pairs.groupBy("topic_id", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).join(of("w1"), ["topic_id", "w1"]).join(of("w2"), ["topic_id", "w2"])
+    # Words alone bound what is to be counted: a pair stands no more often than its rarer word.
+    beaten = lambda n: _raw(F.col("lw1"), F.col("lw2"), n) > F.col("most")
+    bound = lambda rows: rows.join(of("w1"), ["topic_id", "w1"]).join(of("w2"), ["topic_id", "w2"]).join(F.broadcast(most.select("topic_id", "most")), "topic_id")
+    pairs = bound(pairs).where(~beaten(F.least("tw1", "tw2"))).groupBy("topic_id", "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    pairs = bound(pairs).where(~beaten(F.col("n")))
     both = [_raw(F.col(f"{c}w1"), F.col(f"{c}w2"), F.col("n")).alias(c) for c in "lh"]
     ones = words.select("topic_id", F.col("word").alias("w1"), F.lit(None).cast("string").alias("w2"), F.col("tf").alias("n"), *[_raw(F.col(c), None, F.col("tf")).alias(c[0]) for c in ("low", "high")])
     grams = stored(ones.unionByName(pairs.select("topic_id", "w1", "w2", "n", *both)), "bounded")

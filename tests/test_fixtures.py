@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -225,6 +226,17 @@ def test_statistical_keywords_count_few_neighbours(spark, monkeypatch):
     assert max(d.count() for name in ("counts", "bounded") for d in kept[name]) < len(words) / 2
 
 
+def test_statistical_keywords_keep_few_pairs(spark, monkeypatch):
+    """Of pairs of such words only those are counted and stored that words alone do not rule out."""
+    rng = np.random.default_rng(2)
+    words = ["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (400, 9))]
+    df, kept, store = _topic(spark, ". ".join(" ".join(x) for x in rng.choice(words, (6000, 10)))), {}, keywords.stored
+    monkeypatch.setattr(keywords, "stored", lambda d, name: kept.setdefault(name, []).append(store(d, name)) or kept[name][-1])
+    assert keywords.keywords_statistical(df).count() == 8
+    words, bounded = kept["words"][0].count(), kept["bounded"][0].count()
+    assert words > 300 and bounded < 20 * words
+
+
 def test_semantic_keywords_weigh_every_gram(spark):
     letters = "abcdefghijklmnopqrst"
     df = _topic(spark, ". ".join(f"{a}{b}{a} {b}{a}{a}{b}" for a in letters for b in letters[:15]))
@@ -295,6 +307,28 @@ def test_analysis_with_missing_vectors(spark, tables):
     assert [e["percent"] for e in events] == sorted(e["percent"] for e in events) and events[-1]["stage"] == "complete" and all(e["elapsed_ms"] >= 0 for e in events)
 
 
+def test_analysis_moves_texts_once(spark, tables, monkeypatch):
+    """Reviews that come from a join have their texts shuffled and stored once, not for each part of the analysis."""
+    from gleanspark.plans import analysis
+
+    reviews = S.reviews(spark, tables)
+    reviews = reviews.join(reviews.select("recommendation_id").hint("merge"), "recommendation_id")
+    seen, store = [], analysis.stored
+
+    def noted(df, name):
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        seen.append((name, len(re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[[^\n]*\breview_text#", plan)), "review_text" in df.columns))
+        return store(df, name)
+
+    for module in (analysis, clusters, keywords, learning):
+        monkeypatch.setattr(module, "stored", noted)
+    found = analysis.run_analysis(reviews, {"n_topics": 3, "topicCountMode": "manual"})
+    assert sum(n for _, n, _ in seen) == 1 and sum(whole for _, _, whole in seen) == 1
+    ids = found.labelled.select("recommendation_id", "topic_id").collect()
+    assert len({r.recommendation_id for r in ids}) == len(ids) == crosstab.long_reviews(reviews).count()
+    assert sum(r.review_count for r in found.topics.select("review_count").collect()) == sum(r.topic_id >= 0 for r in ids)
+
+
 def test_games_in_order_of_the_last_fetch(spark):
     games = spark.createDataFrame([(1, 5), (2, 9), (3, 5)], "app_id long, last_fetched_at long")
     assert [r.app_id for r in S.list_games(games).collect()] == [2, 1, 3]
